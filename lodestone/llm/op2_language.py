@@ -9,11 +9,12 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import id_bucket, map_slices, table
+from lodestone.llm.common import SLICE_CHARS, id_bucket, map_slices, table
 
 #: First code point of each range of letters, with its script.
 SCRIPT_RANGES = [
@@ -247,6 +248,25 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return out.withColumnRenamed("id", id_col)
 
 
+def keep_identified(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.2, penalty: float = 12.0, step_chars: int = SLICE_CHARS
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least ``min_score``; all columns as they were, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        labeller = Labeller(shared.value, penalty)
+        for batch in batches:
+            text = batch.column(text_col)
+            step = max(1, int(step_chars * batch.num_rows // max(1, text.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                found = labeller.label(part.column(text_col).to_pylist())
+                yield part.filter(pa.array([k != "und" and s >= min_score for k, s in zip(found["lang_pred"], found["score"], strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(id_bucket("doc_id", 4) != 2))
