@@ -68,7 +68,7 @@ def publish(products: DataFrame, ids: DataFrame, at: Column) -> tuple[DataFrame,
     """Products with those of ``ids(product_id)`` published, and the audit rows; unknown ids come out as ``not_found``."""
     wanted = ids.select("product_id").distinct()
     marked = products.join(wanted.withColumn("_hit", F.lit(True)), "product_id", "left")
-    done = marked.withColumn("published_at", F.when("_hit", at).otherwise(F.col("published_at"))).drop("_hit")
+    done = marked.withColumn("published_at", F.when(F.col("_hit"), at).otherwise(F.col("published_at"))).drop("_hit")
     known = wanted.join(products.select("product_id").withColumn("_known", F.lit(True)), "product_id", "left")
     audit = known.select("product_id", F.when(F.col("_known"), "published").otherwise("not_found").alias("stage"))
     return done, audit
@@ -116,7 +116,7 @@ def _first_items(items: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _mark(items: DataFrame, hit: DataFrame, status: str, reviewer: str) -> DataFrame:
     marked = items.join(hit.select("queue_id").distinct().withColumn("_hit", F.lit(True)), "queue_id", "left")
-    return marked.withColumn("status", F.when("_hit", status).otherwise(F.col("status"))).withColumn("reviewer", F.when("_hit", reviewer)).drop("_hit")
+    return marked.withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).withColumn("reviewer", F.when(F.col("_hit"), reviewer)).drop("_hit")
 
 
 def override_items(items: DataFrame, attributes: DataFrame, overrides: DataFrame, reviewer: str) -> tuple[DataFrame, DataFrame]:

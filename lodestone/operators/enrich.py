@@ -38,7 +38,7 @@ def upsert_enrichment(enrichments: DataFrame, incoming: DataFrame, products: Dat
     """Incoming rows by product over the current ones; their products are completed."""
     out = enrichments.join(incoming.select("product_id").distinct(), "product_id", "left_anti").unionByName(incoming, allowMissingColumns=True)
     hit = incoming.select("product_id").distinct().withColumn("_hit", F.lit(True))
-    done = products.join(hit, "product_id", "left").withColumn("enrichment_status", F.when("_hit", "completed").otherwise(F.col("enrichment_status"))).drop("_hit")
+    done = products.join(hit, "product_id", "left").withColumn("enrichment_status", F.when(F.col("_hit"), "completed").otherwise(F.col("enrichment_status"))).drop("_hit")
     return out, done
 
 

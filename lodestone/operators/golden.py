@@ -83,4 +83,4 @@ def insert_source_priority(priorities: DataFrame, sources: DataFrame) -> DataFra
 def update_source_status(sources: DataFrame, runs: DataFrame) -> DataFrame:
     """Sources with a run in ``runs(source_id, failed)`` are completed or failed."""
     joined = sources.join(runs.select("source_id", "failed"), "source_id", "left")
-    return joined.withColumn("status", F.when(F.col("failed").isNull(), F.col("status")).when("failed", "failed").otherwise("completed")).drop("failed")
+    return joined.withColumn("status", F.when(F.col("failed").isNull(), F.col("status")).when(F.col("failed"), "failed").otherwise("completed")).drop("failed")
