@@ -1,8 +1,9 @@
 """SimHash near-duplicates: vantage-point trees shard the fingerprints; shards that overlap a boundary give exact pairs.
 
-Two fingerprints within three bits are within one bit in one of their halves. So there is a tree for each half, over the
-Hamming distance of that half, with a search radius of one: a boundary then overlaps about a quarter of the points,
-where a radius of three over all 64 bits would overlap most of them.
+Two fingerprints within three bits agree in one of their four quarters. So there is a tree for each quarter, divided first
+by Hamming distances of that quarter, where the search radius is zero and no boundary overlaps: each fingerprint goes to
+one shard of each tree. A region that those distances no longer divide is divided by the distance of all 64 bits, with
+radius three; there a fingerprint near a boundary goes to both sides.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from lodestone.llm.common import durable, map_slices, table
 from lodestone.llm.components import components
 
 RADIUS = 3
-HALF_RADIUS = 1
+PARTS = 4
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -69,19 +70,20 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class VantageTree:
-    """Nodes (vantage, bound, inside, outside) over half fingerprints; a negative child ``-1 - i`` is shard i.
+    """Nodes (whole, vantage, bound, inside, outside); a negative child ``-1 - i`` is shard i.
 
     A point within ``bound`` of the vantage belongs inside. By the triangle inequality nothing within the radius of a
-    point at distance d can be inside if d > bound + radius, nor outside if d <= bound - radius.
+    point at distance d can be inside if d > bound + radius, nor outside if d <= bound - radius. ``whole`` nodes measure
+    all 64 bits (radius three), the others the tree's quarter (radius zero).
     """
 
-    nodes: list[tuple[int, int, int, int]] = field(default_factory=list)
+    nodes: list[tuple[bool, int, int, int, int]] = field(default_factory=list)
     chunks: list[int] = field(default_factory=list)  # of each shard; a shard with several is compared in blocks
     root: int = -1
 
-    def route(self, halves: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def route(self, fps: np.ndarray, quarters: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Shards that each point belongs to or overlaps: pairs of a shard and the positions of its points."""
-        out, work = [], [(self.root, np.arange(len(halves)))]
+        out, work = [], [(self.root, np.arange(len(fps)))]
         while work:
             node, rows = work.pop()
             if not len(rows):
@@ -89,67 +91,85 @@ class VantageTree:
             if node < 0:
                 out.append((-1 - node, rows))
                 continue
-            vantage, bound, inside, outside = self.nodes[node]
-            d = np.bitwise_count(halves[rows] ^ np.uint32(vantage)).astype(np.int64)
-            work += [(inside, rows[d <= bound + HALF_RADIUS]), (outside, rows[d > bound - HALF_RADIUS])]
+            whole, vantage, bound, inside, outside = self.nodes[node]
+            d, radius = distances(fps[rows], quarters[rows], whole, vantage)
+            work += [(inside, rows[d <= bound + radius]), (outside, rows[d > bound - radius])]
         return out
 
 
-def build_tree(sample: np.ndarray, total: int, shard: int, seed: int) -> VantageTree:
+def distances(fps: np.ndarray, quarters: np.ndarray, whole: bool, vantage: int) -> tuple[np.ndarray, int]:
+    """Distances from a vantage and the search radius that holds for them."""
+    apart = fps ^ np.uint64(vantage) if whole else quarters ^ np.uint16(vantage)
+    return np.bitwise_count(apart).astype(np.int64), RADIUS if whole else 0
+
+
+def build_tree(sample: np.ndarray, part: int, total: int, shard: int) -> VantageTree:
     """A tree whose shards hold about ``shard`` points each, overlaps included, for ``total`` points like ``sample``.
 
     Where few sample points are left the tree goes on with drawn vantages and the middle distance. Where no vantage
     divides a dense region, its shard is cut into chunks that are compared block by block.
     """
-    tree, draw = VantageTree(), np.random.default_rng(seed)
+    tree, draw = VantageTree(), np.random.default_rng(part + 1)
     scale = total / max(1, len(sample))
 
     def leaf(expected: float) -> int:
         tree.chunks.append(max(1, int(np.ceil(expected / shard))))
         return -len(tree.chunks)
 
-    def grow(points: np.ndarray, expected: float, depth: int) -> int:
-        if expected <= shard or depth >= 40:
-            return leaf(expected)
-        known = len(points) >= 64
+    def best_of(fps, quarters, whole):
         best = None
-        for _ in range(6):
-            vantage = int(draw.choice(points)) if known and draw.random() < 0.5 else int(draw.integers(1 << 32))
-            d = np.bitwise_count(points ^ np.uint32(vantage)).astype(np.int64) if known else None
-            for bound in [int(np.median(d)) - 1, int(np.median(d))] if known else [15]:
-                shares = (np.mean(d <= bound + HALF_RADIUS), np.mean(d > bound - HALF_RADIUS)) if known else (0.7, 0.7)
-                if best is None or max(shares) < max(best[2]):
-                    best = (vantage, bound, shares)
-        vantage, bound, shares = best
-        if max(shares) > 0.93:
+        for turn in range(8):
+            pool = fps if whole else quarters
+            vantage = int(draw.choice(pool)) if turn % 2 else int(draw.integers(1 << (64 if whole else 16), dtype=np.uint64))
+            d, radius = distances(fps, quarters, whole, vantage)
+            for bound in {int(np.median(d)) - 1, int(np.median(d))}:
+                shares = (np.mean(d <= bound + radius), np.mean(d > bound - radius))
+                if best is None or max(shares) < max(best[3]):
+                    best = (whole, vantage, bound, shares)
+        return best
+
+    def grow(fps: np.ndarray, expected: float, depth: int) -> int:
+        if expected <= shard or depth >= 24:
+            return leaf(expected)
+        quarters = quarters_of(fps, part)
+        if len(fps) >= 64:
+            best = best_of(fps, quarters, False)
+            if max(best[3]) > 0.9:
+                best = best_of(fps, quarters, True)
+                if max(best[3]) > 0.8:
+                    return leaf(expected)
+        elif depth < 16:
+            best = (False, int(draw.integers(1 << 16)), 7 + depth % 2, (0.5, 0.5))
+        else:
             return leaf(expected)
+        whole, vantage, bound, shares = best
         at = len(tree.nodes)
-        tree.nodes.append((0, 0, 0, 0))
-        d = np.bitwise_count(points ^ np.uint32(vantage)).astype(np.int64)
-        inside = grow(points[d <= bound + HALF_RADIUS], expected * shares[0], depth + 1)
-        outside = grow(points[d > bound - HALF_RADIUS], expected * shares[1], depth + 1)
-        tree.nodes[at] = (vantage, bound, inside, outside)
+        tree.nodes.append((False, 0, 0, 0, 0))
+        d, radius = distances(fps, quarters, whole, vantage)
+        inside = grow(fps[d <= bound + radius], expected * shares[0], depth + 1)
+        outside = grow(fps[d > bound - radius], expected * shares[1], depth + 1)
+        tree.nodes[at] = (whole, vantage, bound, inside, outside)
         return at
 
     tree.root = grow(sample, len(sample) * scale, 0)
     return tree
 
 
-def halves_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (fps >> np.uint64(32)).astype(np.uint32), fps.astype(np.uint32)
+def quarters_of(fps: np.ndarray, part: int) -> np.ndarray:
+    return (fps >> np.uint64(16 * part)).astype(np.uint16)
 
 
 def blocks_of(fps: np.ndarray, trees: list[VantageTree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key of the block, tree and fingerprint for every block that a fingerprint takes part in."""
     keys, which, values = [], [], []
-    for t, (tree, halves) in enumerate(zip(trees, halves_of(fps), strict=True)):
-        for shard, rows in tree.route(halves):
+    for part, tree in enumerate(trees):
+        for shard, rows in tree.route(fps, quarters_of(fps, part)):
             n, mine = tree.chunks[shard], fps[rows]
             chunk = (((mine * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
             for other in range(n):
                 low, high = np.minimum(chunk, other), np.maximum(chunk, other)
-                keys.append(((shard * 2 + t) << 32) + (low << 16) + high)
-                which.append(np.full(len(mine), t, np.int32))
+                keys.append(((shard * PARTS + part) << 32) + (low << 16) + high)
+                which.append(np.full(len(mine), part, np.int32))
                 values.append(mine)
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, which, values))
 
@@ -167,17 +187,17 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-def links_in(fps: np.ndarray, halves: np.ndarray, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def links_in(fps: np.ndarray, quarters: np.ndarray, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a forest with the classes that the links between ``fps`` make.
 
-    Points are ordered by the distance of their halves from one of them; by the triangle inequality only points whose
-    distances differ by the radius or less need comparing.
+    Points are ordered by the distance of their quarters from one of them; those that agree in the quarter have the same
+    distance, so only points of one distance need comparing.
     """
-    d = np.bitwise_count(halves ^ halves[0]).astype(np.int64)
+    d = np.bitwise_count(quarters ^ quarters[0]).astype(np.int64)
     order = np.argsort(d, kind="stable")
     fps, d = fps[order], d[order]
     labels = np.arange(len(fps))
-    last = np.searchsorted(d, d + HALF_RADIUS, side="right")
+    last = np.searchsorted(d, d, side="right")
     for at in range(0, len(fps), tile):
         stop = min(len(fps), at + tile)
         for begin in range(at, last[stop - 1], 16 * tile):
@@ -199,7 +219,7 @@ def link_edges(distinct: DataFrame, sample_size: int = 20_000, shard: int = 4096
     share = min(parts, int(parts * sample_size / max(1, total)) + 1)
     sample = np.array([r.fp for r in distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(parts)) < share).limit(2 * sample_size).collect()], np.int64)
     sample = np.sort(sample).view(np.uint64)
-    trees = [build_tree(h, total, shard, seed) for seed, h in enumerate(halves_of(sample), 1)]
+    trees = [build_tree(sample, part, total, shard) for part in range(PARTS)]
     shared = distinct.sparkSession.sparkContext.broadcast(trees)
     placed = T.StructType([T.StructField("block", T.LongType()), T.StructField("tree", T.IntegerType()), T.StructField("fp", T.LongType())])
 
@@ -212,7 +232,7 @@ def link_edges(distinct: DataFrame, sample_size: int = 20_000, shard: int = 4096
 
     def compare(group: pa.Table) -> pa.Table:
         fps = np.sort(group.column("fp").to_numpy()).view(np.uint64)
-        a, b = links_in(fps, halves_of(fps)[group.column("tree")[0].as_py()])
+        a, b = links_in(fps, quarters_of(fps, group.column("tree")[0].as_py()))
         return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
     return distinct.select("fp").mapInArrow(route, placed).groupBy("block").applyInArrow(compare, "a long, b long")
