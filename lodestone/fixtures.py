@@ -85,7 +85,8 @@ SELECT c_custkey AS row_no, c_nationkey AS batch_id, CASE WHEN c_custkey % 3 = 0
 SELECT p_partkey AS product_id, concat(p_brand, ' ', p_name) AS seo_title, p_size % 7 AS n_bullets, CAST(p_size AS DOUBLE) / 50 AS confidence FROM part WHERE p_partkey % 2 = 0
 """,
     "fx_model_responses": r"""
-SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('
+SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('```json', chr(10), '{"brand":"', p_brand, '"}', chr(10), '```')
+ WHEN 1 THEN concat('```', '{"brand":"', p_brand, '"}', '```') WHEN 2 THEN concat('{"brand":"', p_brand, '"}') ELSE 'not json' END AS content FROM part
 """,
     "fx_priorities": r"""
 SELECT CAST(s_nationkey AS STRING) AS project_id, s_suppkey AS source_id,
