@@ -34,9 +34,22 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, size: int) -> Dat
     )
 
 
-def document_words(docs: DataFrame, *keep: str) -> DataFrame:
-    """Every word of every document with its position from 0."""
-    return docs.select(*keep, F.posexplode("words").alias("pos", "raw")).withColumn("word", lower_ascii(F.col("raw"))).drop("raw")
+def document_words(docs: DataFrame, words: str, *keep: str) -> DataFrame:
+    """Every word of an array column with its position from 0."""
+    return docs.select(*keep, F.posexplode(words).alias("pos", "raw")).withColumn("word", lower_ascii(F.col("raw"))).drop("raw")
+
+
+def chunks_of(texts: DataFrame, size: int, core: int = 256) -> DataFrame:
+    """Words of each document in chunks of ``core`` words with the ``size - 1`` words around them.
+
+    Whatever is carried with a word is then a chunk, however long the document is.
+    """
+    first = lambda c: F.greatest(F.lit(0), c * core - (size - 1))
+    count = F.ceil(F.size("words") / core).cast("int")
+    chunk = lambda c: F.struct(c.alias("chunk"), first(c).alias("first"), F.slice("words", first(c) + 1, core + 2 * (size - 1)).alias("around"))
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), chunk)
+    rows = texts.where(F.size("words") > 0).select("id", "text_hash", F.size("words").alias("n_words"), F.explode(chunks).alias("c"))
+    return rows.select("id", "text_hash", "n_words", "c.chunk", "c.first", "c.around")
 
 
 def decontaminate(
@@ -59,7 +72,7 @@ def decontaminate(
     hint = F.broadcast if few else (lambda df: df)
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), raw_words(F.col(text_col)).alias("words"))
-    counts = durable(document_words(texts).join(hint(vocabulary), "word").groupBy("word").count())
+    counts = durable(document_words(texts, "words").join(hint(vocabulary), "word").groupBy("word").count())
     rank = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "word", "offset")
     prefix = (
         windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
@@ -67,17 +80,21 @@ def decontaminate(
         .select("word", "offset", "window", "items")
     )
     prefix = durable(prefix)
-    start = F.col("pos") - F.col("offset")
+    core = 256
+    chunks = chunks_of(texts, size, core)
+    at = F.col("first") + F.col("pos")
+    start = at - F.col("offset")
     length = F.size("window")
-    fits = (start >= 0) & (start + length <= F.col("n_words"))
-    same = F.transform(F.slice("words", start + 1, length), lower_ascii) == F.col("window")
+    inside = (at >= F.col("chunk") * core) & (at < (F.col("chunk") + 1) * core)
+    fits = inside & (start >= 0) & (start + length <= F.col("n_words"))
+    same = F.transform(F.slice("around", start - F.col("first") + 1, length), lower_ascii) == F.col("window")
+    keys = ["id", "text_hash", "n_words", "chunk", "first"]
     if few:
-        words = document_words(texts.withColumn("n_words", F.size("words")), "id", "text_hash", "n_words", "words")
-        hits = words.join(hint(prefix), "word").where(fits & same)
+        hits = document_words(chunks, "around", *keys, "around").join(hint(prefix), "word").where(fits).where(same)
     else:
-        words = document_words(texts.withColumn("n_words", F.size("words")), "id", "text_hash", "n_words")
-        candidates = words.join(prefix, "word").where(fits).withColumnRenamed("id", "hit_id").withColumnRenamed("text_hash", "hit_hash").drop("n_words")
-        hits = candidates.join(texts.dropDuplicates(["id", "text_hash"]), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))).where(same)
+        candidates = document_words(chunks, "around", *keys).join(prefix, "word").where(fits)
+        back = chunks.dropDuplicates(["id", "text_hash", "chunk"]).select(F.col("id").alias("bid"), F.col("text_hash").alias("bhash"), F.col("chunk").alias("bchunk"), "around")
+        hits = candidates.join(back, F.col("id").eqNullSafe(F.col("bid")) & (F.col("text_hash") == F.col("bhash")) & (F.col("chunk") == F.col("bchunk"))).where(same)
     hits = hits.select("id", "text_hash", start.alias("start"), (start + length).alias("end"), "items").dropDuplicates(["id", "text_hash", "start", "end"])
 
     before = Window.partitionBy("id", "text_hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,8 +114,8 @@ def decontaminate(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones; their rows and columns are as they were."""
-    bad = decontaminate(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")), "left_anti")
+    bad = decontaminate(docs, items, id_col, text_col, **options).where("contaminated").select(F.col(id_col).alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_col) == F.col("__bad_hash")), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
