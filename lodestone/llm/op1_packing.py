@@ -129,8 +129,10 @@ def pack(
     if min(max_tokens, max_segments, max_loss_tokens, pool_tokens) < 1:
         raise ValueError("limits must be positive")
 
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *SCHEMA.fields[1:]])
+
     def run(batches):
-        arrow = to_arrow_schema(SCHEMA)
+        arrow = to_arrow_schema(schema)
         words = word_ids(tokenizer_path)
         pool = Pool(max_tokens, max_segments, max_loss_tokens, min_piece)
         sequence = (TaskContext.get().partitionId() << 36) - 1
@@ -179,7 +181,7 @@ def pack(
         yield from flush(0)
 
     columns = [c for c in (id_col, prompt_col, text_col) if c]
-    return docs.select(*dict.fromkeys(columns)).mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", id_col)
+    return docs.select(*dict.fromkeys(columns)).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def fill_report(packed: DataFrame, max_tokens: int = 4096) -> DataFrame:

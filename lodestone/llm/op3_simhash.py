@@ -258,8 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of the smallest id of each component; of rows that share that id one stays."""
-    heads = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("_head")).distinct()
-    return docs.join(heads, F.col(id_col).eqNullSafe(F.col("_head")), "left_semi").dropDuplicates([id_col])
+    heads = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("__head_id")).distinct()
+    return docs.join(heads, F.col(id_col).eqNullSafe(F.col("__head_id")), "left_semi").dropDuplicates([id_col])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are what line feeds part; one comes before another in a document of smaller id, or higher in the same
     document. A line with a word is removed if an earlier line equals it, or if the earlier first occurrence of a line
     has a Jaccard similarity of ``percent`` or more with it over distinct words. Lines without a word stay. A null text
-    stays null; rows that share an id count as one document, whose rows each keep its first lines; an empty table is
+    stays null; columns of those two names are replaced; rows that share an id count as one document, whose rows each keep its first lines; an empty table is
     valid. Other columns are untouched.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -124,18 +124,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = durable(near_matches(slim, firsts, percent))
     drop = near.groupBy(F.col("id").alias("did")).agg(F.collect_set("no").alias("dropped"))
     kept = firsts.join(drop, F.col("id").eqNullSafe(F.col("did")), "left").select(
-        F.col("id").alias("_of"), F.array_except("nos", F.coalesce("dropped", F.array().cast("array<int>"))).alias("_kept")
+        F.col("id").alias("__line_of"), F.array_except("nos", F.coalesce("dropped", F.array().cast("array<int>"))).alias("__line_kept")
     )
     lines = lines_of(F.col(text_col))
-    blank = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.element_at("_lines", i + 1).rlike("[^\\s]"))
-    stay = F.array_sort(F.concat(blank, F.coalesce("_kept", F.array().cast("array<int>"))))
-    out = docs.join(durable(kept), F.col(id_col).eqNullSafe(F.col("_of")), "left").withColumn("_lines", lines)
-    out = out.withColumn("_stay", F.when(F.col(text_col).isNotNull(), stay))
-    text = F.array_join(F.transform("_stay", lambda i: F.element_at("_lines", i + 1)), "\n")
+    blank = F.filter(F.sequence(F.lit(0), F.size("__line_lines") - 1), lambda i: ~F.element_at("__line_lines", i + 1).rlike("[^\\s]"))
+    stay = F.array_sort(F.concat(blank, F.coalesce("__line_kept", F.array().cast("array<int>"))))
+    out = docs.join(durable(kept), F.col(id_col).eqNullSafe(F.col("__line_of")), "left").withColumn("__line_lines", lines)
+    out = out.withColumn("__line_stay", F.when(F.col(text_col).isNotNull(), stay))
+    text = F.array_join(F.transform("__line_stay", lambda i: F.element_at("__line_lines", i + 1)), "\n")
     return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines") - F.size("_stay")), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__line_lines")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__line_lines") - F.size("__line_stay")), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
@@ -151,7 +151,8 @@ WITH lines AS (
 worded AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS nth FROM lines WHERE regexp_matches(line, '[^\s]')),
 firsts AS (
   SELECT row_number() OVER (ORDER BY doc_id, no) AS k, doc_id, no,
-         list_filter(list_distinct(string_split(regexp_replace(line, '[	]', ' ', 'g'), ' ')), lambda x: x <> '') AS t
+         list_filter(list_distinct(string_split(regexp_replace(line, '[	
+]', ' ', 'g'), ' ')), lambda x: x <> '') AS t
   FROM worded WHERE nth = 1),
 uses AS (SELECT tok, count(*) AS uses FROM (SELECT unnest(t) AS tok FROM firsts) x GROUP BY 1),
 ranked AS (
