@@ -57,7 +57,7 @@ def export_lines(products: DataFrame) -> DataFrame:
 def export_catalog_csv(products: DataFrame, path: str) -> None:
     """The same as a folder of quoted CSV files."""
     rows = products.where(F.col("published_at").isNotNull())
-    rows.select(F.col("product_code").alias("SKU"), F.col("brand_name").alias("Brand"), F.col("product_name").alias("Name"), F.concat(F.col("completeness_score").cast("string"), F.lit("%")).alias("Completeness")).write.mode("overwrite").option("header", True).csv(path)
+    rows.select(F.col("product_code").alias("SKU"), F.col("brand_name").alias("Brand"), F.col("product_name").alias("Name"), F.concat(F.col("completeness_score").cast("string"), F.lit("%")).alias("Completeness")).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def batch_result_sheet(rows: DataFrame, attributes: DataFrame, sources: DataFrame, names: list[str]) -> DataFrame:
