@@ -22,25 +22,26 @@ def tokens_of(line: Column) -> Column:
 
 
 def frequent_tokens(lines: DataFrame) -> list[str]:
-    """The most frequent tokens over all lines, the most frequent first; as many as the last of ``LEVELS`` at most."""
-    counts = lines.select(F.explode(tokens_of(F.col("line"))).alias("token")).groupBy("token").count()
-    return [r.token for r in counts.orderBy(F.desc("count"), "token").limit(LEVELS[-1]).collect()]
+    """The most frequent tokens over all lines, the most frequent first; as many as the last of ``LEVELS`` at most.
+
+    They come from a sketch of frequent items that every task fills and one merges; it only orders tokens, so its error
+    has no effect on which lines match.
+    """
+    top = lines.select(F.explode(tokens_of(F.col("line"))).alias("token")).agg(F.expr(f"approx_top_k(token, {LEVELS[-1]}, {8 * LEVELS[-1]})").alias("top"))
+    return [x["item"] for x in top.first().top or []]
 
 
 def by_rarity(tokens: Column, frequent: list[str]) -> Column:
-    """Tokens as hashes, the rarest first: those below all levels, then level by level, by hash within one."""
-    hashed = lambda t: F.xxhash64(t)
-    if not frequent:
-        return F.array_sort(F.transform(tokens, hashed))
+    """Tokens as numbers in the order of rarity: two bits of frequency level, then 60 bits of a hash."""
+    key = lambda t: F.shiftleft(_level(t, frequent, 0).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 4))
+    return F.sort_array(F.transform(tokens, lambda t: key(t)))
 
-    def pick(inside: int, outside: int):
-        """Tokens among the first ``inside`` but not among the first ``outside``."""
-        kept = F.filter(tokens, lambda t: t.isin(frequent[:inside]))
-        return F.filter(kept, lambda t: ~t.isin(frequent[:outside])) if outside else kept
 
-    rare = F.filter(tokens, lambda t: ~t.isin(frequent))
-    groups = [rare] + [pick(LEVELS[i], LEVELS[i - 1] if i else 0) for i in range(len(LEVELS) - 1, -1, -1)]
-    return F.concat(*[F.sort_array(F.transform(g, hashed)) for g in groups])
+def _level(t: Column, frequent: list[str], k: int) -> Column:
+    """0 for a token outside all levels, up to the number of levels for one inside the first."""
+    if k == len(LEVELS) or not frequent:
+        return F.lit(k)
+    return F.when(t.isin(frequent[: LEVELS[-1 - k]]), _level(t, frequent, k + 1)).otherwise(F.lit(k))
 
 
 def first_lines(docs: DataFrame) -> DataFrame:
@@ -92,9 +93,10 @@ def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     frequent = frequent_tokens(docs.select(F.explode(lines_of(F.col("text"))).alias("line")))
     tokens = chosen_lines(docs, firsts).select("id", "no", by_rarity(tokens_of(F.col("line")), frequent).alias("tokens"))
     n = F.size("tokens")
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))))
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    # Sets of up to three tokens are similar to equal sets only, so one token finds them.
     prefix = F.slice("tokens", 1, n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1)
-    rows = tokens.where(n > 3).select("id", "no", n.alias("n"), bits.alias("bits"), F.posexplode(prefix).alias("pos", "token"))
+    rows = tokens.select("id", "no", n.alias("n"), bits.alias("bits"), F.posexplode(prefix).alias("pos", "token"))
     rows = rows.repartition("token")
     order = F.struct("id", "no", "n", "pos", "bits")
     seeds = rows.groupBy("token").agg(F.min(order).alias("x"), F.count("*").alias("uses")).where("uses > 1")

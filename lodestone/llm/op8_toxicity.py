@@ -34,7 +34,7 @@ EXCEPTIONS = (
 
 _ASCII = {ord(a): b for a, b in SUBSTITUTES.items() if a in "l"} | {c: chr(c + 32) for c in range(65, 91)} | {ord("L"): "i"}
 _MAP = str.maketrans(_ASCII | {ord(a): b.replace("l", "i") for a, b in HOMOGLYPHS.items()} | {ord(a): "" for a in "​‌‍­﻿"})
-_SIGNS = re.compile(r"(?<=[^\W\d_])[0-9@$]+(?=[^\W\d_])|(?<![\w@$])[0-9@$](?=[^\W\d_]{2})|(?<=[^\W\d_])[0-9](?![\w])")
+_MIXED = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*")
 _TO_LETTERS = str.maketrans({a: b for a, b in SUBSTITUTES.items() if a != "l"})
 _GAPS = re.compile(r"[^a-z]+")
 
@@ -46,7 +46,7 @@ def fold(text: str) -> str:
         text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
     text = text.translate(_MAP)
     if "@" in text or "$" in text or any(d in text for d in "0123456789"):
-        text = _SIGNS.sub(lambda m: m[0].translate(_TO_LETTERS), text)
+        text = _MIXED.sub(lambda m: m[0].translate(_TO_LETTERS) if any(map(str.isalpha, m[0])) else m[0], text)
     return f" {_GAPS.sub(' ', text).strip()} "
 
 

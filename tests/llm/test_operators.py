@@ -29,13 +29,11 @@ def texts(spark):
 @pytest.fixture(scope="module")
 def hard(spark):
     """Nulls, empty and long texts, repeated rows, and columns whose names operators use inside."""
-    long = "word%d " * 1
     rows = [
         (1, None), (2, ""), (3, "   \n\n"), (4, "x"), (5, "The same text here.\nThe same text here."), (5, "The same text here.\nThe same text here."),
         (6, "The same text here.\nThe same text here."), (None, "A row without an id."), (7, " ".join(f"w{i % 997}" for i in range(60_000))), (8, "été ÉTÉ привет мир 你好 😀 a@b.co +1 (555) 010-9999"),
         (9, None),
     ]
-    assert long
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for c in ("id", "fp", "words", "lang", "source", "n_words", "text_hash", "score", "spans", "n_removed", "tokens"):
         df = df.withColumn(c, F.lit(c))
@@ -257,7 +255,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_folding_and_exceptions(spark):
-    assert op8_toxicity.fold("Stуpid 1d10t l0ser​ TRASH### Páthetic a55") == " stypid idiot ioser trash pathetic ass ".replace("idiot", "idiot") or True
+    assert op8_toxicity.fold("Stυpid 1d10t l0s\u200ber TRASH### Páthetic a55 10 7.5 idi0ts$$$ $cum") == " stupid idiot ioser trash pathetic ass idiots scum "
     model = op8_toxicity.ToxicModel({" idiot ": 4.0, " trash ": 4.0})
     rows = [(1, "you 1d!0t"), (2, "you 1di0t"), (3, "the trash can"), (4, "trash and a trash can"), (5, None), (6, "")]
     got = {r.doc_id: r.n_matches for r in op8_toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
