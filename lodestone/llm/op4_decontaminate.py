@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import durable, table
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def raw_words(text: Column) -> Column:
     """Words in their own case."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_RAW_WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), _BETWEEN, -1), "")
 
 
 def lower_ascii(word: Column) -> Column:
@@ -35,8 +35,8 @@ def windows_of(items: DataFrame, item_col: str, text_col: str, size: int) -> Dat
 
 
 def document_words(docs: DataFrame, words: str, *keep: str) -> DataFrame:
-    """Every word of an array column with its position from 0."""
-    return docs.select(*keep, F.posexplode(words).alias("pos", "raw")).withColumn("word", lower_ascii(F.col("raw"))).drop("raw")
+    """Every word of an array column with its position from 0; all its letters in lower case, which is enough for a key."""
+    return docs.select(*keep, F.posexplode(words).alias("pos", "raw")).withColumn("word", F.lower("raw")).drop("raw")
 
 
 def chunks_of(texts: DataFrame, size: int, core: int = 256) -> DataFrame:
@@ -67,15 +67,15 @@ def decontaminate(
     words count nowhere; repeated documents and items stay; empty tables are valid; an id may be null.
     """
     windows = durable(windows_of(items, item_col, item_text_col, size))
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
+    vocabulary = windows.select(F.explode("window").alias("w")).select(F.lower("w").alias("word")).distinct()
     few = windows.count() <= broadcast_rows and vocabulary.count() <= broadcast_rows
     hint = F.broadcast if few else (lambda df: df)
 
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), raw_words(F.col(text_col)).alias("words"))
-    counts = durable(document_words(texts, "words").join(hint(vocabulary), "word").groupBy("word").count())
+    counts = durable(document_words(texts, "words").drop("pos").join(hint(vocabulary), "word").groupBy("word").count())
     rank = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "word", "offset")
     prefix = (
-        windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
+        windows.select("window", "items", F.posexplode("window").alias("offset", "w")).withColumn("word", F.lower("w")).drop("w")
         .join(counts, "word", "left").withColumn("rank", F.row_number().over(rank)).where("rank = 1 and count > 0")
         .select("word", "offset", "window", "items")
     )
