@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import durable, table
@@ -74,42 +74,58 @@ def possible(percent: int) -> Column:
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (id, no, xid, xno) whose lines have the Jaccard similarity, by their whole token sets."""
-    nos = lambda i, n: F.sort_array(F.collect_set(n)).alias("nos")
-    mine = chosen_lines(docs, pairs.groupBy("id").agg(nos("id", "no"))).select("id", "no", tokens_of(F.col("line")).alias("tokens"))
-    theirs = pairs.groupBy(F.col("xid").alias("id")).agg(nos("xid", "xno"))
-    theirs = chosen_lines(docs, theirs).select(F.col("id").alias("xid"), F.col("no").alias("xno"), tokens_of(F.col("line")).alias("xtokens"))
-    both = pairs.join(mine, ["id", "no"]).join(theirs, ["xid", "xno"])
-    common = F.size(F.array_intersect("tokens", "xtokens"))
-    return both.where(100 * common >= percent * (F.size("tokens") + F.size("xtokens") - common)).select("id", "no", "xid", "xno")
+    nos = lambda n: F.sort_array(F.collect_set(n)).alias("nos")
+    mine = chosen_lines(docs, pairs.groupBy("id").agg(nos("no")))
+    theirs = chosen_lines(docs, pairs.groupBy(F.col("xid").alias("id")).agg(nos("xno")))
+    both = pairs.join(mine, ["id", "no"]).join(theirs.select(F.col("id").alias("xid"), F.col("no").alias("xno"), F.col("line").alias("xline")), ["xid", "xno"])
+    a, b = tokens_of(F.col("line")), tokens_of(F.col("xline"))
+    common = F.size(F.array_intersect(a, b))
+    return both.where(100 * common >= percent * (F.size(a) + F.size(b) - common)).select("id", "no", "xid", "xno")
+
+
+def prefix_rows(docs: DataFrame, numbers: DataFrame, frequent: list[str], percent: int) -> DataFrame:
+    """A row for each of the rarest ``n - ceil(percent * n) + 1`` tokens of each line: token, its place, size and bitmap of the line."""
+    tokens = chosen_lines(docs, numbers).select("id", "no", by_rarity(tokens_of(F.col("line")), frequent).alias("tokens"))
+    n = F.size("tokens")
+    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    prefix = F.slice("tokens", 1, n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1)
+    return tokens.select("id", "no", n.alias("n"), bits.alias("bits"), F.posexplode(prefix).alias("pos", "token"))
+
 
+def as_other(rows: DataFrame) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(f"x{c}") for c in ("id", "no", "n", "pos", "bits")])
 
-def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+
+def near_matches(docs: DataFrame, firsts: DataFrame, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
     """``id, no`` of the lines among ``firsts`` that are similar to an earlier one of them.
 
-    Two lines of the similarity share a token among the rarest ``n - ceil(percent * n) + 1`` of each. Each such line is
-    compared with the earliest line that shares the token first; that settles the many variants of one line with a row
-    each. Only what is left is paired with all earlier lines that share a token.
+    Two lines of the similarity share a token among the prefixes of both. Where a line may match the earliest line with
+    a token, by the filters, that one pair stands for the token: the many variants of one line cost a row each. Where it
+    may not, it is paired with all earlier lines with the token that the filters let through. Lines whose pairs all fail
+    although some pair stood for a token are paired with all earlier lines in a second round.
     """
     frequent = frequent_tokens(docs.select(F.explode(lines_of(F.col("text"))).alias("line")))
-    tokens = chosen_lines(docs, firsts).select("id", "no", by_rarity(tokens_of(F.col("line")), frequent).alias("tokens"))
-    n = F.size("tokens")
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    # Sets of up to three tokens are similar to equal sets only, so one token finds them.
-    prefix = F.slice("tokens", 1, n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1)
-    rows = tokens.select("id", "no", n.alias("n"), bits.alias("bits"), F.posexplode(prefix).alias("pos", "token"))
-    rows = rows.repartition("token")
+    rows = prefix_rows(docs, firsts, frequent, percent)
     order = F.struct("id", "no", "n", "pos", "bits")
-    seeds = rows.groupBy("token").agg(F.min(order).alias("x"), F.count("*").alias("uses")).where("uses > 1")
-    seeds = seeds.select("token", F.col("x.id").alias("xid"), F.col("x.no").alias("xno"), F.col("x.n").alias("xn"), F.col("x.pos").alias("xpos"), F.col("x.bits").alias("xbits"))
+    seeded = rows.withColumn("x", F.min(order).over(Window.partitionBy("token")))
+    seeded = seeded.select("token", "id", "no", "n", "pos", "bits", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("id", "no", "n", "pos", "bits")])
     later = (F.col("xid") < F.col("id")) | ((F.col("xid") == F.col("id")) & (F.col("xno") < F.col("no")))
-    pairs = durable(rows.join(seeds, "token").where(later & possible(percent)).select("id", "no", "xid", "xno").distinct())
-    settled = durable(similar_pairs(docs, pairs, percent).select("id", "no").distinct())
-
-    open_rows = rows.join(settled, ["id", "no"], "left_anti")
-    others = rows.select("token", F.col("id").alias("xid"), F.col("no").alias("xno"), F.col("n").alias("xn"), F.col("pos").alias("xpos"), F.col("bits").alias("xbits"))
-    rest = durable(open_rows.join(others, "token").where(later & possible(percent)).select("id", "no", "xid", "xno").distinct())
-    rest = rest.join(pairs, ["id", "no", "xid", "xno"], "left_anti")
-    return settled.union(similar_pairs(docs, rest, percent).select("id", "no")).distinct()
+    pair = ["id", "no", "xid", "xno"]
+    short = seeded.where(later & possible(percent)).select(*pair, F.lit(True).alias("stands"))
+    long = seeded.where(later & ~possible(percent)).select("token", "id", "no", "n", "pos", "bits").join(as_other(rows), "token").where(later & possible(percent))
+    pairs = durable(short.unionByName(long.select(*pair, F.lit(False).alias("stands"))).groupBy(*pair).agg(F.max("stands").alias("stands")))
+    near = durable(similar_pairs(docs, pairs.select(*pair), percent).select("id", "no").distinct())
+
+    left = durable(pairs.where("stands").select("id", "no").distinct().join(near, ["id", "no"], "left_anti"))
+    if left.isEmpty():
+        return near
+    mine = durable(prefix_rows(docs, left.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("nos")), frequent, percent))
+    wanted = mine.select("token").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    others = as_other(prefix_rows(docs, firsts, frequent, percent).join(wanted, "token", "left_semi"))
+    rest = mine.join(others, "token").where(later & possible(percent)).select(*pair).distinct()
+    rest = durable(rest.join(pairs.select(*pair), pair, "left_anti"))
+    return near.union(similar_pairs(docs, rest, percent).select("id", "no")).distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
