@@ -239,7 +239,7 @@ def g2(spark, d):
 
 
 _GOLDEN = """SELECT p_partkey AS product_key, 'P-' || CAST(p_partkey AS VARCHAR) AS sku, coalesce(CASE WHEN p_partkey % 11 <> 0 THEN p_brand END, 'UNKNOWN') AS brand, coalesce(n, 0) AS n_attributes,
-  coalesce(n, 0) >= 4 AND p_partkey % 11 <> 0 AS ready_for_publish, CASE WHEN coalesce(n, 0) > 0 THEN CASE WHEN n >= 5 THEN 0.7 ELSE 0.5 END END AS confidence,
+  coalesce(n, 0) >= 4 AND p_partkey % 11 <> 0 AS ready_for_publish, CAST(CASE WHEN coalesce(n, 0) > 0 THEN CASE WHEN n >= 5 THEN 0.7 ELSE 0.5 END END AS DOUBLE) AS confidence,
   CASE WHEN coalesce(n, 0) = 0 THEN 'no_standardized_data' END AS error
   FROM part LEFT JOIN (SELECT product_key, count(DISTINCT attribute) AS n FROM {} GROUP BY 1) s ON s.product_key = p_partkey"""
 

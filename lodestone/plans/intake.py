@@ -66,7 +66,7 @@ def s5(spark, d):
 
 
 @query("s6_batch_result_sheet", """SELECT p_partkey AS row_no, 'P-' || CAST(p_partkey AS VARCHAR) AS input_sku, p_name AS input_title, p_partkey % 2 = 0 AS ready_for_publish, CAST(0.7 AS DOUBLE) AS confidence,
-  CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 2 END AS sources_count, CASE WHEN p_partkey % 4 = 0 THEN 'No sources found' ELSE 'https://a/' || CAST(p_partkey AS VARCHAR) || chr(10) || 'https://b/' || CAST(p_partkey AS VARCHAR) END AS source_urls,
+  CAST(CASE WHEN p_partkey % 4 = 0 THEN 0 ELSE 2 END AS BIGINT) AS sources_count, CASE WHEN p_partkey % 4 = 0 THEN 'No sources found' ELSE 'https://a/' || CAST(p_partkey AS VARCHAR) || chr(10) || 'https://b/' || CAST(p_partkey AS VARCHAR) END AS source_urls,
   max(value) FILTER (WHERE attribute = 'size') AS size, max(value) FILTER (WHERE attribute = 'type') AS type, max(value) FILTER (WHERE attribute = 'list_price') AS list_price
   FROM part JOIN fx_product_attributes ON product_code = 'P-' || CAST(p_partkey AS VARCHAR) GROUP BY 1, 2, 3, 4, 5, 6, 7""")
 def s6(spark, d):
@@ -110,7 +110,7 @@ def k2(spark, d):
 
 
 _K3 = """firsts AS (SELECT product_key, url, result_rank, fetched FROM (SELECT *, row_number() OVER (PARTITION BY product_key, url ORDER BY result_rank) AS r FROM fx_search_results) x WHERE r = 1),
- chosen AS (SELECT product_key, url, result_rank, source_pos FROM (SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY result_rank) AS source_pos FROM firsts WHERE fetched) y WHERE source_pos <= 3)"""
+ chosen AS (SELECT product_key, url, result_rank, source_pos FROM (SELECT *, CAST(row_number() OVER (PARTITION BY product_key ORDER BY result_rank) AS INT) AS source_pos FROM firsts WHERE fetched) y WHERE source_pos <= 3)"""
 
 
 @query("k3_select_sources", f"WITH {_K3} SELECT product_key, url, result_rank, source_pos FROM chosen")
@@ -214,9 +214,9 @@ def aggregated(spark, d):
     return ag.aggregate_products(ids, results, spec(spark, d), frame(spark, d, "fx_synonyms"), values.rules(spark).where("active"))
 
 
-_RECORD = """SELECT p_partkey AS product_key, 'P-' || CAST(p_partkey AS VARCHAR) AS sku, CASE WHEN p_partkey % 6 = 0 THEN 'UNKNOWN' ELSE split_part(p_name, ' ', 1) END AS brand, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 6 END AS n_attributes,
+_RECORD = """SELECT p_partkey AS product_key, 'P-' || CAST(p_partkey AS VARCHAR) AS sku, CASE WHEN p_partkey % 6 = 0 THEN 'UNKNOWN' ELSE split_part(p_name, ' ', 1) END AS brand, CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 6 END AS BIGINT) AS n_attributes,
   p_partkey % 7 <> 0 AND p_partkey % 6 <> 0 AS ready_for_publish, CASE WHEN p_partkey % 7 <> 0 THEN CAST(0.7 AS DOUBLE) END AS confidence, CASE WHEN p_partkey % 7 = 0 THEN 'no_standardized_data' END AS error,
-  CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS sources_used, CASE WHEN p_partkey % 7 = 0 THEN 'failed' ELSE 'success' END AS status FROM part"""
+  CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS sources_used, CASE WHEN p_partkey % 7 = 0 THEN 'failed' ELSE 'success' END AS status FROM part"""
 
 
 @query("g5_aggregate_product", _RECORD)
