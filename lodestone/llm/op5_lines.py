@@ -44,12 +44,10 @@ def _level(t: Column, frequent: list[str], k: int) -> Column:
     return F.when(t.isin(frequent[: LEVELS[-1 - k]]), _level(t, frequent, k + 1)).otherwise(F.lit(k))
 
 
-def first_lines(docs: DataFrame) -> DataFrame:
-    """``id, nos``: for each document the numbers of its lines with a word that no earlier line of the corpus equals."""
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """Every line with a word: its document, number, text, and 128 bits of hash that stand for it."""
     exploded = docs.select("id", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(F.col("line").rlike("[^\\s]"))
-    keys = exploded.select("id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"))
-    first = keys.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("first"))
-    return first.groupBy(F.col("first.id").alias("id")).agg(F.sort_array(F.collect_list("first.no")).alias("nos"))
+    return exploded.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), "line"))
 
 
 def chosen_lines(docs: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -83,13 +81,24 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size(a) + F.size(b) - common)).select("id", "no", "xid", "xno")
 
 
-def prefix_rows(docs: DataFrame, numbers: DataFrame, frequent: list[str], percent: int) -> DataFrame:
-    """A row for each of the rarest ``n - ceil(percent * n) + 1`` tokens of each line: token, its place, size and bitmap of the line."""
-    tokens = chosen_lines(docs, numbers).select("id", "no", by_rarity(tokens_of(F.col("line")), frequent).alias("tokens"))
+def described(lines: DataFrame, frequent: list[str], percent: int) -> DataFrame:
+    """``lines`` with the size and the bitmap of their token sets and the rarest ``n - ceil(percent * n) + 1`` tokens."""
+    tokens = lines.withColumn("tokens", by_rarity(tokens_of(F.col("line")), frequent))
     n = F.size("tokens")
     bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.slice("tokens", 1, n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1)
-    return tokens.select("id", "no", n.alias("n"), bits.alias("bits"), F.posexplode(prefix).alias("pos", "token"))
+    return tokens.select(*[c for c in lines.columns if c != "line"], n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+
+
+def prefix_rows(lines: DataFrame) -> DataFrame:
+    """A row for each prefix token of each line with its place."""
+    return lines.select("id", "no", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+
+
+def first_lines(docs: DataFrame, frequent: list[str], percent: int) -> DataFrame:
+    """The first occurrences of all lines with a word, described; equal lines are merged by an aggregate that carries them."""
+    lines = described(keyed_lines(docs), frequent, percent)
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no", "n", "bits", "prefix")).alias("f")).select("f.*")
 
 
 def as_other(rows: DataFrame) -> DataFrame:
@@ -97,15 +106,14 @@ def as_other(rows: DataFrame) -> DataFrame:
 
 
 def near_matches(docs: DataFrame, firsts: DataFrame, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """``id, no`` of the lines among ``firsts`` that are similar to an earlier one of them.
+    """``id, no`` of the lines among ``firsts`` (described) that are similar to an earlier one of them.
 
     Two lines of the similarity share a token among the prefixes of both. Where a line may match the earliest line with
     a token, by the filters, that one pair stands for the token: the many variants of one line cost a row each. Where it
     may not, it is paired with all earlier lines with the token that the filters let through. Lines whose pairs all fail
     although some pair stood for a token are paired with all earlier lines in a second round.
     """
-    frequent = frequent_tokens(docs.select(F.explode(lines_of(F.col("text"))).alias("line")))
-    rows = prefix_rows(docs, firsts, frequent, percent)
+    rows = prefix_rows(firsts)
     order = F.struct("id", "no", "n", "pos", "bits")
     seeded = rows.withColumn("x", F.min(order).over(Window.partitionBy("token")))
     seeded = seeded.select("token", "id", "no", "n", "pos", "bits", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("id", "no", "n", "pos", "bits")])
@@ -119,10 +127,10 @@ def near_matches(docs: DataFrame, firsts: DataFrame, percent: int, broadcast_row
     left = durable(pairs.where("stands").select("id", "no").distinct().join(near, ["id", "no"], "left_anti"))
     if left.isEmpty():
         return near
-    mine = durable(prefix_rows(docs, left.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("nos")), frequent, percent))
+    mine = durable(prefix_rows(firsts.join(left, ["id", "no"], "left_semi")))
     wanted = mine.select("token").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    others = as_other(prefix_rows(docs, firsts, frequent, percent).join(wanted, "token", "left_semi"))
+    others = as_other(rows.join(wanted, "token", "left_semi"))
     rest = mine.join(others, "token").where(later & possible(percent)).select(*pair).distinct()
     rest = durable(rest.join(pairs.select(*pair), pair, "left_anti"))
     return near.union(similar_pairs(docs, rest, percent).select("id", "no")).distinct()
@@ -138,16 +146,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     valid. Other columns are untouched.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    firsts = durable(first_lines(slim))
-    near = durable(near_matches(slim, firsts, percent))
-    drop = near.groupBy(F.col("id").alias("did")).agg(F.collect_set("no").alias("dropped"))
-    kept = firsts.join(drop, F.col("id").eqNullSafe(F.col("did")), "left").select(
-        F.col("id").alias("__line_of"), F.array_except("nos", F.coalesce("dropped", F.array().cast("array<int>"))).alias("__line_kept")
-    )
+    frequent = frequent_tokens(slim.select(F.explode(lines_of(F.col("text"))).alias("line")))
+    firsts = durable(first_lines(slim, frequent, percent))
+    near = durable(near_matches(slim, firsts, percent)).withColumn("gone", F.lit(True))
+    same = (F.col("f.id").eqNullSafe(F.col("g.id"))) & (F.col("f.no") == F.col("g.no"))
+    stays = firsts.select("id", "no").alias("f").join(near.alias("g"), same, "left_anti")
+    kept = stays.groupBy(F.col("id").alias("__line_of")).agg(F.sort_array(F.collect_list("no")).alias("__line_kept"))
     lines = lines_of(F.col(text_col))
     blank = F.filter(F.sequence(F.lit(0), F.size("__line_lines") - 1), lambda i: ~F.element_at("__line_lines", i + 1).rlike("[^\\s]"))
     stay = F.array_sort(F.concat(blank, F.coalesce("__line_kept", F.array().cast("array<int>"))))
-    out = docs.join(durable(kept), F.col(id_col).eqNullSafe(F.col("__line_of")), "left").withColumn("__line_lines", lines)
+    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__line_of")), "left").withColumn("__line_lines", lines)
     out = out.withColumn("__line_stay", F.when(F.col(text_col).isNotNull(), stay))
     text = F.array_join(F.transform("__line_stay", lambda i: F.element_at("__line_lines", i + 1)), "\n")
     return out.select(
