@@ -11,7 +11,7 @@ from lodestone.llm.common import durable, id_bucket, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that they are mostly in, go."""
+    """Documents without a letter, without a language that they are mostly in, or that fit no language (letter junk), go."""
     return op2_language.keep_identified(docs, op2_language.train(docs.where(id_bucket("doc_id", 4) != 2)))
 
 

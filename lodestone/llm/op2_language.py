@@ -51,12 +51,19 @@ class LanguageModel:
     table: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
     scripts: dict[str, np.ndarray] = field(default_factory=dict)
     clip: float = 8.0
+    even: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
-    def score(self, word: str) -> np.ndarray:
-        """Score of each language, 0 for the best; languages that don't write the word's script are out."""
+    def logs(self, word: str) -> np.ndarray:
+        """Log-probability of the word's trigrams in each language."""
         padded = f"^{word}$"
-        rows = [self.grams.get(padded[i : i + 3], -1) for i in range(len(word))]
-        total = self.table[rows].sum(axis=0)
+        return self.table[[self.grams.get(padded[i : i + 3], -1) for i in range(len(word))]].sum(axis=0)
+
+    def fit(self, word: str, total: np.ndarray) -> np.ndarray:
+        """Evidence that a word of these logs fits each language: how much likelier it is than if all trigrams were as likely."""
+        return (total - len(word) * self.even).astype(np.float32)
+
+    def score(self, word: str, total: np.ndarray) -> np.ndarray:
+        """Score of each language, 0 for the best; languages that don't write the word's script are out."""
         allowed = self.scripts.get(script_of(word[0]))
         if allowed is None:
             return np.zeros(len(self.languages), np.float32)
@@ -114,7 +121,8 @@ def train(
             scripts.setdefault(r.gram, np.zeros(len(languages), bool))[at[r.lang]] = True
     smooth = 0.5
     logs = np.log(n + smooth) - np.log(n.sum(axis=0) + smooth * len(n))
-    return LanguageModel(languages, grams, logs.astype(np.float32), scripts)
+    even = -np.log(np.maximum(1, (n > 0).sum(axis=0)))
+    return LanguageModel(languages, grams, logs.astype(np.float32), scripts, even=even.astype(np.float32))
 
 
 def single_language(scores: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
@@ -170,22 +178,31 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
 
 
 class Labeller:
-    """Scores words through a cache of bounded size and labels a batch of texts."""
+    """Scores words through a cache of bounded size and labels a batch of texts.
 
-    def __init__(self, model: LanguageModel, penalty: float, cache: int = 200_000):
-        self.model, self.penalty, self.cache = model, penalty, cache
+    With ``fits`` it also gives the share of a text's letters in its language, and how well the text fits the languages
+    of its spans: the evidence of ``LanguageModel.fit``, a letter.
+    """
+
+    def __init__(self, model: LanguageModel, penalty: float, cache: int = 200_000, fits: bool = False):
+        self.model, self.penalty, self.cache, self.fits = model, penalty, cache, fits
         self.reset()
 
     def reset(self) -> None:
         labeller = self
         self.rows = np.zeros((1024, len(self.model.languages)), np.float32)
+        self.fit_rows = self.rows.copy()
 
         class Ids(dict):
             def __missing__(self, word):
                 k = len(self)
                 if k == len(labeller.rows):
                     labeller.rows = np.concatenate([labeller.rows, np.zeros_like(labeller.rows)])
-                labeller.rows[k] = labeller.model.score(word)
+                    labeller.fit_rows = np.concatenate([labeller.fit_rows, np.zeros_like(labeller.fit_rows)])
+                total = labeller.model.logs(word)
+                labeller.rows[k] = labeller.model.score(word, total)
+                if labeller.fits:
+                    labeller.fit_rows[k] = labeller.model.fit(word, total)
                 self[word] = k
                 return k
 
@@ -194,6 +211,8 @@ class Labeller:
     def label(self, texts: list[str | None]) -> dict[str, list]:
         langs = self.model.languages
         out = {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts), "spans": [[] for _ in texts]}
+        if self.fits:
+            out |= {"share": [0.0] * len(texts), "fit": [0.0] * len(texts)}
         if len(self.ids) > self.cache:
             self.reset()
         found, ids, letters = [], [], []
@@ -214,6 +233,8 @@ class Labeller:
         chance /= chance.sum(axis=1, keepdims=True)
         mixed = np.flatnonzero(~sure)
         paths = dict(zip(mixed, viterbi([scores[first[j] : first[j] + lengths[j]] for j in mixed], self.penalty), strict=True)) if len(mixed) else {}
+        chosen = np.repeat(best, lengths)
+        shares = np.ones(len(found))
         for j, i in enumerate(found):
             if j not in paths:
                 lang, score, spans = int(best[j]), float(chance[j, best[j]]), [(int(best[j]), 0, int(lengths[j]))]
@@ -221,12 +242,17 @@ class Labeller:
                 path = paths[j]
                 share = np.bincount(path, weights=letters[j], minlength=len(langs))
                 lang, score = int(share.argmax()), float(share.max() / share.sum())
+                chosen[first[j] : first[j] + lengths[j]], shares[j] = path, score
                 edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)]
                 spans = [(int(path[a]), a, b) for a, b in zip(edges, edges[1:])]
                 if len(spans) == 1:
                     score = float(chance[j, lang])
             out["lang_pred"][i], out["score"][i] = langs[lang], score
             out["spans"][i] = [{"lang": langs[k], "start": a, "end": b} for k, a, b in spans]
+        if self.fits:
+            fit = np.add.reduceat(self.fit_rows[np.concatenate(ids), chosen], first, dtype=np.float64) / np.add.reduceat(np.concatenate(letters), first)
+            for j, i in enumerate(found):
+                out["share"][i], out["fit"][i] = float(shares[j]), float(fit[j])
         return out
 
 
@@ -249,20 +275,26 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(
-    docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.2, penalty: float = 12.0, step_chars: int = SLICE_CHARS
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", min_share: float = 0.55, min_fit: float = -2.0, penalty: float = 12.0, step_chars: int = SLICE_CHARS
 ) -> DataFrame:
-    """The rows of ``docs`` whose text has a language with at least ``min_score``; all columns as they were, no shuffle."""
+    """The rows of ``docs`` whose text is mostly in one language that it fits; all columns as they were, no shuffle.
+
+    One language must have at least ``min_share`` of the letters, so even mixtures of two or more go. The text must be
+    no less likely in the languages of its spans than ``exp(min_fit)`` a letter times a text of trigrams that are all as
+    likely, so letters without a language go. Neither bound depends on the number of languages. Texts without a letter
+    go, and all texts if the model has no language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        labeller = Labeller(shared.value, penalty)
+        labeller = Labeller(shared.value, penalty, fits=True)
         for batch in batches:
             text = batch.column(text_col)
             step = max(1, int(step_chars * batch.num_rows // max(1, text.nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 found = labeller.label(part.column(text_col).to_pylist())
-                yield part.filter(pa.array([k != "und" and s >= min_score for k, s in zip(found["lang_pred"], found["score"], strict=True)]))
+                yield part.filter(pa.array([k != "und" and s >= min_share and f >= min_fit for k, s, f in zip(found["lang_pred"], found["share"], found["fit"], strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)
 
