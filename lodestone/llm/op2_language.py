@@ -128,8 +128,10 @@ def train(
 def single_language(scores: np.ndarray, first: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Best language of each text by its total, and whether Viterbi's path surely stays in it.
 
-    It does if no run of words gains more than one penalty in any other language: a path that leaves for m runs gains m
-    such amounts at most and pays m penalties at least.
+    It does if no run of words gains more than one penalty in any other language, and a run at the start and one at the
+    end gain no more than one penalty together. A path that visits the best language and leaves it for m runs gains m such
+    amounts at most and pays m penalties at least. One that never visits it pays m - 1; its first and last run gain one
+    penalty at most together and each of the m - 2 between them one, so it is no better either.
     """
     totals = np.add.reduceat(scores, first, axis=0, dtype=np.float64)
     best = totals.argmax(axis=1)
@@ -137,13 +139,16 @@ def single_language(scores: np.ndarray, first: np.ndarray, penalty: float) -> tu
     owner = np.repeat(np.arange(len(first)), lengths)
     mine = scores[np.arange(len(scores)), best[owner]].astype(np.float64)
     sure = np.ones(len(first), bool)
+    opening, closing = np.zeros(len(first)), np.zeros(len(first))
     for k in range(scores.shape[1]):
         gain = np.cumsum(scores[:, k] - mine)
         before = np.append(0.0, gain[:-1])
         apart = owner * (2.0 * (np.abs(gain).max() + 1.0))
         lowest = np.minimum.accumulate(before - apart) + apart
         sure &= np.maximum.reduceat(gain - lowest, first) <= penalty
-    return best, sure
+        opening = np.maximum(opening, np.maximum.reduceat(gain, first) - before[first])
+        closing = np.maximum(closing, gain[first + lengths - 1] - np.minimum.reduceat(before, first))
+    return best, sure & (opening + closing <= penalty)
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:

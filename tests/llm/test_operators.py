@@ -122,6 +122,21 @@ def test_language_shortcut_agrees_with_viterbi():
     assert 0 < sure.sum() < len(texts)
 
 
+def test_language_shortcut_minds_paths_that_avoid_the_best_total():
+    example = np.array([[0.0, -8.0, -3.0]] * 3 + [[-8.0, 0.0, -3.0]] * 3)
+    best, sure = op2_language.single_language(example, np.array([0]), 12.0)
+    assert best.tolist() == [2] and not sure[0]
+    assert op2_language.viterbi([example], 12.0)[0].tolist() == [0, 0, 0, 1, 1, 1]
+    draw = np.random.default_rng(8)
+    texts = [np.repeat(draw.choice([0.0, -1.0, -3.0, -8.0], size=(m, 3)), draw.integers(1, 5), axis=0) for m in draw.integers(1, 6, 3000)]
+    first = np.append(0, np.cumsum([len(t) for t in texts])[:-1])
+    best, sure = op2_language.single_language(np.concatenate(texts), first, 12.0)
+    for t, b, s, p in zip(texts, best, sure, op2_language.viterbi(texts, 12.0), strict=True):
+        top = t[np.arange(len(t)), p].sum() - 12.0 * (np.diff(p) != 0).sum()
+        assert not s or abs(t[:, b].sum() - top) < 1e-6
+    assert 0 < sure.sum() < len(texts)
+
+
 def simhash(t):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", lower(t)) if x]
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
