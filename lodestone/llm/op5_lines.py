@@ -136,6 +136,17 @@ def near_matches(docs: DataFrame, firsts: DataFrame, percent: int, broadcast_row
     return near.union(similar_pairs(docs, rest, percent).select("id", "no")).distinct()
 
 
+def document_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells documents apart and orders them: the id, or where some ids are null a struct without a null itself.
+
+    Null ids come last, by a hash of their text.
+    """
+    given = F.col(id_col)
+    if docs.where(given.isNull()).isEmpty():
+        return given
+    return F.struct(given.isNull().alias("unknown"), given.alias("given"), F.when(given.isNull(), F.xxhash64(text_col)).alias("text"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with the lines left that no earlier line matches, and ``n_lines`` and ``n_removed``.
 
@@ -143,9 +154,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document. A line with a word is removed if an earlier line equals it, or if the earlier first occurrence of a line
     has a Jaccard similarity of ``percent`` or more with it over distinct words. Lines without a word stay. A null text
     stays null; columns of those two names are replaced; rows that share an id count as one document, whose rows each keep its first lines; an empty table is
-    valid. Other columns are untouched.
+    valid. Other columns are untouched. Rows with a null id come after all others, in the order of a hash of their text;
+    each text of them is a document of its own.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    key = document_key(docs, id_col, text_col)
+    slim = docs.select(key.alias("id"), F.col(text_col).alias("text"))
     frequent = frequent_tokens(slim.select(F.explode(lines_of(F.col("text"))).alias("line")))
     firsts = durable(first_lines(slim, frequent, percent))
     near = durable(near_matches(slim, firsts, percent)).withColumn("gone", F.lit(True))
@@ -155,7 +168,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines_of(F.col(text_col))
     blank = F.filter(F.sequence(F.lit(0), F.size("__line_lines") - 1), lambda i: ~F.element_at("__line_lines", i + 1).rlike("[^\\s]"))
     stay = F.array_sort(F.concat(blank, F.coalesce("__line_kept", F.array().cast("array<int>"))))
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__line_of")), "left").withColumn("__line_lines", lines)
+    out = docs.join(kept, key.eqNullSafe(F.col("__line_of")), "left").withColumn("__line_lines", lines)
     out = out.withColumn("__line_stay", F.when(F.col(text_col).isNotNull(), stay))
     text = F.array_join(F.transform("__line_stay", lambda i: F.element_at("__line_lines", i + 1)), "\n")
     return out.select(

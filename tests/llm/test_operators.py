@@ -220,6 +220,15 @@ def test_line_dedup_of_variants(spark):
     assert {r.doc_id for r in op5_lines.dedup_lines(df).where("n_removed = 1").collect()} == want
 
 
+def test_line_dedup_with_null_ids(spark):
+    base = [f"tok{i}" for i in range(20)]
+    variant = lambda k: " ".join([*base[:k], f"new{k}", *base[k + 1 :]])
+    rows = [(None, variant(18)), (1, variant(19)), (2, variant(17)), (None, "a line that no other row has"), (None, variant(18) + "\nand one more of its own")]
+    out = op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, ""), (1, variant(19)), (2, ""), (None, "a line that no other row has"), (None, "and one more of its own")]
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(want)
+
+
 def test_pii_base_patterns(texts):
     def plain(t):
         out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
