@@ -59,13 +59,16 @@ def fingerprints(texts: list[str | None], seed: int = 42, shingle: int = 3) -> n
     return out
 
 
-def fingerprint_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """Id and fingerprint of each row, with ``hashed`` also the hash of its text."""
+    more = [T.StructField("text_hash", T.LongType())] if hashed else []
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), *more])
+    carried = [F.xxhash64(text_col).alias("text_hash")] if hashed else []
 
     def make():
-        return lambda part: {"id": part["id"], "fp": fingerprints(part["text"]).view(np.int64)}
+        return lambda part: part | {"fp": fingerprints(part["text"]).view(np.int64)}
 
-    return map_slices(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", make, schema)
+    return map_slices(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried), "text", make, schema)
 
 
 @dataclass
@@ -257,9 +260,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; of rows that share that id one stays."""
-    heads = near_duplicates(docs, id_col, text_col).select(F.col("component_id").alias("__head_id")).distinct()
-    return docs.join(heads, F.col(id_col).eqNullSafe(F.col("__head_id")), "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each component: that of the smallest id, null ids last, then of the smallest hash of its text.
+
+    So rows that share an id, or have none, stay if their components differ. Of rows with the same id and text one stays.
+    """
+    prints = fingerprint_table(docs, id_col, text_col, hashed=True)
+    first = F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash")
+    distinct = durable(prints.groupBy("fp").agg(F.min(first).alias("least")))
+    roots = components(link_edges(distinct)).withColumnRenamed("node", "fp")
+    heads = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    heads = heads.select(F.col("least.id").alias("__head_id"), F.col("least.text_hash").alias("__head_hash"))
+    hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__head_id")) & (F.col("__text_hash") == F.col("__head_hash"))
+    return hashed.join(heads, same, "left_semi").dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,6 +154,13 @@ def test_simhash_matches_brute_force(spark, texts):
     assert [rows[k].component_id for k in keys] == [keys[i] for i in labels]
 
 
+def test_keep_one_row_of_each_component(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, c), (None, d), (None, a), (3, None), (None, "")]
+    kept = op3_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, a), (None, b), (1, c), (1, d), (3, None)])
+
+
 def test_trees_find_every_link(spark):
     draw = np.random.default_rng(1)
     near = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
