@@ -50,9 +50,15 @@ def _pair(label: Column, value: Column) -> Column:
     return F.struct(label.alias("label"), value.alias("value"))
 
 
+def markup(html: Column) -> Column:
+    """HTML without comments, scripts and styles, whose text is no markup; one that isn't closed goes on to the end."""
+    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
+
+
 def html_table_pairs(pages: DataFrame) -> DataFrame:
-    """Table rows of two cells; of nested tables the innermost rows."""
-    rows = F.flatten(F.transform(all_of(F.col("html"), r"(?is)<table\b[^>]*>(.*?)</table\s*>"), lambda t: all_of(t, r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|$)")))
+    """Table rows of two cells; of nested tables the innermost rows and the outer ones that hold no table."""
+    tables = F.regexp_extract(markup(F.col("html")), r"(?is)<table\b.*", 0)
+    rows = all_of(tables, r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|</table\s*>|\z)")
     cells = F.transform(rows, lambda r: all_of(r, r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|$)"))
     pairs = F.transform(F.filter(cells, lambda c: F.size(c) == 2), lambda c: _pair(F.regexp_replace(inner_text(F.get(c, F.lit(0))), ":+$", ""), inner_text(F.get(c, F.lit(1)))))
     ok = lambda p: (F.length(p["label"]) > 2) & (F.length(p["label"]) < 100) & (p["value"] != "") & (F.length(p["value"]) < 500)
@@ -61,7 +67,7 @@ def html_table_pairs(pages: DataFrame) -> DataFrame:
 
 def html_definition_pairs(pages: DataFrame) -> DataFrame:
     """Terms and descriptions of definition lists, paired as far as the shorter goes."""
-    blocks = all_of(F.col("html"), r"(?is)<dl\b[^>]*>(.*?)</dl\s*>")
+    blocks = all_of(markup(F.col("html")), r"(?is)<dl\b[^>]*>(.*?)</dl\s*>")
 
     def zipped(block: Column) -> Column:
         dt = all_of(block, r"(?is)<dt\b[^>]*>(.*?)(?=</dt\s*>|<d[td]\b|$)")
@@ -81,7 +87,7 @@ def labelled(text: Column) -> Column:
 
 def text_label_pairs(pages: DataFrame) -> DataFrame:
     """Labelled values in the text of paragraphs, list items, divisions and spans."""
-    blocks = all_of(F.col("html"), rf"(?is)<({'|'.join(BLOCK_TAGS)})\b[^>]*>(.*?)</\1\s*>", 2)
+    blocks = all_of(markup(F.col("html")), rf"(?is)<({'|'.join(BLOCK_TAGS)})\b[^>]*>(.*?)</\1\s*>", 2)
     texts = F.transform(blocks, lambda b: decode_entities(F.regexp_replace(b, "<[^>]*>", "")))
     return _long(pages, F.flatten(F.transform(texts, labelled)), 3)
 
@@ -92,7 +98,7 @@ def attribute_of(tag: Column, name: str) -> Column:
 
 def meta_product_pairs(pages: DataFrame) -> DataFrame:
     """Meta tags with a product property."""
-    tags = all_of(F.col("html"), r"(?is)(<meta\b[^>]*>)")
+    tags = all_of(markup(F.col("html")), r"(?is)(<meta\b[^>]*>)")
     pairs = F.transform(tags, lambda t: F.struct(attribute_of(t, "property").alias("p"), decode_entities(attribute_of(t, "content")).alias("c")))
     kept = F.filter(pairs, lambda s: (s["c"] != "") & F.lower(s["p"]).contains("product"))
     return _long(pages, F.transform(kept, lambda s: _pair(F.initcap(F.replace(F.element_at(F.split(s["p"], ":"), -1), F.lit("_"), F.lit(" "))), s["c"])), 4)
@@ -100,7 +106,9 @@ def meta_product_pairs(pages: DataFrame) -> DataFrame:
 
 def jsonld_product_pairs(pages: DataFrame) -> DataFrame:
     """Scalar fields of linked-data objects whose type names a product."""
-    blocks = all_of(F.col("html"), r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script\s*>")
+    scripts = r"(?is)<!--.*?(?:-->|\z)|<script\b([^>]*)>(.*?)</script\s*>"
+    both = F.arrays_zip(all_of(F.col("html"), scripts, 1).alias("tag"), all_of(F.col("html"), scripts, 2).alias("json"))
+    blocks = F.transform(F.filter(both, lambda b: b["tag"].rlike(r"(?is)\btype\s*=\s*[\"']application/ld\+json[\"']")), lambda b: b["json"])
     rows = pages.select("page_id", F.posexplode(blocks).alias("block", "json")).withColumn("kind", F.get_json_object("json", "$.@type"))
     rows = rows.where(F.try_parse_json("json").isNotNull() & F.coalesce(F.col("kind").contains("Product"), F.lit(False)))
     fields = rows.select("page_id", "block", "json", F.explode(F.json_object_keys("json")).alias("key")).where(~F.col("key").isin("@context", "@type"))

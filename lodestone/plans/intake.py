@@ -181,6 +181,26 @@ def x10(spark, d):
     return ex.extract_named(spec(spark, d), spark.createDataFrame([("Size",), ("Brand",), ("Sku",)], "label string"))
 
 
+def every_page(spark, d):
+    """All pages whole, under negative ids, and the spec pages."""
+    pages = frame(spark, d, "pages").select((-1 - F.col("page_id")).alias("page_id"), "html")
+    return spec(spark, d).select("page_id", "html").unionByName(pages)
+
+
+def wanted_labels(spark):
+    return spark.createDataFrame([("Size",), ("Brand",), ("Sku",)], "label string")
+
+
+#: X2 to X10 over every page. SQL of DuckDB can't express their patterns on free markup; tests hold them against a parser.
+for _name, _op in (
+    ("x2_html_table_pairs_every_page", ex.html_table_pairs), ("x3_html_definition_pairs_every_page", ex.html_definition_pairs), ("x4_text_label_pairs_every_page", ex.text_label_pairs),
+    ("x5_meta_product_pairs_every_page", ex.meta_product_pairs), ("x6_jsonld_product_pairs_every_page", ex.jsonld_product_pairs), ("x7_fallback_extraction_every_page", ex.fallback_extraction),
+    ("x8_extract_page_every_page", ex.extract_page), ("x9_discover_attributes_every_page", ex.discover_attributes),
+):
+    query(_name, None)(lambda spark, d, op=_op: op(every_page(spark, d)))
+query("x10_extract_named_every_page", None)(lambda spark, d: ex.extract_named(every_page(spark, d), wanted_labels(spark)))
+
+
 _KV = """kv AS (SELECT source_id, lower(trim(split_part(line, ':', 1))) AS key, trim(substr(line, instr(line, ':') + 1)) AS value, n
   FROM (SELECT source_id, parts[n] AS line, n FROM (SELECT source_id, string_split(content, chr(10)) AS parts, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS n FROM fx_kv_sources) a) b WHERE instr(line, ':') > 0)"""
 

@@ -1,6 +1,8 @@
 """Registered catalog queries against their SQL, snapshot updates, extraction, plans, and the stream."""
 
+import json
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import pytest
@@ -60,6 +62,78 @@ def test_later_strategy_wins(spark):
     assert [(r.label, r.value) for r in ex.fallback_extraction(pages(spark, html)).collect()] == [("Brand", "two")]
 
 
+class Pairs(HTMLParser):
+    """Pairs of table rows, definition lists, labelled list items, meta tags and linked data, by a parser of tags."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.rows, self.cell, self.data, self.kind, self.pairs = [], None, None, None, set()
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        if tag == "tr":
+            self.rows.append([])
+        elif tag in ("td", "th", "dt", "dd", "li"):
+            self.cell = []
+        elif tag == "table" and self.rows:
+            self.rows[-1].append("")
+        elif tag == "meta" and "product" in attrs.get("property", ""):
+            self.pairs.add((attrs["property"].split(":")[-1].replace("_", " ").title(), attrs["content"]))
+        elif tag == "script":
+            self.kind, self.data = attrs.get("type"), ""
+
+    def handle_data(self, data):
+        if self.data is not None:
+            self.data += data
+        elif self.cell is not None:
+            self.cell.append(data.strip())
+
+    def handle_endtag(self, tag):
+        text = "".join(self.cell or [])
+        if tag in ("td", "th") and self.cell is not None:
+            self.rows[-1].append(text)
+        elif tag == "dt":
+            self.term = text
+        elif tag == "dd":
+            self.pairs.add((self.term.rstrip(":"), text))
+        elif tag == "li" and ":" in text:
+            self.pairs.add(tuple(x.strip() for x in text.split(":", 1)))
+        elif tag == "tr" and self.rows:
+            row = self.rows.pop()
+            if len(row) == 2 and all(row):
+                self.pairs.add((row[0].rstrip(":"), row[1]))
+        elif tag == "script":
+            if self.kind == "application/ld+json":
+                self.pairs |= {(k.title(), v) for k, v in json.loads(self.data).items() if k[0] != "@"}
+            self.data = None
+        if tag in ("td", "th", "dt", "dd", "li"):
+            self.cell = None
+
+
+def test_every_page_is_extracted_whole(spark, tmp_path):
+    table = "<table><tr><td>Weight</td><td>{} kg</td></tr></table>"
+    html = [
+        "<html><body>" + "<p>nothing to find</p>" * 10 + "</body></html>",
+        f"<body><!-- {table.format(1)} <li>Gone: one</li> --><script>var t = '{table.format(2)}<li>Other: two</li>';</script>" + "<p>text</p>" * 20 + table.format(3) + "</body>",
+        f"<body><table><tr><td>{table.format(4)}</td></tr><tr><th>Outer:</th><td>five</td></tr></table><dl><dt>Term:</dt><dd>six <b>7</b></dd></dl>" + "<p>text</p>" * 20,
+        '<meta property="product:list_price" content="8"><!-- <meta property="product:old_price" content="9"><script type="application/ld+json">{"@type":"Product","gone":"x"}</script> -->'
+        '<script>var a = "<!-- no comment";</script><script type="application/ld+json">{"@type":"Product","name":"Nine"}</script>' + "<p>text" * 20 + "<ul><li>Colour: red</li></ul>",
+        "<p>short</p>",
+    ]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").where("p_partkey = 1").write.parquet(f"{tmp_path}/part.parquet")
+    rows = registry.QUERIES["x8_extract_page_every_page"](spark, str(tmp_path)).collect()
+    for i, h in enumerate(html):
+        mine = [r for r in rows if r.page_id == -1 - i]
+        assert {r.error for r in mine} == {"empty_html" if i == 4 else None}
+        assert {(r.label, r.value) for r in mine} == (Pairs(h).pairs or {(None, None)}), i
+    assert {r.label for r in rows if r.page_id == 1} == {"Size", "Brand", "Material Type", "Retail Price", "Name", "Sku"}
+    seen = registry.QUERIES["x8_extract_page_every_page"](spark, SF).where("page_id < 0")
+    assert seen.select("page_id").distinct().count() == frame(spark, SF, "pages").count()
+
+
 def test_main_text(spark):
     text = pages(spark, "<html><head><title>t</title></head><body><nav>n</nav><main> a<b>b</b><script>x</script> &lt;c </main><footer>f</footer></body>").select(ex.html_main_text(F.col("html"))).first()[0]
     assert text == "a b <c"
