@@ -134,8 +134,8 @@ class Scanner:
     def detections(self, text: str, words: set[str]) -> list[tuple[int, int, str, int, float]]:
         """Start, end, label, priority and confidence of what stands after suppression.
 
-        In order of priority, then length, a detection falls if one that stands contains its interval; that also settles
-        two rules of one family that find the same place.
+        In order of length, then priority, a detection falls if one that stands contains its interval and is longer, whatever
+        its priority, or has no less priority; that also settles two rules of one family that find the same place.
         """
         found = [(*m.span(), r.label, r.priority, r.confidence) for w in words for r in self.by.get(w, ()) for m in r.pattern.finditer(text) if m.end() > m.start()]
         found.sort(key=lambda d: (-(d[1] - d[0]), -d[3], d[0], d[2]))
