@@ -8,8 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's checkpoint folder; a temporary one where none is set, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder. Where none is set a temporary one serves a local session only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
