@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from lodestone.storage import shared_folder, shared_path
+
 #: Characters of text that one step of a Python operator holds at a time.
 SLICE_CHARS = 4_000_000
 
@@ -23,13 +24,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage through the cluster's shared checkpoint folder, so that lost executors cost a reread."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    out = df.checkpoint(eager=True)
-    # The shuffles behind the cut are of no more use; their files go when the driver's JVM finds them unreachable.
-    del df
-    spark.sparkContext._jvm.System.gc()
-    return out
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the cluster's shared folder: a cut like ``durable``, in compressed columns."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_CHARS) -> Iterator[dict[str, list]]:

@@ -1,180 +1,235 @@
-"""Line dedup [native]: an exact set-similarity join of lines on the rarest of their tokens; later matches go."""
+"""Line dedup [native]: an exact set-similarity join of lines on the rarest of their tokens; later matches go.
+
+Lines are described in one pass: the size of their token set, a parity bitmap, and as prefix the rarest tokens, of which
+two similar lines must share one. Only narrow rows of prefix tokens are shuffled; texts of lines follow for the few pairs
+that pass the filters. Rarity is that of all lines: tokens are counted in a table of ``BUCKETS`` hash buckets, so two
+tokens of one bucket share a count; that only affects the order, never which lines match.
+"""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import durable, table
+from lodestone.llm.common import table, written
 
-#: Numbers of the most frequent tokens that are set apart from the rest; each step is a level of frequency.
-LEVELS = (64, 1024, 8192)
+#: Hash buckets in which the uses of tokens are counted.
+BUCKETS = 1 << 17
+#: A prefix token of more lines than this is joined by way of its earliest line first, ...
+HOT_LINES = 2048
+#: ... then with parts of at most about so many of its lines.
+PART_LINES = 1 << 14
+#: Prefix tokens are numbers; those from here on have enough uses to be hot.
+MAYBE_HOT = 1 << 30
+#: Hot tokens up to these numbers are listed in the plan, or broadcast.
+LISTED_TOKENS, BROADCAST_TOKENS = 1_000, 200_000
+#: Lines of more tokens than this have a parity of 128 classes; others do with 64.
+LONG_LINE = 80
+#: Bits of the filter that picks the lines whose texts are needed (4 MB at most, however many lines).
+FILTER_BITS = 1 << 25
+
+_SPACES = "\t\r\f\x0b"
+_LINE_KEY = "__line_key"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def tokens_of(line: Column) -> Column:
-    """Distinct words of a line; words are parted by white space."""
-    plain = F.when(line.rlike("[\\t\\r\\f\\x0B]"), F.regexp_replace(line, "[\\t\\r\\f\\x0B]", " ")).otherwise(line)
-    return F.array_remove(F.array_distinct(F.split(plain, " ", -1)), "")
-
-
-def frequent_tokens(lines: DataFrame) -> list[str]:
-    """The most frequent tokens over all lines, the most frequent first; as many as the last of ``LEVELS`` at most.
-
-    They come from a sketch of frequent items that every task fills and one merges; it only orders tokens, so its error
-    has no effect on which lines match.
-    """
-    top = lines.select(F.explode(tokens_of(F.col("line"))).alias("token")).agg(F.expr(f"approx_top_k(token, {LEVELS[-1]}, {8 * LEVELS[-1]})").alias("top"))
-    return [x["item"] for x in top.first().top or []]
+def words_of(line: Column) -> Column:
+    """What white space parts; empty strings among the words."""
+    other = line.contains(_SPACES[0])
+    for space in _SPACES[1:]:
+        other |= line.contains(space)
+    return F.split(F.when(other, F.translate(line, _SPACES, " " * len(_SPACES))).otherwise(line), " ", -1)
 
 
-def by_rarity(tokens: Column, frequent: list[str]) -> Column:
-    """Tokens as numbers in the order of rarity: two bits of frequency level, then 60 bits of a hash."""
-    key = lambda t: F.shiftleft(_level(t, frequent, 0).cast("long"), 60).bitwiseOR(F.shiftrightunsigned(F.xxhash64(t), 4))
-    return F.sort_array(F.transform(tokens, lambda t: key(t)))
-
+def tokens_of(line: Column) -> Column:
+    """Distinct words of a line."""
+    return F.array_remove(F.array_distinct(words_of(line)), "")
 
-def _level(t: Column, frequent: list[str], k: int) -> Column:
-    """0 for a token outside all levels, up to the number of levels for one inside the first."""
-    if k == len(LEVELS) or not frequent:
-        return F.lit(k)
-    return F.when(t.isin(frequent[: LEVELS[-1 - k]]), _level(t, frequent, k + 1)).otherwise(F.lit(k))
 
+def all_lines(docs: DataFrame) -> DataFrame:
+    return docs.select("id", F.posexplode(lines_of(F.col("text"))).alias("no", "line"))
 
-def keyed_lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its document, number, text, and 128 bits of hash that stand for it."""
-    exploded = docs.select("id", F.posexplode(lines_of(F.col("text"))).alias("no", "line")).where(F.col("line").rlike("[^\\s]"))
-    return exploded.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), "line"))
 
+def bucket_of(token_hash: Column) -> Column:
+    return token_hash.bitwiseAND(F.lit(BUCKETS - 1))
 
-def chosen_lines(docs: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``id, no, line`` for the line numbers of each document in ``numbers(id, nos)``."""
-    joined = docs.join(numbers.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")))
-    lines = joined.select("id", "nos", lines_of(F.col("text")).alias("lines"))
-    return lines.select("id", F.posexplode(F.transform("nos", lambda i: F.struct(i.alias("no"), F.element_at("lines", i + 1).alias("line")))).alias("_", "l")).select("id", "l.no", "l.line")
 
+def constants(numbers: list[int], kind: str) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
-def needed(a: Column | str, b: Column | str, percent: int) -> Column:
-    """Least number of common tokens of sets of sizes ``a`` and ``b`` for a Jaccard similarity of ``percent``."""
-    return F.ceil((F.col(a) + F.col(b)) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
 
+def rarity_levels(lines: DataFrame) -> Column:
+    """An array with the level of every bucket: twice the binary logarithm of the uses of its tokens in all lines."""
+    tokens = lines.select(F.explode(words_of(F.col("line"))).alias("token"))
+    counts = tokens.groupBy(bucket_of(F.xxhash64("token")).alias("bucket")).count().collect()
+    levels = [0] * BUCKETS
+    for bucket, n in counts:
+        levels[bucket] = int(2 * math.log2(n))
+    return constants(levels, "tinyint")
 
-def possible(percent: int) -> Column:
-    """Length, positional and bitmap filters for rows (n, pos, bits) and (xn, xpos, xbits) that share a prefix token."""
-    common = needed("n", "xn", percent)
-    ahead = F.least("pos", "xpos") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("xn") - F.col("xpos") - 1)
-    apart = F.bit_count(F.col("bits").bitwiseXOR(F.col("xbits")))
-    return (F.least("n", "xn") >= common) & (ahead >= common) & (apart <= F.col("n") + F.col("xn") - 2 * common)
 
+def described(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """Every line with a word: 128 bits of hash that stand for it, the size ``n`` of its token set, parity, and prefix.
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (id, no, xid, xno) whose lines have the Jaccard similarity, by their whole token sets."""
-    nos = lambda n: F.sort_array(F.collect_set(n)).alias("nos")
-    mine = chosen_lines(docs, pairs.groupBy("id").agg(nos("no")))
-    theirs = chosen_lines(docs, pairs.groupBy(F.col("xid").alias("id")).agg(nos("xno")))
-    both = pairs.join(mine, ["id", "no"]).join(theirs.select(F.col("id").alias("xid"), F.col("no").alias("xno"), F.col("line").alias("xline")), ["xid", "xno"])
-    a, b = tokens_of(F.col("line")), tokens_of(F.col("xline"))
-    common = F.size(F.array_intersect(a, b))
-    return both.where(100 * common >= percent * (F.size(a) + F.size(b) - common)).select("id", "no", "xid", "xno")
+    The prefix holds the rarest ``n - ceil(percent * n) + 1`` tokens as 30 bits of their hashes and one that says whether
+    their bucket has the uses of a hot token. The parity has a bit for each of 64 classes of tokens, set if the line has an
+    odd number of them: sets that differ in d tokens differ in d bits at most. A long line has another for one half of the
+    tokens, and so by their difference for the other half.
+    """
+    empty = F.xxhash64(F.lit(""))
+    hashes = F.array_remove(F.array_distinct(F.transform(words_of(F.col("line")), lambda t: F.xxhash64(t))), empty)
+    level = lambda h: F.get(levels, bucket_of(h).cast("int")).cast("long")
+    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    bits = [-(1 << 63) if k == 63 else 1 << k for k in range(64)]
+    flip = lambda bit: F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(constants(bit, "bigint"), k.bitwiseAND(F.lit(127)).cast("int"))))
+    n = F.size("keys")
+    prefix = F.slice("keys", 1, n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1)
+    return lines.where(F.col("line").rlike("[^\\s]")).withColumn("keys", keys).select(
+        "id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), n.alias("n"),
+        flip(bits + bits).alias("parity"), F.when(n > LONG_LINE, flip(bits + [0] * 64)).otherwise(F.lit(0).cast("long")).alias("half"),
+        F.transform(prefix, lambda k: (k.bitwiseAND(F.lit(MAYBE_HOT - 1)) + F.when(k >= F.lit(int(2 * math.log2(HOT_LINES)) << 56), F.lit(MAYBE_HOT)).otherwise(F.lit(0))).cast("int")).alias("prefix"),
+    )
 
 
-def described(lines: DataFrame, frequent: list[str], percent: int) -> DataFrame:
-    """``lines`` with the size and the bitmap of their token sets and the rarest ``n - ceil(percent * n) + 1`` tokens."""
-    tokens = lines.withColumn("tokens", by_rarity(tokens_of(F.col("line")), frequent))
-    n = F.size("tokens")
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    prefix = F.slice("tokens", 1, n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1)
-    return tokens.select(*[c for c in lines.columns if c != "line"], n.alias("n"), bits.alias("bits"), prefix.alias("prefix"))
+def first_lines(docs: DataFrame, percent: int) -> DataFrame:
+    """The first occurrence of every line with a word, described; of equal lines a task passes on one."""
+    lines = all_lines(docs)
+    described_lines = described(lines, rarity_levels(lines), percent)
+    first = Window.partitionBy("h1", "h2").orderBy("id", "no")
+    return described_lines.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("id", "no", "n", "parity", "half", "prefix")
 
 
 def prefix_rows(lines: DataFrame) -> DataFrame:
-    """A row for each prefix token of each line with its place."""
-    return lines.select("id", "no", "n", "bits", F.posexplode("prefix").alias("pos", "token"))
+    """A row for each prefix token of each line with its place in the order of the line."""
+    return lines.select(F.posexplode("prefix").alias("pos", "token"), "id", "no", "n", "parity", "half")
 
 
-def first_lines(docs: DataFrame, frequent: list[str], percent: int) -> DataFrame:
-    """The first occurrences of all lines with a word, described; equal lines are merged by an aggregate that carries them."""
-    lines = described(keyed_lines(docs), frequent, percent)
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no", "n", "bits", "prefix")).alias("f")).select("f.*")
+def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int) -> DataFrame:
+    """``id, no, xid, xno``: the rows and the earlier ones of ``others`` with the same key that the filters let through.
 
-
-def as_other(rows: DataFrame) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"x{c}") for c in ("id", "no", "n", "pos", "bits")])
+    By length and positions enough tokens may be common, and the parities differ in no more bits than the sets may.
+    """
+    a, b = rows.alias("a"), others.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    enough = lambda common: common * (100 + percent) >= both * percent
+    ahead = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
+    differ = lambda c: F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))
+    within = lambda apart: (both - apart) * (100 + percent) >= both * (2 * percent)
+    halves = F.bit_count(differ("half")) + F.bit_count(differ("parity").bitwiseXOR(differ("half")))
+    alike = within(F.bit_count(differ("parity"))) & ((F.least("a.n", "b.n") <= LONG_LINE) | within(halves))
+    earlier = (F.col("b.id") < F.col("a.id")) | ((F.col("b.id") == F.col("a.id")) & (F.col("b.no") < F.col("a.no")))
+    possible = enough(F.least("a.n", "b.n")) & alike & enough(ahead)
+    same = F.col(f"a.{on[0]}") == F.col(f"b.{on[0]}")
+    for c in on[1:]:
+        same &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    joined = a.join(b, same).where(earlier & possible)
+    return joined.select(F.col("a.id").alias("id"), F.col("a.no").alias("no"), F.col("b.id").alias("xid"), F.col("b.no").alias("xno"))
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, no, line`` and number of tokens ``n`` of the lines of ``pairs``, and of a few others that the filter of fixed size lets through."""
+    slot = F.pmod(F.xxhash64("id", "no"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    ends = pairs.select("id", "no").union(pairs.select("xid", "xno"))
+    wanted = ends.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    lines = all_lines(docs).withColumn("word", word)
+    return lines.join(F.broadcast(written(wanted)), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "no", "line", F.size(tokens_of(F.col("line"))).alias("n"))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``id, no`` of the first lines of the pairs that have the Jaccard similarity, by their whole token sets."""
+    other = texts.select(F.col("id").alias("xid"), F.col("no").alias("xno"), F.col("line").alias("xline"), F.col("n").alias("xn"))
+    both = pairs.join(texts, ["id", "no"]).join(other, ["xid", "xno"])
+    common = F.size(F.array_intersect(tokens_of(F.col("line")), tokens_of(F.col("xline"))))
+    return both.where(common * (100 + percent) >= (F.col("n") + F.col("xn")) * percent).select("id", "no").distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``id, no`` of the lines with a similar earlier line among their pairs.
+
+    Each line is held against its earliest candidate first; only lines that fail it are held against all of theirs.
+    """
+    texts = written(texts_of(docs, pairs))
+    earliest = pairs.groupBy("id", "no").agg(F.min(F.struct("xid", "xno")).alias("x")).select("id", "no", "x.xid", "x.xno")
+    near = written(similar(earliest, texts, percent))
+    rest = written(pairs.join(near, ["id", "no"], "left_anti").join(earliest, ["id", "no", "xid", "xno"], "left_anti"))
+    return near if rest.isEmpty() else near.union(similar(rest, texts, percent))
 
 
-def near_matches(docs: DataFrame, firsts: DataFrame, percent: int, broadcast_rows: int = 500_000) -> DataFrame:
+def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """``id, no`` of the lines among ``firsts`` (described) that are similar to an earlier one of them.
 
-    Two lines of the similarity share a token among the prefixes of both. Where a line may match the earliest line with
-    a token, by the filters, that one pair stands for the token: the many variants of one line cost a row each. Where it
-    may not, it is paired with all earlier lines with the token that the filters let through. Lines whose pairs all fail
-    although some pair stood for a token are paired with all earlier lines in a second round.
+    Two lines of the similarity share a token among the prefixes of both. The lines of a hot token are held against its
+    earliest line first, which settles the many variants of one line with a row each. Those left are joined with all lines
+    of the token, dealt into parts of bounded size.
     """
     rows = prefix_rows(firsts)
-    order = F.struct("id", "no", "n", "pos", "bits")
-    seeded = rows.withColumn("x", F.min(order).over(Window.partitionBy("token")))
-    seeded = seeded.select("token", "id", "no", "n", "pos", "bits", *[F.col(f"x.{c}").alias(f"x{c}") for c in ("id", "no", "n", "pos", "bits")])
-    later = (F.col("xid") < F.col("id")) | ((F.col("xid") == F.col("id")) & (F.col("xno") < F.col("no")))
-    pair = ["id", "no", "xid", "xno"]
-    short = seeded.where(later & possible(percent)).select(*pair, F.lit(True).alias("stands"))
-    long = seeded.where(later & ~possible(percent)).select("token", "id", "no", "n", "pos", "bits").join(as_other(rows), "token").where(later & possible(percent))
-    pairs = durable(short.unionByName(long.select(*pair, F.lit(False).alias("stands"))).groupBy(*pair).agg(F.max("stands").alias("stands")))
-    near = durable(similar_pairs(docs, pairs.select(*pair), percent).select("id", "no").distinct())
-
-    left = durable(pairs.where("stands").select("id", "no").distinct().join(near, ["id", "no"], "left_anti"))
-    if left.isEmpty():
-        return near
-    mine = durable(prefix_rows(firsts.join(left, ["id", "no"], "left_semi")))
-    wanted = mine.select("token").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
-    others = as_other(rows.join(wanted, "token", "left_semi"))
-    rest = mine.join(others, "token").where(later & possible(percent)).select(*pair).distinct()
-    rest = durable(rest.join(pairs.select(*pair), pair, "left_anti"))
-    return near.union(similar_pairs(docs, rest, percent).select("id", "no")).distinct()
-
-
-def document_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """What tells documents apart and orders them: the id, or where some ids are null a struct without a null itself.
-
-    Null ids come last, by a hash of their text.
+    hot = written(rows.where(F.col("token") >= MAYBE_HOT).groupBy("token").count().where(F.col("count") > HOT_LINES))
+    few = hot.count()
+    if not few:
+        return verified(docs, written(candidates(rows, rows, ["token"], percent).distinct()), percent)
+    marked = F.broadcast(hot) if few <= BROADCAST_TOKENS else hot
+    cold = rows.where(~F.col("token").isin([r.token for r in hot.collect()])) if few <= LISTED_TOKENS else rows.join(marked, "token", "left_anti")
+    warm = rows.join(marked, "token")
+    seeds = warm.groupBy("token").agg(F.min(F.struct("id", "no", "n", "pos", "parity", "half")).alias("s")).select("token", "s.*")
+    near = written(verified(docs, written(candidates(warm, seeds, ["token"], percent).distinct()), percent))
+    parts = F.ceil(F.col("count") / PART_LINES).cast("int")
+    targets = warm.withColumn("part", F.pmod(F.xxhash64("id", "no"), parts).cast("int"))
+    open_rows = warm.join(near, ["id", "no"], "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pairs = candidates(cold, cold, ["token"], percent).join(near, ["id", "no"], "left_anti").union(candidates(open_rows, targets, ["token", "part"], percent))
+    return near.union(verified(docs, written(pairs.distinct()), percent)).distinct()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a key of its own for each row, which orders them.
+
+    That is the id where all ids are unique. Otherwise rows are ordered by id (null ids last), then by a hash of their
+    text, then as they were read; these keys are written down before they are used.
     """
-    given = F.col(id_col)
-    if docs.where(given.isNull()).isEmpty():
-        return given
-    return F.struct(given.isNull().alias("unknown"), given.alias("given"), F.when(given.isNull(), F.xxhash64(text_col)).alias("text"))
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").count().where("count > 1 or id is null")
+    if ids.isEmpty():
+        return docs.withColumn(_LINE_KEY, F.col(id_col))
+    key = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("given"), F.xxhash64(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return written(docs.withColumn(_LINE_KEY, key))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` with the lines left that no earlier line matches, and ``n_lines`` and ``n_removed``.
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n_lines: str = "n_lines", n_removed: str = "n_removed"
+) -> DataFrame:
+    """``docs`` with the lines left that no earlier line matches, and the numbers of lines and of lines removed.
 
     Lines are what line feeds part; one comes before another in a document of smaller id, or higher in the same
     document. A line with a word is removed if an earlier line equals it, or if the earlier first occurrence of a line
     has a Jaccard similarity of ``percent`` or more with it over distinct words. Lines without a word stay. A null text
-    stays null; columns of those two names are replaced; rows that share an id count as one document, whose rows each keep its first lines; an empty table is
-    valid. Other columns are untouched. Rows with a null id come after all others, in the order of a hash of their text;
-    each text of them is a document of its own.
+    stays null and has no lines. Other columns are untouched; ``n_lines`` and ``n_removed`` name the columns that are
+    added, in place of columns of those names. An empty table is valid.
+
+    Every row is a document of its own. Rows that share an id come in the order of a hash of their texts, and rows with a
+    null id after all others in that order; of rows alike in both the one read first keeps the lines. Texts of any length
+    are valid: a line is described on its own, and only its prefix tokens are shuffled.
     """
-    key = document_key(docs, id_col, text_col)
-    slim = docs.select(key.alias("id"), F.col(text_col).alias("text"))
-    frequent = frequent_tokens(slim.select(F.explode(lines_of(F.col("text"))).alias("line")))
-    firsts = durable(first_lines(slim, frequent, percent))
-    near = durable(near_matches(slim, firsts, percent)).withColumn("gone", F.lit(True))
-    same = (F.col("f.id").eqNullSafe(F.col("g.id"))) & (F.col("f.no") == F.col("g.no"))
-    stays = firsts.select("id", "no").alias("f").join(near.alias("g"), same, "left_anti")
+    docs = keyed(docs, id_col, text_col)
+    slim = docs.select(F.col(_LINE_KEY).alias("id"), F.col(text_col).alias("text"))
+    firsts = written(first_lines(slim, percent))
+    near = written(near_matches(slim, firsts, percent))
+    stays = firsts.select("id", "no").join(near, ["id", "no"], "left_anti")
     kept = stays.groupBy(F.col("id").alias("__line_of")).agg(F.sort_array(F.collect_list("no")).alias("__line_kept"))
-    lines = lines_of(F.col(text_col))
     blank = F.filter(F.sequence(F.lit(0), F.size("__line_lines") - 1), lambda i: ~F.element_at("__line_lines", i + 1).rlike("[^\\s]"))
-    stay = F.array_sort(F.concat(blank, F.coalesce("__line_kept", F.array().cast("array<int>"))))
-    out = docs.join(kept, key.eqNullSafe(F.col("__line_of")), "left").withColumn("__line_lines", lines)
+    stay = F.sort_array(F.concat(blank, F.coalesce("__line_kept", F.array().cast("array<int>"))))
+    out = docs.join(kept, F.col(_LINE_KEY) == F.col("__line_of"), "left").withColumn("__line_lines", lines_of(F.col(text_col)))
     out = out.withColumn("__line_stay", F.when(F.col(text_col).isNotNull(), stay))
     text = F.array_join(F.transform("__line_stay", lambda i: F.element_at("__line_lines", i + 1)), "\n")
+    total, left = F.size("__line_lines"), F.size("__line_stay")
+    number = lambda c: F.when(F.col(text_col).isNotNull(), c).otherwise(F.lit(0)).cast("long")
+    plain = [c for c in docs.columns if c not in (_LINE_KEY, n_lines, n_removed)]
     return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__line_lines")), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("__line_lines") - F.size("__line_stay")), F.lit(0)).cast("long").alias("n_removed"),
+        *[text.alias(c) if c == text_col else F.col(c) for c in plain], number(total).alias(n_lines), number(total - left).alias(n_removed)
     )
 
 
