@@ -18,13 +18,13 @@ from lodestone.llm.common import table, written
 #: Hash buckets in which the uses of tokens are counted.
 BUCKETS = 1 << 17
 #: A prefix token of more lines than this is joined by way of its earliest line first, ...
-HOT_LINES = 2048
+HOT_LINES = 256
 #: ... then with parts of at most about so many of its lines.
 PART_LINES = 1 << 14
 #: Prefix tokens are numbers; those from here on have enough uses to be hot.
 MAYBE_HOT = 1 << 30
-#: Hot tokens up to these numbers are listed in the plan, or broadcast.
-LISTED_TOKENS, BROADCAST_TOKENS = 1_000, 200_000
+#: Hot tokens up to these numbers are listed in the plan (both sides of the join then share a shuffle), or broadcast.
+LISTED_TOKENS, BROADCAST_TOKENS = 20_000, 200_000
 #: Lines of more tokens than this have a parity of 128 classes; others do with 64.
 LONG_LINE = 80
 #: Bits of the filter that picks the lines whose texts are needed (4 MB at most, however many lines).
@@ -111,7 +111,7 @@ def prefix_rows(lines: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int) -> DataFrame:
-    """``id, no, xid, xno``: the rows and the earlier ones of ``others`` with the same key that the filters let through.
+    """``id, no, n, xid, xno, xn``: the rows and the earlier ones of ``others`` with the same key that the filters let through.
 
     By length and positions enough tokens may be common, and the parities differ in no more bits than the sets may.
     """
@@ -129,7 +129,21 @@ def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int)
     for c in on[1:]:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
     joined = a.join(b, same).where(earlier & possible)
-    return joined.select(F.col("a.id").alias("id"), F.col("a.no").alias("no"), F.col("b.id").alias("xid"), F.col("b.no").alias("xno"))
+    return joined.select(*[F.col(f"{side}.{c}").alias(f"{name}{c}") for side, name in (("a", ""), ("b", "x")) for c in ("id", "no", "n")])
+
+
+def paired(matches: DataFrame, percent: int, whole: bool = True) -> DataFrame:
+    """The pairs ``id, no, xid, xno`` of prefix tokens that match. With ``whole`` all matches of a pair are there.
+
+    Then tokens in common, as far as the prefix that ends first goes, are those that match; so at most as many more are
+    common as follow that prefix.
+    """
+    pairs = matches.groupBy("id", "no", "n", "xid", "xno", "xn").count()
+    after = lambda n: F.floor((F.col(n) * percent + 99) / 100) - 1
+    most = F.col("count") + F.greatest(after("n"), after("xn"))
+    if whole:
+        pairs = pairs.where(most * (100 + percent) >= (F.col("n") + F.col("xn")) * percent)
+    return written(pairs.select("id", "no", "xid", "xno"))
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -173,17 +187,18 @@ def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     hot = written(rows.where(F.col("token") >= MAYBE_HOT).groupBy("token").count().where(F.col("count") > HOT_LINES))
     few = hot.count()
     if not few:
-        return verified(docs, written(candidates(rows, rows, ["token"], percent).distinct()), percent)
+        return verified(docs, paired(candidates(rows, rows, ["token"], percent), percent), percent)
     marked = F.broadcast(hot) if few <= BROADCAST_TOKENS else hot
+    warm = written(rows.join(marked, "token"))
     cold = rows.where(~F.col("token").isin([r.token for r in hot.collect()])) if few <= LISTED_TOKENS else rows.join(marked, "token", "left_anti")
-    warm = rows.join(marked, "token")
     seeds = warm.groupBy("token").agg(F.min(F.struct("id", "no", "n", "pos", "parity", "half")).alias("s")).select("token", "s.*")
-    near = written(verified(docs, written(candidates(warm, seeds, ["token"], percent).distinct()), percent))
+    near = written(verified(docs, paired(candidates(warm, seeds, ["token"], percent), percent, whole=False), percent))
     parts = F.ceil(F.col("count") / PART_LINES).cast("int")
     targets = warm.withColumn("part", F.pmod(F.xxhash64("id", "no"), parts).cast("int"))
     open_rows = warm.join(near, ["id", "no"], "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    pairs = candidates(cold, cold, ["token"], percent).join(near, ["id", "no"], "left_anti").union(candidates(open_rows, targets, ["token", "part"], percent))
-    return near.union(verified(docs, written(pairs.distinct()), percent)).distinct()
+    matches = candidates(cold, cold, ["token"], percent).join(near, ["id", "no"], "left_anti").select("id", "no", "n", "xid", "xno", "xn")
+    matches = matches.union(candidates(open_rows, targets, ["token", "part"], percent))
+    return near.union(verified(docs, paired(matches, percent), percent)).distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

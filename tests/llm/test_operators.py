@@ -361,3 +361,36 @@ def test_hard_rows(spark, hard):
         assert op10_licenses.scan(docs).count() == n
     kept = [r.doc_id for r in op3_simhash.keep_one(hard).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 4, 5, 7, 8] and None in kept
+
+
+def test_line_dedup_of_hot_tokens(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    base = [f"tok{i}" for i in range(20)]
+    lines = [" ".join(np.where(draw.random(20) < 0.12, [f"new{draw.integers(9)}" for _ in base], base)) for _ in range(150)] + [f"tok{i} tok{i + 1} of its own {i % 7}" for i in range(60)]
+    sets = [set(x.split()) for x in lines]
+    want = {i for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    monkeypatch.setattr(op5_lines, "HOT_LINES", 3)
+    for parts, listed in ((8, 1000), (1000, 0)):
+        monkeypatch.setattr(op5_lines, "PART_LINES", parts)
+        monkeypatch.setattr(op5_lines, "LISTED_TOKENS", listed)
+        assert {r.doc_id for r in op5_lines.dedup_lines(df).where("n_removed = 1").collect()} == want
+
+
+def test_line_dedup_of_long_lines(spark):
+    draw = np.random.default_rng(4)
+    base = [f"tok{i}" for i in range(300)]
+    lines = [" ".join(np.where(draw.random(300) < draw.random() * 0.3, [f"new{draw.integers(900)}" for _ in base], base)) for _ in range(60)]
+    sets = [set(x.split()) for x in lines]
+    want = {i for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert 0 < len(want) < 60
+    assert {r.doc_id for r in op5_lines.dedup_lines(df).where("n_removed = 1").collect()} == want
+
+
+def test_line_dedup_with_repeated_ids(spark):
+    rows = [(1, "a first line\nshared by all of them", "x"), (2, "one of two\nshared by all of them", "y"), (2, "two of two\n\tshared by all of them", "z"), (2, "one of two\nshared by all of them", "w"), (None, None, "v")]
+    out = op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string")).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out) == Counter([(1, rows[0][1], 2, 0), (2, "one of two", 2, 1), (2, "two of two", 2, 1), (2, "", 2, 2), (None, None, 0, 0)])
+    named = op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string"), n_lines="a", n_removed="b")
+    assert {r.n_removed for r in named.collect()} == set("xyzwv") and named.columns[-2:] == ["a", "b"]
