@@ -124,11 +124,11 @@ def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int)
     halves = F.bit_count(differ("half")) + F.bit_count(differ("parity").bitwiseXOR(differ("half")))
     alike = within(F.bit_count(differ("parity"))) & ((F.least("a.n", "b.n") <= LONG_LINE) | within(halves))
     earlier = (F.col("b.id") < F.col("a.id")) | ((F.col("b.id") == F.col("a.id")) & (F.col("b.no") < F.col("a.no")))
-    possible = enough(F.least("a.n", "b.n")) & alike & enough(ahead)
+    length = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
     same = F.col(f"a.{on[0]}") == F.col(f"b.{on[0]}")
     for c in on[1:]:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    joined = a.join(b, same).where(earlier & possible)
+    joined = a.join(b, same).where(length & alike & earlier & enough(ahead))
     return joined.select(*[F.col(f"{side}.{c}").alias(f"{name}{c}") for side, name in (("a", ""), ("b", "x")) for c in ("id", "no", "n")])
 
 
@@ -196,9 +196,9 @@ def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     parts = F.ceil(F.col("count") / PART_LINES).cast("int")
     targets = warm.withColumn("part", F.pmod(F.xxhash64("id", "no"), parts).cast("int"))
     open_rows = warm.join(near, ["id", "no"], "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    matches = candidates(cold, cold, ["token"], percent).join(near, ["id", "no"], "left_anti").select("id", "no", "n", "xid", "xno", "xn")
-    matches = matches.union(candidates(open_rows, targets, ["token", "part"], percent))
-    return near.union(verified(docs, paired(matches, percent), percent)).distinct()
+    matches = candidates(cold, cold, ["token"], percent).union(candidates(open_rows, targets, ["token", "part"], percent))
+    pairs = paired(matches, percent).join(near, ["id", "no"], "left_anti")
+    return near.union(verified(docs, pairs, percent)).distinct()
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
