@@ -197,7 +197,7 @@ def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     targets = warm.withColumn("part", F.pmod(F.xxhash64("id", "no"), parts).cast("int"))
     open_rows = warm.join(near, ["id", "no"], "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     matches = candidates(cold, cold, ["token"], percent).union(candidates(open_rows, targets, ["token", "part"], percent))
-    pairs = paired(matches, percent).join(near, ["id", "no"], "left_anti")
+    pairs = written(paired(matches, percent).join(near, ["id", "no"], "left_anti"))
     return near.union(verified(docs, pairs, percent)).distinct()
 
 
