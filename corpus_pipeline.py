@@ -1,4 +1,9 @@
-"""A training corpus from documents: each stage applies one operator to all that the one before it kept."""
+"""A training corpus from documents: each stage applies one operator to all that the one before it kept.
+
+For all stages: columns besides ``doc_id``, ``text``, ``lang`` and ``n_chars`` pass untouched, whatever their names; empty
+tables are valid; ids may be null or repeated, since each row counts for itself. Null and empty texts have no language, so
+the first stage drops them; the later stages by themselves keep a null text as it is.
+"""
 
 from __future__ import annotations
 
@@ -16,14 +21,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line matches go, and documents that lose all their words by it; ``n_chars`` follows."""
-    out = op5_lines.dedup_lines(docs)
-    out = out.where("n_removed = 0 or text rlike '[^\\\\s]'")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Lines that an earlier line matches go, and documents that lose all their words by it; a column ``n_chars`` follows."""
+    out = op5_lines.dedup_lines(docs, n_lines="__n_lines", n_removed="__n_removed")
+    out = out.where("__n_removed = 0 or text rlike '[^\\\\s]'")
+    changed = F.when(F.col("__n_removed") > 0, F.length("text").cast("long"))
+    return out.select(*[F.coalesce(changed, c).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group of near-duplicates stays: that of the smallest id, null ids last, then by a hash of the text."""
     return op3_simhash.keep_one(docs)
 
 
