@@ -12,12 +12,12 @@ VIEWS = {
     "fx_observations": r"""
 SELECT l_partkey AS product_key, attribute, CAST(pos AS BIGINT) AS pos, value, source FROM (
  SELECT l_partkey, pos, l_suppkey, l_linenumber, l_returnflag, l_linestatus,
-  CASE pos % 4 WHEN 0 THEN 'screen_size' WHEN 1 THEN 'color' WHEN 2 THEN 'ip_rating' ELSE 'features' END AS attribute,
+  CASE pos % 4 WHEN 0 THEN 'width' WHEN 1 THEN 'finish' WHEN 2 THEN 'grade' ELSE 'extras' END AS attribute,
   CASE pos % 4
    WHEN 0 THEN CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'N/A'
      ELSE concat(CAST(CAST(l_quantity AS INT) AS STRING), CASE l_linenumber % 3 WHEN 0 THEN ' inch' WHEN 1 THEN '"' ELSE '  IN ' END) END
    WHEN 1 THEN CASE l_linenumber % 5 WHEN 0 THEN '  Deep   Blue ' WHEN 1 THEN 'deep blue' WHEN 2 THEN 'Black' WHEN 3 THEN 'Deep Bluee' ELSE 'TBD' END
-   WHEN 2 THEN CASE l_linenumber % 4 WHEN 0 THEN 'Rated IP67' WHEN 1 THEN 'IPX7 certified' WHEN 2 THEN 'ip68' ELSE 'None' END
+   WHEN 2 THEN CASE l_linenumber % 4 WHEN 0 THEN 'Sold as Grade B' WHEN 1 THEN 'Grade A on arrival' WHEN 2 THEN 'grade c' ELSE 'None' END
    ELSE CASE l_linenumber % 4 WHEN 0 THEN 'Bluetooth' WHEN 1 THEN 'GPS' WHEN 2 THEN ' bluetooth ' ELSE 'Wi-Fi' END
   END AS value,
   CASE l_suppkey % 8 WHEN 0 THEN 'manufacturer' WHEN 1 THEN 'official_site' WHEN 2 THEN 'truth_engine' WHEN 3 THEN 'datasheet'
@@ -101,8 +101,8 @@ SELECT * FROM (VALUES ('manufacturer', 0.95), ('official_site', 0.9), ('truth_en
  ('vendor', 0.65), ('inference', 0.4)) AS w(source, confidence)
 """,
     "fx_synonyms": r"""
-SELECT * FROM (VALUES ('Size', 'screen_size', 0.99), ('Display Size', 'screen_size', 0.99), ('Screen Size', 'screen_size', 0.99),
- ('Water Rating', 'ip_rating', 0.97), ('Ingress Protection', 'ip_rating', 0.97), ('Brand', 'brand', 0.95), ('Manufacturer', 'brand', 0.95)) AS s(label, canonical, confidence)
+SELECT * FROM (VALUES ('Size', 'width', 0.98), ('Product Type', 'part_type', 0.9), ('Retail Price', 'list_price', 0.96), ('Sku', 'stock_number', 0.93),
+ ('Flag', 'stock_flag', 0.9)) AS s(label, canonical, confidence)
 """,
 }
 

@@ -62,9 +62,15 @@ def source_confidence(source: Column) -> Column:
     return out
 
 
-def similar(a: Column, b: Column, threshold: float = 0.9) -> Column:
+def edit_similar(a: Column, b: Column, threshold: float = 0.9) -> Column:
     """Equal, or with a share of at most ``1 - threshold`` of edits; for texts that are cleaned and in lower case."""
     longest = F.greatest(F.length(a), F.length(b))
     bound = F.lit(1 - threshold + 1e-9)
     near = F.abs(F.length(a) - F.length(b)) <= longest * bound
     return (a == b) | (near & (F.levenshtein(a, b) <= longest * bound))
+
+
+def maybe_similar(a: Column, b: Column, threshold: float = 0.9) -> Column:
+    """Whether the matching-blocks ratio can reach ``threshold``: it is one less edits over both lengths at most."""
+    both, shorter = F.length(a) + F.length(b), F.least(F.length(a), F.length(b))
+    return (2 * shorter >= both * F.lit(threshold - 1e-9)) & (F.levenshtein(a, b) <= both * F.lit(1 - threshold + 1e-9))

@@ -28,12 +28,6 @@ def removed_values(cleaned: DataFrame) -> DataFrame:
     return cleaned.where("status <> 'valid'").select("product_key", "attribute", "pos", "value", "source", F.col("status").alias("reason"))
 
 
-def first_valid(observations: DataFrame) -> DataFrame:
-    """Valid observations only, by an ordered window; for groups known to be small."""
-    w = Window.partitionBy("product_key", "attribute", F.lower(normalize_text(F.col("value")))).orderBy("pos")
-    return observations.where(~is_invalid(F.col("value"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-
-
 def issue_placeholder(attributes: DataFrame) -> DataFrame:
     """Attributes whose value is a placeholder."""
     return _issue(attributes.where(is_invalid(F.col("value"))), F.format_string("Placeholder detected: '%s'", F.coalesce("value", F.lit(""))))

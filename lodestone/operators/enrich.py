@@ -9,8 +9,9 @@ from lodestone.schemas import ENRICHMENT, ENRICHMENT_REVIEW_BELOW
 
 
 def enrichment_input(products: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Brand and category with defaults, and the attributes as JSON with sorted keys."""
-    pairs = attributes.groupBy("product_code").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("attribute", "value")))).alias("a"))
+    """Brand and category with defaults, and the attributes as JSON with sorted keys; of several values the least."""
+    single = attributes.where("attribute is not null").groupBy("product_code", "attribute").agg(F.min("value").alias("value"))
+    pairs = single.groupBy("product_code").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("attribute", "value")))).alias("a"))
     rows = products.join(pairs, "product_code", "left")
     default = lambda c, text: F.coalesce(F.nullif(c, F.lit("")), F.lit(text))
     return rows.select("product_code", default("brand_name", "Generic").alias("brand"), default("category_1", "Product").alias("category"), F.coalesce(F.to_json("a"), F.lit("{}")).alias("attributes"))

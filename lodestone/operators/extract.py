@@ -111,10 +111,9 @@ def jsonld_product_pairs(pages: DataFrame) -> DataFrame:
     blocks = F.transform(F.filter(both, lambda b: b["tag"].rlike(r"(?is)\btype\s*=\s*[\"']application/ld\+json[\"']")), lambda b: b["json"])
     rows = pages.select("page_id", F.posexplode(blocks).alias("block", "json")).withColumn("kind", F.get_json_object("json", "$.@type"))
     rows = rows.where(F.try_parse_json("json").isNotNull() & F.coalesce(F.col("kind").contains("Product"), F.lit(False)))
-    fields = rows.select("page_id", "block", "json", F.explode(F.json_object_keys("json")).alias("key")).where(~F.col("key").isin("@context", "@type"))
-    value = F.try_variant_get(F.try_parse_json("json"), F.concat(F.lit("$['"), F.col("key"), F.lit("']")), "string")
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("json"), F.concat(F.lit("$['"), F.col("key"), F.lit("']")), "variant"))
-    scalar = ~kind.rlike("^(OBJECT|ARRAY|VOID)")
+    fields = rows.select("page_id", "block", F.explode(F.from_json("json", "map<string,variant>")).alias("key", "field")).where(~F.col("key").isin("@context", "@type"))
+    value = F.try_variant_get("field", "$", "string")
+    scalar = ~F.schema_of_variant("field").rlike("^(OBJECT|ARRAY|VOID)")
     out = fields.where(F.coalesce(scalar, F.lit(False))).select("page_id", F.initcap("key").alias("label"), value.alias("value"), F.lit(5).alias("strategy"), F.col("block").alias("ord"))
     return out.where(F.col("value").isNotNull())
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from collections import defaultdict
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -53,3 +55,29 @@ def similarity_ratio(a: Column, b: Column) -> Column:
         return pd.Series([SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
 
     return ratio(a, b)
+
+
+def dissimilar_positions(values: Column, threshold: float = 0.9) -> Column:
+    """D3: for an array of texts the positions, from 0, of those that stay: each whose ratio with none that stayed reaches
+    ``threshold``. A text is held against those of a length that allows it, by bounds on the ratio first."""
+
+    def kept(texts) -> list[int]:
+        out, by_length = [], defaultdict(list)
+        for k, new in enumerate(texts):
+            n = len(new)
+            near = range(math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9) + 1)
+            lengths = near if len(near) < len(by_length) else [m for m in by_length if m in near]
+            for seen in (s for m in lengths for s in by_length.get(m, ())):
+                match = SequenceMatcher(None, new, seen)
+                if new == seen or match.quick_ratio() >= threshold and match.ratio() >= threshold:
+                    break
+            else:
+                out.append(k)
+                by_length[n].append(new)
+        return out
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def positions(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else kept(x) for x in lists], dtype=object)
+
+    return positions(values)

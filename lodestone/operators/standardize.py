@@ -9,29 +9,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import clean_value, number_and_unit, similar, source_confidence
+from lodestone.functions.text import clean_value, edit_similar, maybe_similar, number_and_unit, source_confidence
+from lodestone.operators.model_hook import dissimilar_positions, similarity_ratio
 from lodestone.schemas import REVIEW_BELOW
 
 _KEYS = ["product_key", "attribute"]
 
 
 def value_lists(observations: DataFrame) -> DataFrame:
-    """``product_key, attribute, vals``: different cleaned values by first position."""
-    cleaned = observations.withColumn("value", clean_value(F.col("value"))).where(F.col("value") != "").withColumn("low", F.lower("value"))
+    """``product_key, attribute, vals``: different cleaned values by first position, null where all are empty."""
+    low = F.lower(clean_value(F.col("value")))
+    cleaned = observations.withColumn("low", F.nullif(low, F.lit(""))).withColumn("value", clean_value(F.col("value")))
     first = cleaned.groupBy(*_KEYS, "low").agg(F.min(F.struct("pos", "value", "source")).alias("v"))
     item = F.struct(
         F.col("v.pos").alias("pos"), F.col("v.value").alias("value"), "low", F.col("v.source").alias("source"),
         source_confidence(F.col("v.source")).alias("conf"), number_and_unit(F.col("v.value"))["number"].alias("number"),
     )
-    return first.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(item)).alias("vals"))
+    lists = first.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.when(F.col("low").isNotNull(), item))).alias("vals"))
+    return lists.withColumn("vals", F.when(F.size("vals") > 0, F.col("vals")))
 
 
-def keep_dissimilar(vals: Column, threshold: float = 0.9) -> Column:
-    """D3: in order, a value stays if it is similar to none that stayed."""
-    return F.aggregate(
-        vals, F.slice(vals, 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda k: similar(x["low"], k["low"], threshold)), acc).otherwise(F.concat(acc, F.array(x))),
-    )
+def keep_dissimilar(vals: str, threshold: float = 0.9, method: str = "ratio") -> Column:
+    """D3: in order, a value stays if it is similar to none that stayed.
+
+    By ``ratio`` values are similar if their matching-blocks ratio reaches the threshold, in Arrow batches and only for
+    lists of several; by ``edit`` if the share of edits is small, without Python.
+    """
+    if method == "edit":
+        return F.aggregate(
+            vals, F.slice(vals, 1, 0),
+            lambda acc, x: F.when(F.exists(acc, lambda k: edit_similar(x["low"], k["low"], threshold)), acc).otherwise(F.concat(acc, F.array(x))),
+        )
+    lows = F.transform(vals, lambda v: v["low"])
+    positions = dissimilar_positions(F.when(F.size(lows) > 1, lows), threshold)
+    return F.when(positions.isNull(), F.col(vals)).otherwise(F.transform(positions, lambda i: F.get(vals, i)))
+
+
+def similar_values(observations: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The similar pairs ``attribute, a, b`` (a before b) among the different cleaned values of each attribute.
+
+    Lengths of similar values lie in the same band or in adjoining ones; edits bound the ratio, which scores what is left.
+    """
+    v = observations.select("attribute", F.lower(clean_value(F.col("value"))).alias("low")).distinct()
+    base = (2 - threshold) / threshold
+    band = F.floor(F.log(F.greatest(F.length("low"), F.lit(1))) / F.log(F.lit(base))).cast("int")
+    a = v.select("attribute", F.col("low").alias("a"), band.alias("band"))
+    b = v.select("attribute", F.col("low").alias("b"), F.explode(F.array(*[band + k for k in (-1, 0, 1)])).alias("band"))
+    pairs = a.join(b, ["attribute", "band"]).where((F.col("a") < F.col("b")) & maybe_similar(F.col("a"), F.col("b"), threshold))
+    return pairs.where(similarity_ratio(F.col("a"), F.col("b")) >= threshold).select("attribute", "a", "b")
 
 
 def by_confidence(vals: Column) -> Column:
@@ -94,9 +119,8 @@ def standardize(observations: DataFrame, rules: DataFrame, max_rules: int = 10_0
     """
     rules = rules.select("attribute", "type", "allowed", "min", "max", "unit", "multi_value")
     rules = F.broadcast(rules) if rules.count() <= max_rules else rules
-    lists = value_lists(observations).withColumn("vals", by_confidence(keep_dissimilar(F.col("vals"))))
-    all_keys = observations.select(*_KEYS).distinct()
-    out = resolve(all_keys.join(lists, _KEYS, "left").join(rules, "attribute", "left"))
+    lists = value_lists(observations).withColumn("vals", by_confidence(keep_dissimilar("vals")))
+    out = resolve(lists.join(rules, "attribute", "left"))
     top = F.get("vals", F.lit(0))["conf"]
     number = number_and_unit(F.col("chosen"))
     matches = F.flatten(F.transform("vals", lambda v: F.transform(F.filter("allowed", lambda a: F.contains(v["low"], F.lower(a))), lambda a: F.struct(a.alias("a"), v["conf"].alias("conf")))))

@@ -54,7 +54,8 @@ def unit(x: str) -> str:
 
 
 def sim(a: str, b: str) -> str:
-    return f"({a} = {b} OR levenshtein({a}, {b}) <= greatest(length({a}), length({b})) * 0.100000001)"
+    """The ratio of matching blocks for values that differ by insertions or by substitutions, as those of the views do."""
+    return f"({a} = {b} OR 2.0 * (greatest(length({a}), length({b})) - levenshtein({a}, {b})) >= 0.9 * (length({a}) + length({b})) - 1e-9)"
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
@@ -66,8 +67,8 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 RULES_SQL = """rules AS (SELECT * FROM (VALUES
- ('ip_rating', 'enum', ['IPX7', 'IP67', 'IP68', 'IPX8'], NULL, NULL, NULL, false), ('screen_size', 'numeric', NULL, 1.0, 40.0, 'inches', false),
- ('features', NULL, NULL, NULL, NULL, NULL, true)) AS r(attribute, type, allowed, low_bound, high_bound, rule_unit, multi_value))"""
+ ('grade', 'enum', ['Grade A', 'Grade B', 'Grade C'], NULL, NULL, NULL, false), ('width', 'numeric', NULL, 2.0, 45.0, 'inches', false),
+ ('extras', NULL, NULL, NULL, NULL, NULL, true)) AS r(attribute, type, allowed, low_bound, high_bound, rule_unit, multi_value))"""
 
 
 @query("c1_normalize_text", f"SELECT doc_id, md5({norm('text')}) AS normalized FROM documents")
@@ -207,22 +208,17 @@ _FLAT = "SELECT product_key, attribute, standard_value, standard_number, unit, d
 @query("d2_values_are_similar", f"""WITH v AS (SELECT DISTINCT attribute, lower({clean('value')}) AS low FROM fx_observations)
   SELECT a.attribute, a.low AS a, b.low AS b FROM v a JOIN v b ON a.attribute = b.attribute AND a.low < b.low WHERE {sim('a.low', 'b.low')}""")
 def d2(spark, d):
-    v = observations(spark, d).select("attribute", F.lower(tx.clean_value(F.col("value"))).alias("low")).distinct()
-    # Lengths of similar texts differ by a tenth at most, so they lie in the same band of lengths or in adjoining ones.
-    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / F.log(F.lit(1.12))).cast("int")
-    a = v.select("attribute", F.col("low").alias("a"), band("low").alias("band"))
-    b = v.select("attribute", F.col("low").alias("b"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: band("low") + k)).alias("band"))
-    return a.join(b, ["attribute", "band"]).where((F.col("a") < F.col("b")) & tx.similar(F.col("a"), F.col("b"))).select("attribute", "a", "b")
+    return st.similar_values(observations(spark, d))
 
 
 @query("d3_deduplicate_values", f"WITH {chain()} SELECT product_key, attribute, v.pos AS pos, v.value AS value FROM kept")
 def d3(spark, d):
-    kept = st.value_lists(observations(spark, d)).select("product_key", "attribute", F.explode(st.keep_dissimilar(F.col("vals"))).alias("v"))
+    kept = st.value_lists(observations(spark, d)).select("product_key", "attribute", F.explode(st.keep_dissimilar("vals")).alias("v"))
     return kept.select("product_key", "attribute", "v.pos", "v.value")
 
 
 def ordered(spark, d):
-    return st.value_lists(observations(spark, d)).withColumn("vals", st.by_confidence(st.keep_dissimilar(F.col("vals"))))
+    return st.value_lists(observations(spark, d)).withColumn("vals", st.by_confidence(st.keep_dissimilar("vals")))
 
 
 @query("d4_numeric_clusters", f"WITH {chain()} SELECT product_key, attribute, c.seed AS seed, round(c.weight, 4) AS weight, c.value AS value, CAST(c.n AS INT) AS n FROM (SELECT product_key, attribute, unnest(clusters) AS c FROM clustered) x")
@@ -253,8 +249,8 @@ def standardized(spark, d):
 
 
 for _name, _where in (
-    ("d7_std_multi_value", "attribute = 'features'"), ("d8_std_enum", "attribute = 'ip_rating'"), ("d9_std_numeric", "attribute = 'screen_size'"),
-    ("d10_std_default", "attribute = 'color'"), ("d11_standardize_attribute", "true"),
+    ("d7_std_multi_value", "attribute = 'extras'"), ("d8_std_enum", "attribute = 'grade'"), ("d9_std_numeric", "attribute = 'width'"),
+    ("d10_std_default", "attribute = 'finish'"), ("d11_standardize_attribute", "true"),
 ):
     query(_name, f"WITH {chain()} {_FLAT} WHERE {_where}")(lambda spark, d, w=_where: flat(standardized(spark, d).where("status = 'ok'").where(w)))
 

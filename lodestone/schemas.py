@@ -19,10 +19,10 @@ MIN_PAGE_CHARS = 100
 RULE_FIELDS = "attribute string, type string, allowed array<string>, min double, max double, unit string, multi_value boolean"
 #: Example rules for the derived views.
 EXAMPLE_RULES = [
-    ("r1", "ip_rating", "enum", ["IPX7", "IP67", "IP68", "IPX8"], None, None, None, False, True),
-    ("r2", "screen_size", "numeric", None, 1.0, 40.0, "inches", False, True),
-    ("r3", "features", None, None, None, None, None, True, True),
-    ("r4", "color", "enum", ["Black"], None, None, None, False, False),
+    ("r1", "grade", "enum", ["Grade A", "Grade B", "Grade C"], None, None, None, False, True),
+    ("r2", "width", "numeric", None, 2.0, 45.0, "inches", False, True),
+    ("r3", "extras", None, None, None, None, None, True, True),
+    ("r4", "finish", "enum", ["Matt"], None, None, None, False, False),
 ]
 RULES_SCHEMA = f"rule_id string, {RULE_FIELDS}, active boolean"
 

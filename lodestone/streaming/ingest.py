@@ -24,7 +24,9 @@ def latest_version(spark: SparkSession, folder: str) -> int:
     """The last version whose pointer was written, -1 without any."""
     try:
         return spark.read.parquet(f"{folder}/versions").selectExpr("max(version)").first()[0]
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return -1
 
 

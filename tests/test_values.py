@@ -2,17 +2,19 @@
 
 import random
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import cleaning, standardize as st
+from lodestone.operators import cleaning, enrich, extract, standardize as st
 from lodestone.operators.model_hook import safe_apply, similarity_ratio
 from lodestone.schemas import RULES_SCHEMA
+from lodestone.streaming import ingest
 
 RULES = [
-    ("r1", "ip", "enum", ["IPX7", "IP67", "IP68", "IPX8"], None, None, None, False, True), ("r2", "size", "numeric", None, 1.0, 100.0, "inches", False, True),
+    ("r1", "grade", "enum", ["Grade A", "Grade B"], None, None, None, False, True), ("r2", "size", "numeric", None, 1.0, 100.0, "inches", False, True),
     ("r3", "tags", None, None, None, None, None, True, True),
 ]
 
@@ -53,10 +55,28 @@ def test_issues(spark):
 
 def test_dissimilar_values_are_kept_in_order(spark):
     lists = st.value_lists(observe(spark, "a", [(v, "web") for v in ("deep blue", "deep bluee", "black")]))
-    kept = lists.select(st.keep_dissimilar(F.col("vals")).alias("k")).first().k
+    kept = lists.select(st.keep_dissimilar("vals").alias("k")).first().k
     assert [k.value for k in kept] == ["deep blue", "black"]
 
 
+def test_dissimilar_values_match_a_plain_fold(spark):
+    draw = random.Random(9)
+    stems = ["black", "graphite", "bluetooth", "deep blue", "usb port", "", "x"]
+    lists = [[draw.choice(stems) + draw.choice(["", "s", " 5", "er", " x"]) for _ in range(draw.randint(1, 12))] for _ in range(60)]
+    rows = [(k, "a", i, v, "web") for k, values in enumerate(lists) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "product_key long, attribute string, pos long, value string, source string")
+    got = {r.product_key: [x.value for x in r.k or []] for r in st.value_lists(df).select("product_key", st.keep_dissimilar("vals").alias("k")).collect()}
+    for k, values in enumerate(lists):
+        kept = []
+        for v in (" ".join(x.split()) for x in values):
+            if v and not any(SequenceMatcher(None, v, seen).ratio() >= 0.9 for seen in kept):
+                kept.append(v)
+        assert got[k] == kept
+    distinct = sorted({" ".join(v.split()) for values in lists for v in values})
+    want = {(a, b) for a in distinct for b in distinct if a < b and SequenceMatcher(None, a, b).ratio() >= 0.9}
+    assert {(r.a, r.b) for r in st.similar_values(df).collect()} == want
+
+
 def test_conflicts(spark):
     a = standard(spark, "other", [("10 in", "vendor"), ("20 in", "manufacturer"), ("10.2 in", "web")])
     assert (a.standard_value, a.reason) == ("10.2 in", "Consensus from 2 sources")
@@ -65,8 +85,8 @@ def test_conflicts(spark):
 
 
 def test_rules(spark):
-    a = standard(spark, "ip", [("Rated IP67", "web")])
-    assert (a.standard_value, round(a.confidence, 4), a.conflicts) == ("IP67", 0.75, ["Rated IP67"])
+    a = standard(spark, "grade", [("Sold as grade b", "web")])
+    assert (a.standard_value, round(a.confidence, 4), a.conflicts) == ("Grade B", 0.75, ["Sold as grade b"])
     b = standard(spark, "size", [("150 inch", "web")])
     assert (b.standard_number, b.unit, b.confidence) == (100.0, "inches", 0.7)
     c = standard(spark, "size", [("large", "web")])
@@ -99,3 +119,24 @@ def test_user_function_never_fails_the_job(spark):
     assert got == {1: (True, '{"n": 3}', None), 2: (False, None, "llm_exception"), 3: (False, None, "invalid_response"), 4: (False, None, "empty_prompt"), 5: (False, None, "empty_prompt")}
     assert safe_apply(df.where("id = 2"), "id", "t", call, lambda t: {"b": 1}).first().value_json == '{"b": 1}'
     assert abs(spark.createDataFrame([("deep bluee", "deep blue")], "a string, b string").select(similarity_ratio(F.col("a"), F.col("b"))).first()[0] - 18 / 19) < 1e-9
+
+
+def test_enrichment_input_of_repeated_attributes(spark):
+    products = spark.createDataFrame([("p", None, "c"), ("q", "b", "")], "product_code string, brand_name string, category_1 string")
+    attributes = spark.createDataFrame([("p", "size", "2"), ("p", "size", "1"), ("p", "hue", None)], "product_code string, attribute string, value string")
+    got = {tuple(r) for r in enrich.enrichment_input(products, attributes).collect()}
+    assert got == {("p", "Generic", "c", '{"hue":null,"size":"1"}'), ("q", "b", "Product", "{}")}
+
+
+def test_linked_data_with_quotes_in_keys(spark):
+    page = """<script type="application/ld+json">{"@type": "Product", "maker's name": "O'Neil", "a.b['x']": 5, "offers": {"p": 1}, "none": null}</script>"""
+    got = {(r.label, r.value) for r in extract.jsonld_product_pairs(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()}
+    assert {v for _, v in got} == {"O'Neil", "5"} and len(got) == 2
+
+
+def test_versions_of_a_broken_folder_are_no_empty_catalog(spark, tmp_path):
+    assert ingest.latest_version(spark, str(tmp_path / "none")) == -1
+    (tmp_path / "versions").mkdir()
+    (tmp_path / "versions" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        ingest.latest_version(spark, str(tmp_path))
