@@ -43,6 +43,12 @@ class Pool:
         self.items.append(item)
         self.held += len(item[1])
 
+    @staticmethod
+    def cut_at(item: tuple, tokens: int, loss: int) -> int:
+        """Most ids of the item's beginning within both limits: what bears no loss is free, and so is a piece's first id."""
+        _, ids, start, _, first = item
+        return min(tokens, len(ids), max(first, start + 1) - start + loss)
+
     def bins(self, until: int) -> Iterator[list[tuple]]:
         """Fill sequences until at most ``until`` tokens wait.
 
@@ -63,8 +69,9 @@ class Pool:
                     taken, rest = self.items[k], None
                 else:
                     k = int(size.argmax())
-                    taken, rest = cut(self.items[k], min(left_t, left_l + 1))
-                    if len(taken[1]) < min(self.min_piece, left_t) or loss_of(taken) > left_l:
+                    taken, rest = cut(self.items[k], self.cut_at(self.items[k], left_t, left_l))
+                    # An empty sequence takes any piece, so that each makes progress whatever the limits.
+                    if len(taken[1]) < (min(self.min_piece, left_t) if chosen else 1):
                         break
                 self.items[k] = rest
                 size[k], loss[k] = (len(rest[1]), loss_of(rest)) if rest else (0, 0)
@@ -199,11 +206,30 @@ def fill_report(packed: DataFrame, max_tokens: int = 4096) -> DataFrame:
     )
 
 
+#: Segments of a sequence of documents at most; the limit on loss-bearing tokens is for prompts, which bear none.
+SEGMENTS = 16
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_segments=SEGMENTS)
+
+
+def instructions(conversations: DataFrame) -> DataFrame:
+    """``example_id, prompt, answer`` of every turn after another: the turn before it is the prompt."""
+    turns = conversations.select("conv_id", "turn", "text")
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
+    return turns.join(before, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("example_id"), "prompt", F.col("text").alias("answer"))
+
+
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs the table of conversations: prompts bear no loss, so sequences reach the limit on loss-bearing tokens or on segments."""
+    import public_tokenizers
+
+    examples = instructions(table(spark, sf_dir, "conversations"))
+    return pack(examples, public_tokenizers.path("word_bpe_49k.json"), "example_id", "answer", "prompt", max_segments=64, max_loss_tokens=2048)
 
 
-QUERIES = {"op1_packing": op1_packing}
+QUERIES = {"op1_packing": op1_packing, "packing_of_instructions": instruction_packing}
 ORACLE: dict[str, str] = {}

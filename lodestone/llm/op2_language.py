@@ -37,9 +37,15 @@ def script_of(letter: str) -> str:
     return SCRIPT_RANGES[max(0, bisect.bisect_right(_FIRST, ord(letter)) - 1)][1]
 
 
+def _letters(word: str) -> str:
+    """Without the numeric characters that are no letters, such as fractions and Roman numerals."""
+    return "".join(filter(str.isalpha, word))
+
+
 def words_of(text: str | None) -> list[str]:
     """Runs of letters in lower case; a run of more than 40 letters goes in parts."""
-    return _WORD.findall(text.lower()) if text else []
+    words = _WORD.findall(text.lower()) if text else []
+    return words if all(map(str.isalpha, words)) else [w for w in map(_letters, words) if w]
 
 
 @dataclass
@@ -306,8 +312,8 @@ def keep_identified(
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = train(docs.where(id_bucket("doc_id", 4) != 2))
-    return identify(docs, model).select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans")
+    model = train(docs.where(F.coalesce(id_bucket("doc_id", 4) != 2, F.lit(True))))
+    return identify(docs, model).select("doc_id", F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")
 
 
 QUERIES = {"op2_language_id": op2_language_id}

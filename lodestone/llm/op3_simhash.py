@@ -1,9 +1,8 @@
 """SimHash near-duplicates: vantage-point trees shard the fingerprints; shards that overlap a boundary give exact pairs.
 
-Two fingerprints within three bits agree in one of their four quarters. So there is a tree for each quarter, divided first
-by Hamming distances of that quarter, where the search radius is zero and no boundary overlaps: each fingerprint goes to
-one shard of each tree. A region that those distances no longer divide is divided by the distance of all 64 bits, with
-radius three; there a fingerprint near a boundary goes to both sides.
+Two fingerprints within three bits differ in at most one bit of one of their halves. So there is a tree for each half, with
+search radius one: by the triangle inequality a fingerprint near a boundary, and only such, goes to both sides. A region
+that no vantage of the half divides is divided by the distance of all 64 bits, with radius three.
 """
 
 from __future__ import annotations
@@ -21,7 +20,9 @@ from lodestone.llm.common import durable, map_slices, table
 from lodestone.llm.components import components
 
 RADIUS = 3
-PARTS = 4
+PARTS = 2
+#: Of links within ``RADIUS`` bits, one half has at most so many.
+PART_RADIUS = RADIUS // PARTS
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -77,14 +78,14 @@ class VantageTree:
 
     A point within ``bound`` of the vantage belongs inside. By the triangle inequality nothing within the radius of a
     point at distance d can be inside if d > bound + radius, nor outside if d <= bound - radius. ``whole`` nodes measure
-    all 64 bits (radius three), the others the tree's quarter (radius zero).
+    all 64 bits (radius three), the others the tree's half (radius one).
     """
 
     nodes: list[tuple[bool, int, int, int, int]] = field(default_factory=list)
     chunks: list[int] = field(default_factory=list)  # of each shard; a shard with several is compared in blocks
     root: int = -1
 
-    def route(self, fps: np.ndarray, quarters: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def route(self, fps: np.ndarray, halves: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """Shards that each point belongs to or overlaps: pairs of a shard and the positions of its points."""
         out, work = [], [(self.root, np.arange(len(fps)))]
         while work:
@@ -95,15 +96,15 @@ class VantageTree:
                 out.append((-1 - node, rows))
                 continue
             whole, vantage, bound, inside, outside = self.nodes[node]
-            d, radius = distances(fps[rows], quarters[rows], whole, vantage)
+            d, radius = distances(fps[rows], halves[rows], whole, vantage)
             work += [(inside, rows[d <= bound + radius]), (outside, rows[d > bound - radius])]
         return out
 
 
-def distances(fps: np.ndarray, quarters: np.ndarray, whole: bool, vantage: int) -> tuple[np.ndarray, int]:
+def distances(fps: np.ndarray, halves: np.ndarray, whole: bool, vantage: int) -> tuple[np.ndarray, int]:
     """Distances from a vantage and the search radius that holds for them."""
-    apart = fps ^ np.uint64(vantage) if whole else quarters ^ np.uint16(vantage)
-    return np.bitwise_count(apart).astype(np.int64), RADIUS if whole else 0
+    apart = fps ^ np.uint64(vantage) if whole else halves ^ np.uint32(vantage)
+    return np.bitwise_count(apart).astype(np.int64), RADIUS if whole else PART_RADIUS
 
 
 def build_tree(sample: np.ndarray, part: int, total: int, shard: int) -> VantageTree:
@@ -119,12 +120,12 @@ def build_tree(sample: np.ndarray, part: int, total: int, shard: int) -> Vantage
         tree.chunks.append(max(1, int(np.ceil(expected / shard))))
         return -len(tree.chunks)
 
-    def best_of(fps, quarters, whole):
+    def best_of(fps, halves, whole):
         best = None
         for turn in range(8):
-            pool = fps if whole else quarters
-            vantage = int(draw.choice(pool)) if turn % 2 else int(draw.integers(1 << (64 if whole else 16), dtype=np.uint64))
-            d, radius = distances(fps, quarters, whole, vantage)
+            pool = fps if whole else halves
+            vantage = int(draw.choice(pool)) if turn % 2 else int(draw.integers(0, (1 << (64 if whole else 32)) - 1, dtype=np.uint64, endpoint=True))
+            d, radius = distances(fps, halves, whole, vantage)
             for bound in {int(np.median(d)) - 1, int(np.median(d))}:
                 shares = (np.mean(d <= bound + radius), np.mean(d > bound - radius))
                 if best is None or max(shares) < max(best[3]):
@@ -134,21 +135,21 @@ def build_tree(sample: np.ndarray, part: int, total: int, shard: int) -> Vantage
     def grow(fps: np.ndarray, expected: float, depth: int) -> int:
         if expected <= shard or depth >= 24:
             return leaf(expected)
-        quarters = quarters_of(fps, part)
+        halves = halves_of(fps, part)
         if len(fps) >= 64:
-            best = best_of(fps, quarters, False)
+            best = best_of(fps, halves, False)
             if max(best[3]) > 0.9:
-                best = best_of(fps, quarters, True)
+                best = best_of(fps, halves, True)
                 if max(best[3]) > 0.8:
                     return leaf(expected)
         elif depth < 16:
-            best = (False, int(draw.integers(1 << 16)), 7 + depth % 2, (0.5, 0.5))
+            best = (False, int(draw.integers(1 << 32)), 15 + depth % 2, (0.64, 0.64))
         else:
             return leaf(expected)
         whole, vantage, bound, shares = best
         at = len(tree.nodes)
         tree.nodes.append((False, 0, 0, 0, 0))
-        d, radius = distances(fps, quarters, whole, vantage)
+        d, radius = distances(fps, halves, whole, vantage)
         inside = grow(fps[d <= bound + radius], expected * shares[0], depth + 1)
         outside = grow(fps[d > bound - radius], expected * shares[1], depth + 1)
         tree.nodes[at] = (whole, vantage, bound, inside, outside)
@@ -158,15 +159,15 @@ def build_tree(sample: np.ndarray, part: int, total: int, shard: int) -> Vantage
     return tree
 
 
-def quarters_of(fps: np.ndarray, part: int) -> np.ndarray:
-    return (fps >> np.uint64(16 * part)).astype(np.uint16)
+def halves_of(fps: np.ndarray, part: int) -> np.ndarray:
+    return (fps >> np.uint64(32 * part)).astype(np.uint32)
 
 
 def blocks_of(fps: np.ndarray, trees: list[VantageTree]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key of the block, tree and fingerprint for every block that a fingerprint takes part in."""
     keys, which, values = [], [], []
     for part, tree in enumerate(trees):
-        for shard, rows in tree.route(fps, quarters_of(fps, part)):
+        for shard, rows in tree.route(fps, halves_of(fps, part)):
             n, mine = tree.chunks[shard], fps[rows]
             chunk = (((mine * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
             for other in range(n):
@@ -190,17 +191,17 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-def links_in(fps: np.ndarray, quarters: np.ndarray, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def links_in(fps: np.ndarray, halves: np.ndarray, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a forest with the classes that the links between ``fps`` make.
 
-    Points are ordered by the distance of their quarters from one of them; those that agree in the quarter have the same
-    distance, so only points of one distance need comparing.
+    Points are ordered by the distance of their halves from one of them; by the triangle inequality those of points that
+    differ in one bit of the half differ by one at most, so only points of such distances are compared.
     """
-    d = np.bitwise_count(quarters ^ quarters[0]).astype(np.int64)
+    d = np.bitwise_count(halves ^ halves[0]).astype(np.int64)
     order = np.argsort(d, kind="stable")
     fps, d = fps[order], d[order]
     labels = np.arange(len(fps))
-    last = np.searchsorted(d, d, side="right")
+    last = np.searchsorted(d, d + PART_RADIUS, side="right")
     for at in range(0, len(fps), tile):
         stop = min(len(fps), at + tile)
         for begin in range(at, last[stop - 1], 16 * tile):
@@ -235,7 +236,7 @@ def link_edges(distinct: DataFrame, sample_size: int = 20_000, shard: int = 4096
 
     def compare(group: pa.Table) -> pa.Table:
         fps = np.sort(group.column("fp").to_numpy()).view(np.uint64)
-        a, b = links_in(fps, quarters_of(fps, group.column("tree")[0].as_py()))
+        a, b = links_in(fps, halves_of(fps, group.column("tree")[0].as_py()))
         return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
     return distinct.select("fp").mapInArrow(route, placed).groupBy("block").applyInArrow(compare, "a long, b long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import operator
 import re
 from dataclasses import dataclass, field
 
@@ -18,7 +20,11 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SPELLED = re.compile(r"(?i)\S*[^\W_]\S* ?[\[(]?at[\])]? ?[a-z0-9-]+(?: ?[\[(]?dot[\])]? ?[a-z0-9-]+)* ?[\[(]?dot[\])]? ?[a-z]{2,6}|[^\s@]+@\S+")
+_MARK = re.compile(r"(?i)[\[(] ?(at|dot) ?[\])]")
+_LABEL = re.compile(r"(?i)[a-z0-9-]+")
+_TOP = re.compile(r"(?i)[a-z]{2,6}")
+#: No address is longer (fixed value: 64 for the local part, the sign, 255 for the domain).
+MOST_ADDRESS = 320
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"\S+")
 _LINE = re.compile(r"[^\n]+")
@@ -57,7 +63,21 @@ def fits(kind: str, text: str) -> bool:
         return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 if kind == "phone" else bool(_SPELLED.fullmatch(text))
+    return 9 <= len(digits) <= 15 if kind == "phone" else spelled_address(text)
+
+
+def spelled_address(text: str) -> bool:
+    """Whether a text is an address with its sign, or one with "at" and "dot" as words, bare or in brackets."""
+    if len(text) > MOST_ADDRESS:
+        return False
+    local, sign, domain = text.partition("@")
+    if sign:
+        return bool(local and domain) and not any(map(str.isspace, text))
+    words = _MARK.sub(r" \1 ", text).split()
+    if len(words) < 5 or len(words) % 2 == 0 or not any(map(str.isalnum, words[0])):
+        return False
+    marks, labels = [w.lower() for w in words[1::2]], words[2::2]
+    return marks == ["at"] + ["dot"] * (len(marks) - 1) and all(map(_LABEL.fullmatch, labels)) and bool(_TOP.fullmatch(labels[-1]))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -171,8 +191,33 @@ def train(labelled: tuple[str, ...] = LABELLED, steps: int = 250, rate: float =
     return RandomField(names, *weights)
 
 
-def viterbi(e: list[np.ndarray], change: np.ndarray) -> list[np.ndarray]:
-    """Best labels of each line; all lines advance together."""
+def viterbi_alone(e: np.ndarray, change: np.ndarray) -> np.ndarray:
+    """Best labels of one long line, without numpy's cost for each word."""
+    into = [[float(x) for x in column] for column in change.T]
+    rows = e.tolist()
+    value, came = rows[0], []
+    for row in rows[1:]:
+        reach = [[*map(operator.add, value, column)] for column in into]
+        tops = [*map(max, reach)]
+        came.append(bytes(map(list.index, reach, tops)))
+        value = [*map(operator.add, tops, row)]
+    path = np.zeros(len(rows), np.int8)
+    state = path[-1] = value.index(max(value))
+    for t in range(len(came) - 1, -1, -1):
+        state = path[t] = came[t][state]
+    return path
+
+
+def viterbi(e: list[np.ndarray], change: np.ndarray, alone: int = 2000) -> list[np.ndarray]:
+    """Best labels of each line; lines of up to ``alone`` words advance together in batches, longer ones go alone."""
+    short = [i for i, x in enumerate(e) if len(x) <= alone]
+    out: list = [None if len(x) <= alone else viterbi_alone(x, change) for x in e]
+    for i, path in zip(short, together([e[i] for i in short], change) if short else [], strict=True):
+        out[i] = path
+    return out
+
+
+def together(e: list[np.ndarray], change: np.ndarray) -> list[np.ndarray]:
     order = sorted(range(len(e)), key=lambda i: -len(e[i]))
     lengths = np.array([len(e[i]) for i in order])
     flat = np.concatenate([e[i] for i in order])
@@ -202,8 +247,9 @@ class Finder:
 
     def __init__(self, model: RandomField, cache: int = 200_000):
         self.model, self.cache = model, cache
-        #: No label change is worth more than this over staying without a label.
-        self.slack = 2 * max(0.0, float((model.change - model.change[0, 0]).max()))
+        #: The changes into and out of a label are worth at most this over those without a label in its place.
+        c = model.change
+        self.slack = max(0.0, float((c[:, 1:, None] + c[None, 1:, :] - c[:, :1, None] - c[None, :1, :]).max()), float((c[:, 1:] - c[:, :1]).max()), float((c[1:] - c[:1]).max()))
         self.shapes: dict[str, int] = {}
         self.table = np.zeros((1, 3, len(KINDS) + 1))
         self.words: dict[str, int] = {}
@@ -216,7 +262,8 @@ class Finder:
             if k >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[k] = self.model.emissions(s)
-        self.words[word] = k
+        if len(word) <= 64:
+            self.words[word] = k
         return k
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -265,13 +312,29 @@ class Finder:
         return out
 
 
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans."""
+    starts, ends = [], []
+    for a, b in sorted(x[1:] for x in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def overlaps(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
+    k = bisect.bisect_left(taken[0], end)
+    return k > 0 and taken[1][k - 1] > start
+
 
 def find(docs: DataFrame, model: RandomField | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id and its spans of personal data, by kind and start, ``base`` for patterns.
 
     Offsets count code points, the end exclusive. A find of the random field is added if its digits and parts fit its
     kind and it overlaps no pattern's find. A null text counts as empty. Repeated rows stay; an empty table gives no
-    rows; columns besides the two named are not read.
+    rows; columns besides the two named are not read. Time grows linearly with a text, of any length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("spans", T.ArrayType(SPAN))])
@@ -284,7 +347,8 @@ def find(docs: DataFrame, model: RandomField | None = None, id_col: str = "doc_i
             out = []
             for text, extra in zip(texts, finder.spans(texts), strict=True):
                 base = base_spans(text)
-                more = [x for x in extra if not any(x[1] < b and a < x[2] for _, a, b in base) and fits(x[0], text[x[1] : x[2]])]
+                taken = merged(base)
+                more = [x for x in extra if not overlaps(taken, x[1], x[2]) and fits(x[0], text[x[1] : x[2]])]
                 both = sorted([(*x, True) for x in base] + [(*x, False) for x in more], key=lambda x: (KINDS.index(x[0]), x[1]))
                 out.append([{"kind": k, "start": a, "end": b, "base": own} for k, a, b, own in both])
             return {"id": part["id"], "spans": out}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import id_bucket, map_slices, table
+from lodestone.llm.common import id_bucket, map_slices, table, written
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -25,13 +26,6 @@ HOMOGLYPHS = {
 }
 #: Digits and signs written for letters; i, l and 1 fold to one letter.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "l": "i"}
-#: Phrases in which a word of the lexicon does no harm.
-EXCEPTIONS = (
-    "clown fish", "clown car", "clown college", "circus clown", "rodeo clown", "trash can", "trash bin", "trash bag",
-    "trash collection", "take out the trash", "pond scum", "soap scum", "scum line", "idiot proof", "idiot light",
-    "loser bracket", "sore loser", "weight loser", "stupid simple", "pathetic fallacy",
-)
-
 _ASCII = {ord(a): b for a, b in SUBSTITUTES.items() if a in "l"} | {c: chr(c + 32) for c in range(65, 91)} | {ord("L"): "i"}
 _MAP = str.maketrans(_ASCII | {ord(a): b.replace("l", "i") for a, b in HOMOGLYPHS.items()} | {ord(a): "" for a in "​‌‍­﻿"})
 _MIXED = re.compile(r"[@$]?[^\W_]+(?:[@$]+[^\W_]+)*")
@@ -55,7 +49,7 @@ class ToxicModel:
     """Folded words and stems with weights (a space marks the edge of a word), phrases that excuse them, and the logistic curve from load to score."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: tuple[str, ...] = tuple(fold(x) for x in EXCEPTIONS)
+    exceptions: tuple[str, ...] = ()
     slope: float = 1.0
     bias: float = -2.0
     length_power: float = 0.25
@@ -65,8 +59,7 @@ class ToxicModel:
         for phrase, weight in self.weights.items():
             found.add_word(phrase, (len(phrase), weight))
         for phrase in self.exceptions:
-            if any(w in phrase for w in self.weights):
-                found.add_word(phrase, (len(phrase), None))
+            found.add_word(phrase, (len(phrase), None))
         found.make_automaton()
         return found
 
@@ -74,29 +67,46 @@ class ToxicModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * load + self.bias, -30, 30)))
 
 
+def hits_of(found: ahocorasick.Automaton, folded: str) -> list[tuple[int, int, float]]:
+    """Start, end and weight of the matches that lie in no exception phrase, in order of their ends."""
+    hits, excused = [], []
+    for end, (length, weight) in found.iter(folded):
+        (excused if weight is None else hits).append((end - length + 1, end, weight))
+    if not excused or not hits:
+        return hits
+    excused.sort()
+    starts, reach = [x[0] for x in excused], np.maximum.accumulate([x[1] for x in excused])
+    at = [bisect.bisect_right(starts, a) - 1 for a, _, _ in hits]
+    return [h for h, k in zip(hits, at, strict=True) if k < 0 or reach[k] < h[1]]
+
+
 def load_of(found: ahocorasick.Automaton, text: str | None, power: float) -> tuple[float, int]:
     """Weight of the matches outside exceptions, over the number of words to a power; and the number of those matches."""
     if not text or not len(found):
         return 0.0, 0
     folded = fold(text)
-    hits, excused = [], []
-    for end, (length, weight) in found.iter(folded):
-        (excused if weight is None else hits).append((end - length + 1, end, weight))
-    if not hits:
-        return 0.0, 0
-    kept = [w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in excused)]
-    return sum(kept) / max(1, folded.count(" ") - 1) ** power, len(kept)
+    hits = hits_of(found, folded)
+    return sum(h[2] for h in hits) / max(1, folded.count(" ") - 1) ** power, len(hits)
+
+
+def around(folded: str, start: int, end: int) -> list[str]:
+    """The phrases of two words, with their spaces, that a match makes with the word before and the word after it."""
+    first = folded.rfind(" ", 0, start + 1)
+    last = folded.find(" ", max(end, start + 1))
+    before, after = folded.rfind(" ", 0, max(first, 0)), folded.find(" ", last + 1)
+    return [folded[a : b + 1] for a, b in ((before, last), (first, after)) if a >= 0 and b >= 0 and first >= 0 and last >= 0]
 
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    max_rows: int = 8_000, max_terms: int = 200, min_share: float = 0.02,
+    max_rows: int = 8_000, max_terms: int = 200, min_share: float = 0.02, min_excused: int = 3,
 ) -> ToxicModel:
     """Learn the lexicon from a bounded sample: at most about ``max_rows`` labelled rows, chosen by a hash of the id.
 
     Terms are whole words and stems (first letters of words, 4 to 8 of them). A term enters if at least ``min_share`` of
     the toxic texts have it and it is several times as frequent in them as in others; of a stem and its extensions the
-    one that tells most stays. Its weight is the logarithm of the ratio of its frequencies. Rows without a label or text
+    one that tells most stays. Its weight is the logarithm of the ratio of its frequencies. An exception is a phrase of two words
+    around a match that at least ``min_excused`` of the other texts have and at most a tenth as large a share of the toxic ones. Rows without a label or text
     are not used. With no label of one kind nothing is learned, and every text scores alike, under one half.
     """
     labelled = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -127,7 +137,7 @@ def train(
 
     counts = map_slices(sample, "text", make, seen)
     of = lambda column, label: F.sum(F.when(F.col("label") == label, F.col(column)).otherwise(0))
-    stats = counts.groupBy("term").agg(of("docs", 1).alias("t"), of("docs", 0).alias("c"), of("uses", 1).alias("tu"), of("uses", 0).alias("cu"))
+    stats = written(counts.groupBy("term").agg(of("docs", 1).alias("t"), of("docs", 0).alias("c"), of("uses", 1).alias("tu"), of("uses", 0).alias("cu")).where("term = '' or t >= 3"))
     total = stats.where("term = ''").collect()
     if not total or not total[0].t or not total[0].c:
         return ToxicModel(bias=-1.0)
@@ -144,21 +154,28 @@ def train(
         if len(model.weights) < max_terms and not any(r.term.startswith(x) or x.startswith(r.term.rstrip()) for x in model.weights):
             model.weights[r.term] = min(8.0, r.weight)
 
-    loads = T.StructType([T.StructField("label", T.IntegerType()), *[T.StructField(f"p{k}", T.DoubleType()) for k in range(4)]])
-    powers = (0.0, 0.25, 0.5, 0.75)
+    match = T.StructType([T.StructField("weight", T.DoubleType()), T.StructField("phrases", T.ArrayType(T.StringType()))])
+    matches = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(match))])
 
-    def make_loads():
+    def make_matches():
         found = model.automaton()
 
         def work(part):
-            rows = [[load_of(found, t, p)[0] for p in powers] for t in part["text"]]
-            return {"label": part["label"]} | {f"p{k}": [r[k] for r in rows] for k in range(4)}
+            texts = [fold(t) for t in part["text"]]
+            hits = [[{"weight": w, "phrases": around(t, a, b)} for a, b, w in hits_of(found, t)] if len(found) else [] for t in texts]
+            return {"label": part["label"], "n_words": [max(1, t.count(" ") - 1) for t in texts], "hits": hits}
 
         return work
 
-    rows = map_slices(sample, "text", make_loads, loads).collect()
+    rows = map_slices(sample, "text", make_matches, matches).collect()
     y = np.array([r.label for r in rows], float)
-    fits = [(*logistic(np.array([r[f"p{k}"] for r in rows]), y), p) for k, p in enumerate(powers)]
+    seen = [Counter(p for r in rows if r.label == k for p in {p for h in r.hits for p in h.phrases}) for k in (0, 1)]
+    share = lambda p, k: seen[k][p] / max(1, (y == k).sum())
+    model.exceptions = tuple(sorted(p for p, n in seen[0].items() if n >= min_excused and 10 * share(p, 1) <= share(p, 0)))
+    excused = set(model.exceptions)
+    weight = np.array([sum(h.weight for h in r.hits if not excused.intersection(h.phrases)) for r in rows])
+    words = np.array([r.n_words for r in rows], float)
+    fits = [(*logistic(weight / words**p, y), p) for p in (0.0, 0.25, 0.5, 0.75)]
     _, model.slope, model.bias, model.length_power = min(fits)
     return model
 
@@ -207,7 +224,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = train(docs, labels.where(id_bucket("doc_id", 5) != 0))
-    return score(docs, model).select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "n_matches")
+    return score(docs, model).select("doc_id", F.coalesce(id_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "n_matches")
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}

@@ -1,6 +1,8 @@
 """Each operator against brute force on the smallest tables, and on a table of hard rows."""
 
+import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -73,7 +75,7 @@ def test_packing_round_trip(spark, texts):
         for offset, length, _ in sorted(s):
             assert offset == at
             at += length
-        assert at <= 4096 and len(s) <= 512 and sum(x[2] for x in s) <= 4096
+        assert at <= 4096 and len(s) <= op1_packing.SEGMENTS and sum(x[2] for x in s) <= 4096
         assert at == 4096 or at & (at - 1) == 0
 
 
@@ -87,6 +89,27 @@ def test_packing_limits_and_prompts(spark):
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
 
 
+def test_packing_makes_progress_under_any_limits(spark):
+    df = spark.createDataFrame([(i, "a b c d e " * i, "answer the question " * i) for i in range(12)], "doc_id long, prompt string, text string")
+    for tokens, segments, loss in ((64, 1, 64), (64, 64, 1), (64, 3, 4), (1, 1, 1), (7, 2, 3)):
+        for prompt in (None, "prompt"):
+            rows = op1_packing.pack(df, TOKENIZER, prompt_col=prompt, max_tokens=tokens, max_segments=segments, max_loss_tokens=loss).collect()
+            assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+            by = {}
+            for r in rows:
+                by.setdefault(r.sequence_id, []).append(r)
+            assert all(len(s) <= segments and sum(x.loss_tokens for x in s) <= loss and sum(x.length for x in s) <= tokens for s in by.values())
+
+
+def test_each_packing_limit_binds(spark):
+    sf = "/root/testdata/sf0.01"
+    sequences = lambda df: df.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t"), F.sum("loss_tokens").alias("l"))
+    of_documents = sequences(op1_packing.op1_packing(spark, sf)).agg(F.max("n"), F.max("t"), F.avg("t")).first()
+    assert of_documents[0] == op1_packing.SEGMENTS and of_documents[1] == 4096 and of_documents[2] > 2000
+    of_instructions = sequences(op1_packing.instruction_packing(spark, sf)).agg(F.max("n"), F.max("l")).first()
+    assert of_instructions[0] <= 64 and of_instructions[1] == 2048
+
+
 def test_cached_tokens_equal_the_tokenizer():
     from lodestone.llm.tokens import WordIds
 
@@ -105,6 +128,13 @@ def test_language_accuracy_and_spans(spark):
     assert [s.lang for s in op2_language.identify(mixed, model).first().spans] == ["en", "de"]
 
 
+def test_language_needs_letters(spark):
+    model = op2_language.train(table(spark, SF, "documents"))
+    rows = [(1, "½ ²"), (2, "Ⅷ ①"), (3, None), (4, "12 !"), (5, "the ½ of it was on the table")]
+    got = {r.doc_id: r.lang_pred for r in op2_language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "und", 4: "und", 5: "en"}
+
+
 def test_language_shortcut_agrees_with_viterbi():
     draw = np.random.default_rng(3)
     texts = [draw.choice([0.0, -3.0, -8.0], size=(n, 3)) for n in draw.integers(1, 60, 200)]
@@ -174,6 +204,11 @@ def test_trees_find_every_link(spark):
     groups = {}
     for f, lab in zip(fps.view(np.int64).tolist(), labels.tolist()):
         groups.setdefault(lab, set()).add(roots.get(f, f))
+    sample = np.sort(near)
+    for part in range(op3_simhash.PARTS):  # boundaries overlap, and triangle bounds prune
+        tree = op3_simhash.build_tree(sample, part, len(sample), 64)
+        routed = sum(len(rows) for _, rows in tree.route(sample, op3_simhash.halves_of(sample, part)))
+        assert len(sample) < routed < len(sample) * len(tree.chunks)
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
@@ -258,6 +293,26 @@ def test_pii_field_adds_other_spellings(spark):
     assert op6_pii.redact(df, found).orderBy("doc_id").first().text == "please call <phone> now"
 
 
+def test_pii_viterbi_takes_the_best_path():
+    draw = np.random.default_rng(1)
+    for _ in range(20):
+        n = int(draw.integers(1, 6))
+        e, change = draw.normal(size=(n, 5)), draw.normal(size=(5, 5))
+        value = lambda path: sum(e[i, x] for i, x in enumerate(path)) + sum(change[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        best = max(itertools.product(range(5), repeat=n), key=value)
+        assert tuple(op6_pii.viterbi([e], change)[0]) == best == tuple(op6_pii.viterbi([e], change, alone=0)[0])
+
+
+def test_pii_time_is_linear():
+    finder = op6_pii.Finder(op6_pii.train())
+    texts = ["write to bob [at] " + "adot" * 300 + " [dot] o1 soon", "mail bob at " + "dot" * 300 + " dot 1 please", "xat" * 300 + "@", "call (415) 555-2671 now a@b.co " * 8000, "+1(" * 80_000, "a@" * 100_000, "x at y dot " * 20_000]
+    for t in texts:
+        begin = time.perf_counter()
+        extra, taken = finder.spans([t])[0], op6_pii.merged(op6_pii.base_spans(t))
+        assert sum(not op6_pii.overlaps(taken, a, b) and op6_pii.fits(k, t[a:b]) for k, a, b in extra) in (0, 8000)
+        assert time.perf_counter() - begin < 5
+
+
 def test_warc_matches_sql(spark):
     compare(spark, op7_warc)
 
@@ -287,12 +342,34 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_folding_and_exceptions(spark):
     assert op8_toxicity.fold("Stυpid 1d10t l0s\u200ber TRASH### Páthetic a55 10 7.5 idi0ts$$$ $cum") == " stupid idiot ioser trash pathetic ass idiots scum "
-    model = op8_toxicity.ToxicModel({" idiot ": 4.0, " trash ": 4.0})
+    model = op8_toxicity.ToxicModel({" idiot ": 4.0, " trash ": 4.0}, (op8_toxicity.fold("trash can"),))
     rows = [(1, "you 1d!0t"), (2, "you 1di0t"), (3, "the trash can"), (4, "trash and a trash can"), (5, None), (6, "")]
     got = {r.doc_id: r.n_matches for r in op8_toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got[2] == 1 and got[3] == 0 and got[4] == 1 and got[5] == got[6] == 0
 
 
+def test_toxicity_learns_exceptions(spark):
+    toxic = [(i, f"you are a clown number{i} and more", 1) for i in range(40)]
+    clean = [(100 + i, f"the clown fish swims near reef{i} today", 0) for i in range(4)] + [(200 + i, f"nothing of note happened on day{i}", 0) for i in range(400)]
+    docs = spark.createDataFrame([x[:2] for x in toxic + clean], "doc_id long, text string")
+    model = op8_toxicity.train(docs, spark.createDataFrame([(i, t) for i, _, t in toxic + clean], "doc_id long, toxic int"))
+    assert op8_toxicity.fold("clown fish") in model.exceptions
+    new = spark.createDataFrame([(1, "a clown fish again"), (2, "such a clown again")], "doc_id long, text string")
+    assert {r.doc_id: r.n_matches for r in op8_toxicity.score(new, model).collect()} == {1: 0, 2: 1}
+
+
+def test_toxicity_matches_a_plain_search():
+    draw = np.random.default_rng(6)
+    model = op8_toxicity.ToxicModel({" bad ": 2.0, " wors": 3.0, " b": 1.0}, (" bad luck ", " no worse "))
+    found = model.automaton()
+    for _ in range(200):
+        folded = f" {' '.join(draw.choice(['bad', 'luck', 'worse', 'worst', 'no', 'ok', 'b'], draw.integers(1, 12)))} "
+        places = lambda p: [(i, i + len(p) - 1) for i in range(len(folded)) if folded.startswith(p, i)]  # noqa: B023, E731
+        excused = [x for p in model.exceptions for x in places(p)]
+        want = sorted((a, b, w) for p, w in model.weights.items() for a, b in places(p) if not any(x <= a and b <= y for x, y in excused))
+        assert sorted(op8_toxicity.hits_of(found, folded)) == want
+
+
 def test_quality_base_counts(spark, texts):
     for r in op9_quality.op9_quality(spark, SF).collect():
         t = texts[r.doc_id]
@@ -333,10 +410,25 @@ def test_licence_base_counts(spark, texts):
         assert labels <= set(r.labels.split(","))
 
 
+def test_licence_gate_and_suppression(texts):
+    scanner = op10_licenses.Scanner()
+    notices = [
+        "licensed under the apache license, version 2.0", "permission is hereby granted, free of charge, to any person obtaining a copy of it. copyright 2020 daniel stenberg",
+        "https://www.gnu.org/licenses/gpl-3.0.html and gnu general public license version 3", "spdx-license-identifier: mit", "you may make and give away verbatim copies of the source form of the software without restriction",
+    ]
+    for text in [*notices, *map(op10_licenses.lower, texts.values())]:
+        found = [(*m.span(), r.label or m[1], r.priority) for r in op10_licenses.rules() for m in r.pattern.finditer(text)]
+        stands = []
+        for d in sorted(found, key=lambda d: (-d[3], d[0] - d[1], d[0], d[2])):
+            if not any(s[0] <= d[0] and d[1] <= s[1] for s in stands):
+                stands.append(d)
+        assert [d[:4] for d in scanner.detections(text, {w for _, w in scanner.gate.iter(text)})] == sorted(stands)
+
+
 def test_licence_rules():
     scanner = op10_licenses.Scanner()
     label = lambda t: scanner.scan(t)["labels"]
-    assert len(op10_licenses.rules()) > 300
+    assert len(op10_licenses.rules()) > 200
     assert label("Licensed under the Apache License, Version 2.0.") == "apache-2.0"
     assert label("Released under the MIT License.") == "mit"
     assert label("this is CC BY-SA 4.0 text") == "cc-by,cc-by-sa"
