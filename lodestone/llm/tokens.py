@@ -1,7 +1,7 @@
 """Token ids of a word-level BPE vocabulary, with the words of plain texts looked up in a cache.
 
 The vocabulary's pre-tokenizer works on lower-cased text between white space, so each run of characters without white
-space has ids of its own. Texts made only of ASCII and Latin letters go that way; any other text (other scripts,
+space, and each word in it, has ids of its own. Texts made only of ASCII and Latin letters go that way; any other text (other scripts,
 combining marks, control characters, special-token strings) goes to the tokenizer as a whole.
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import chain
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
@@ -28,35 +29,40 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
 
 
+class Memo(dict):
+    """Values of ``make`` by key; when ``limit`` are held, all are forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self._make, self._limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._make(key)
+        if len(self) >= self._limit:
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordIds:
-    """``ids(text)`` equals the tokenizer's own ids without special tokens. The cache holds ``cache`` entries at most."""
+    """``ids(text)`` equals the tokenizer's own ids without special tokens. The cache holds ``cache`` words at most."""
 
     def __init__(self, path: str, cache: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
-        self._letters = _byte_letters()
-        self._limit = cache
-        self._known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, chunk: str) -> tuple[int, ...]:
-        if len(self._known) >= self._limit:
-            self._known.clear()
-        ids: list[int] = []
-        for word in _WORDS.findall(chunk):
-            ids += [t.id for t in self._model.tokenize(word.encode().decode("latin-1").translate(self._letters))]
-        self._known[chunk] = out = tuple(ids)
-        return out
+        self._model, self._letters = self._tokenizer.model, _byte_letters()
+        self._of_word = Memo(self._word, cache).__getitem__
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         if _NOT_PLAIN.search(text):
             return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        known, learn = self._known.get, self._learn
-        return np.fromiter(
-            chain.from_iterable(known(c) or learn(c) for c in text.lower().split()), dtype="<u4"
-        )
+        return np.frombuffer(b"".join(map(self._of_word, _WORDS.findall(text.lower()))), dtype=np.uintc).astype("<u4", copy=False)
 
 
 _loaded: dict[str, WordIds] = {}
