@@ -57,6 +57,7 @@ FROM part
 SELECT p_partkey AS source_id, CASE WHEN p_partkey % 3 = 0 THEN 'pdf' ELSE 'html' END AS source_type,
  CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('https://s.example.org/', CAST(p_partkey AS STRING)) END AS source_url,
  CASE WHEN p_partkey % 2 = 0 THEN 'proj-a' END AS project_id,
+ TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * p_size AS uploaded_at,
  concat(' SKU : P-', CAST(p_partkey AS STRING), chr(10), 'brand: ', p_brand, chr(10), 'no separator here', chr(10), 'Note: a:b', chr(10), 'brand: ', p_type) AS content
 FROM part
 """,
@@ -74,7 +75,8 @@ SELECT o_orderkey AS queue_id, concat('P-', CAST(o_custkey % 100 AS STRING)) AS
 SELECT event_id AS id, concat('P-', CAST(user_id AS STRING)) AS product_id, event_type AS stage, value AS selected_value, ts AS logged_at FROM events
 """,
     "fx_projects": r"""
-SELECT c_custkey AS id, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'active' WHEN 'MACHINERY' THEN 'archived' ELSE 'draft' END AS status FROM customer
+SELECT c_custkey AS id, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'active' WHEN 'MACHINERY' THEN 'archived' ELSE 'draft' END AS status,
+ TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * c_nationkey AS created_at FROM customer
 """,
     "fx_intake": r"""
 SELECT c_custkey AS row_no, c_nationkey AS batch_id, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('P-', CAST(c_custkey AS STRING)) END AS sku,

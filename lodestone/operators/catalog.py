@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def newest(df: DataFrame, by: str, ascending: bool = False) -> DataFrame:
-    """Rows ordered by a time or other column."""
-    return df.orderBy(F.col(by).asc() if ascending else F.col(by).desc())
+def newest(df: DataFrame, by: str, key: str) -> DataFrame:
+    """The latest rows by a time first, equal times by a key; rows without a time come last."""
+    return df.orderBy(F.col(by).desc_nulls_last(), key)
 
 
 def project_priorities(priorities: DataFrame, project_id: str | None = None) -> DataFrame:
@@ -39,16 +39,23 @@ def source_metrics(sources: DataFrame, extractions: DataFrame) -> DataFrame:
 def attribute_evidence(attributes: DataFrame, extractions: DataFrame) -> DataFrame:
     """For each attribute of a product, its evidence in extractions of the same code; the master value without any.
 
+    ``evidence`` lists value, confidence and source of each, in this order; there is a conflict if values differ.
     ``extractions(sku, source_id, confidence, attributes map)``.
     """
     long = extractions.select(F.col("sku").alias("product_code"), F.col("source_id"), "confidence", F.explode("attributes").alias("attribute", "evidence"))
     joined = attributes.join(long, ["product_code", "attribute"], "left")
     found = F.col("evidence").isNotNull()
-    return joined.groupBy("product_code", "attribute", F.col("value").alias("master")).agg(
+    source = F.substring(F.col("source_id").cast("string"), 1, 8)
+    item = lambda value, confidence, source: F.struct(value.alias("value"), confidence.alias("confidence"), source.alias("source"))
+    listed = F.sort_array(F.collect_list(F.when(found, item(F.col("evidence"), F.col("confidence").cast("double"), source))))
+    master = F.array(item(F.col("value"), F.lit(1.0), F.lit("Truth Engine")))
+    return joined.groupBy("product_code", "attribute", F.col("value")).agg(
+        listed.alias("listed"),
         F.count_if(found).alias("n_evidence"), (F.countDistinct("evidence") > 1).alias("conflict"),
         F.coalesce(F.max("confidence"), F.lit(1.0)).alias("top_confidence"),
-        F.coalesce(F.min("evidence"), F.first("value")).alias("least_value"),
-        F.when(F.count_if(found) == 0, "Truth Engine").otherwise(F.min(F.substring(F.col("source_id").cast("string"), 1, 8))).alias("least_source"),
+    ).select(
+        "product_code", "attribute", F.col("value").alias("master"), F.when(F.size("listed") > 0, F.col("listed")).otherwise(master).alias("evidence"),
+        "n_evidence", "conflict", "top_confidence",
     )
 
 

@@ -107,9 +107,9 @@ def resolve(df: DataFrame, vals: str = "vals") -> DataFrame:
 
 
 def active_rules(rules: DataFrame) -> DataFrame:
-    """The active rule of each attribute, of several the last by ``rule_id``."""
-    w = Window.partitionBy("attribute").orderBy(F.desc("rule_id"))
-    return rules.where("active").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "active")
+    """The active rule of each attribute, of several the last by ``created_at`` (if given), then ``rule_id``."""
+    w = Window.partitionBy("attribute").orderBy(*[F.desc_nulls_last(c) for c in ("created_at", "rule_id") if c in rules.columns])
+    return rules.where("active").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "active", "created_at")
 
 
 def standardize(observations: DataFrame, rules: DataFrame, max_rules: int = 10_000) -> DataFrame:

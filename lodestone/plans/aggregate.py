@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +13,19 @@ from lodestone.operators import standardize as st
 from lodestone.sources import selection
 
 
-def aggregate_products(identifiers: DataFrame, results: DataFrame, pages: DataFrame, synonyms: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+def aggregate_products(identifiers: DataFrame, results: DataFrame, pages: DataFrame, synonyms: DataFrame, rules: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """Golden records of ``identifiers(product_key, mpn, title)`` and their standardized attributes.
 
     Sources are chosen among ``results(product_key, result_rank, url, fetched)``, extracted from ``pages(url, page_id,
     html)``, unified, standardized and built into records. A product without an extracted source has status ``failed``.
+    ``cut`` may write the standardized attributes down, so that several uses of the results compute them once.
     """
     chosen = selection.select_sources(results)
     used = pages.join(chosen.select("url").distinct(), "url", "left_semi")
     pairs = extract.fallback_extraction(used.where(F.length("html") >= 100)).join(used.select("page_id", "url"), "page_id")
     extracted = chosen.join(pairs, "url").select("product_key", "source_pos", "label", "value", F.lit("web").alias("source"))
     unified = st.unify_attributes(extracted, synonyms)
-    done = st.standardize(st.gather_canonical_values(extracted, unified), rules).where("status = 'ok'")
+    done = cut(st.standardize(st.gather_canonical_values(extracted, unified), rules).where("status = 'ok'"))
     named = golden.derive_identifiers(identifiers).select("product_key", F.nullif("mpn", F.lit("")).alias("sku"), F.nullif("brand", F.lit("")).alias("brand"))
     records = golden.build_golden_record(named, done).join(selection.sources_used(chosen), "product_key", "left")
     status = F.when(F.col("n_attributes") == 0, "failed").otherwise("success")
@@ -52,25 +54,54 @@ class Catalog:
         )
 
 
-def ingest_sources(submitted: DataFrame, catalog: Catalog) -> Catalog:
-    """Submitted key-value texts into products, issues, audit, priorities and source status.
+@dataclass
+class Web:
+    """What the aggregation of submitted sources reads besides them; ``results`` are keyed by the code of a product."""
+
+    results: DataFrame
+    pages: DataFrame
+    synonyms: DataFrame
+    rules: DataFrame
+
+
+def ingest_changes(submitted: DataFrame, catalog: Catalog, web: Web, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Catalog:
+    """What submitted key-value texts add to each table; ``products`` holds the new state of those that change.
 
-    A source that is already completed is left out, so that a rerun changes nothing.
+    A source names a product by its text. That product is aggregated (G5) from the web; if it succeeds, its attributes
+    give the issues and the score of completeness. A source is completed even if the aggregation fails. Of several texts
+    for a product the one with the largest source id names it, of several for a source id the first by text. A source
+    that is already completed is left out, so that a rerun changes nothing.
     """
-    new = submitted.join(catalog.sources.where("status = 'completed'").select("source_id"), "source_id", "left_anti").dropDuplicates(["source_id"])
-    pairs = extract.parse_key_value_text(new)
-    who = extract.product_of_text(pairs)
-    known = new.select("source_id", "source_type", "source_url", "project_id", F.length("content").alias("raw_length")).join(who, "source_id", "left")
-    coded = pairs.join(who.where("sku is not null").select("source_id", F.col("sku").alias("product_code")), "source_id")
-    counts = coded.groupBy("product_code").agg(F.countDistinct("key").cast("int").alias("n_attributes"))
-    found = who.where("sku is not null").groupBy(F.col("sku").alias("product_code")).agg(F.max_by("title", "source_id").alias("title"), F.max_by("brand", "source_id").alias("brand")).join(counts, "product_code")
-    issues = cleaning.detect_issues(coded.select("product_code", F.col("key").alias("attribute"), "value"))
-    status = F.when(F.col("sku").isNull() & F.col("title").isNull(), "failed").otherwise("completed")
-    rows = known.select("source_id", "source_type", "source_url", "project_id", status.alias("status"), "raw_length")
+    one = submitted.groupBy("source_id").agg(F.min_by(F.struct("source_type", "source_url", "project_id", "content"), "content").alias("s")).select("source_id", "s.*")
+    new = one.join(catalog.sources.where("status = 'completed'").select("source_id"), "source_id", "left_anti")
+    who = extract.product_of_text(extract.parse_key_value_text(new))
+    known = cut(new.select("source_id", "source_type", "source_url", "project_id", F.length("content").alias("raw_length")).join(who, "source_id", "left"))
+    named = known.where("sku is not null").groupBy("sku").agg(F.max_by(F.struct("title", "brand"), "source_id").alias("t"))
+    named = named.select(F.col("sku").alias("product_key"), F.col("sku").alias("mpn"), "t.title", "t.brand")
+    results = web.results.join(named.select("product_key"), "product_key", "left_semi")
+    records, done = aggregate_products(named, results, web.pages, web.synonyms, web.rules, cut)
+    counts = records.where("status = 'success'").select("product_key", F.col("n_attributes").cast("int").alias("n_attributes"))
+    found = named.join(counts, "product_key").select(F.col("product_key").alias("product_code"), "title", "brand", "n_attributes")
+    value = F.coalesce("standard_value", F.col("standard_number").cast("string"))
+    issues = cleaning.detect_issues(done.select(F.col("product_key").alias("product_code"), "attribute", value.alias("value")))
+    begun = known.select("source_id", "source_type", "source_url", "project_id", F.lit("processing").alias("status"), "raw_length")
+    return Catalog(
+        golden.upsert_product(catalog.products.join(found.select("product_code"), "product_code", "left_semi"), found),
+        issues,
+        golden.append_audit(catalog.audit.limit(0), known.select("sku", "source_url")),
+        golden.insert_source_priority(catalog.priorities.limit(0), known.join(catalog.priorities.select("source_id"), "source_id", "left_anti")),
+        golden.update_source_status(begun, known.select("source_id", F.lit(False).alias("failed"))),
+    )
+
+
+def ingest_sources(submitted: DataFrame, catalog: Catalog, web: Web) -> Catalog:
+    """The tables after the submitted sources."""
+    new = ingest_changes(submitted, catalog, web)
+    over = lambda old, rows, key: old.join(rows.select(key), key, "left_anti").unionByName(rows)
     return Catalog(
-        golden.upsert_product(catalog.products, found),
-        catalog.issues.unionByName(issues),
-        golden.append_audit(catalog.audit, known.select("sku", "source_url")),
-        golden.insert_source_priority(catalog.priorities, known),
-        catalog.sources.join(rows.select("source_id"), "source_id", "left_anti").unionByName(rows),
+        over(catalog.products, new.products, "product_code"),
+        catalog.issues.unionByName(new.issues),
+        catalog.audit.unionByName(new.audit),
+        catalog.priorities.unionByName(new.priorities),
+        over(catalog.sources, new.sources, "source_id"),
     )

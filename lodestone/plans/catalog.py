@@ -23,12 +23,12 @@ def query(name: str, sql: str | None):
     return keep
 
 
-_SOURCE = ["source_id", "source_type", "source_url", "project_id"]
+_SOURCE = ["source_id", "source_type", "source_url", "project_id", "uploaded_at"]
 
 
-@query("r1_list_sources", "SELECT source_id, source_type, source_url, project_id FROM fx_kv_sources")
+@query("r1_list_sources", "SELECT source_id, source_type, source_url, project_id, uploaded_at FROM fx_kv_sources")
 def r1(spark, d):
-    return ct.newest(frame(spark, d, "fx_kv_sources"), "source_id").select(*_SOURCE)
+    return ct.newest(frame(spark, d, "fx_kv_sources"), "uploaded_at", "source_id").select(*_SOURCE)
 
 
 @query("r2_project_priorities", "SELECT project_id, source_id, priority_rank FROM fx_priorities WHERE project_id IN ('3', '7')")
@@ -62,10 +62,13 @@ def r4(spark, d):
 
 @query("r5_attribute_evidence", f"""WITH {_LONG}
   SELECT a.product_code, a.attribute, a.value AS master, count(l.v) AS n_evidence, count(DISTINCT l.v) > 1 AS conflict, coalesce(max(l.confidence), 1.0) AS top_confidence,
-    coalesce(min(l.v), min(a.value)) AS least_value, CASE WHEN count(l.v) = 0 THEN 'Truth Engine' ELSE min(substr(CAST(l.source_id AS VARCHAR), 1, 8)) END AS least_source
+    md5(coalesce(string_agg(l.v || '|' || CAST(CAST(round(l.confidence * 100) AS INT) AS VARCHAR) || '|' || substr(CAST(l.source_id AS VARCHAR), 1, 8), ';' ORDER BY l.v, l.confidence, substr(CAST(l.source_id AS VARCHAR), 1, 8)),
+    a.value || '|100|Truth Engine')) AS evidence_md5
   FROM fx_product_attributes a LEFT JOIN long l ON l.sku = a.product_code AND l.label = a.attribute GROUP BY 1, 2, 3""")
 def r5(spark, d):
-    return ct.attribute_evidence(frame(spark, d, "fx_product_attributes"), extractions(spark, d))
+    rows = ct.attribute_evidence(frame(spark, d, "fx_product_attributes"), extractions(spark, d))
+    line = lambda e: F.concat_ws("|", e["value"], F.round(e["confidence"] * 100).cast("int").cast("string"), e["source"])
+    return rows.withColumn("evidence_md5", F.md5(F.array_join(F.transform("evidence", line), ";"))).drop("evidence")
 
 
 @query("r6_golden_records", "SELECT p.product_code, p.brand_name, p.completeness_score, e.seo_title, e.confidence FROM fx_products p LEFT JOIN fx_enrichments e USING (product_id) WHERE enrichment_status = 'completed'")
@@ -128,15 +131,16 @@ def r13(spark, d):
 
 
 def rule_tables(spark, d):
-    part = frame(spark, d, "part")
+    part = frame(spark, d, "part").withColumn("created_at", F.expr("TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * p_size"))
     rule_id = F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("rule_id")
-    old = part.where("p_partkey % 2 = 0").select(rule_id, F.col("p_type").alias("attribute_name"), F.lit("enum").alias("rule_type"), F.lit(True).alias("active"))
-    new = part.where("p_partkey % 3 = 0").select(rule_id, F.col("p_brand").alias("attribute_name"), F.when(F.col("p_partkey") % 4 == 0, None).otherwise("numeric").alias("rule_type"), F.lit(False).alias("active"))
+    old = part.where("p_partkey % 2 = 0").select(rule_id, F.col("p_type").alias("attribute_name"), F.lit("enum").alias("rule_type"), F.lit(True).alias("active"), "created_at")
+    new = part.where("p_partkey % 3 = 0").select(rule_id, F.col("p_brand").alias("attribute_name"), F.when(F.col("p_partkey") % 4 == 0, None).otherwise("numeric").alias("rule_type"), F.lit(False).alias("active"), "created_at")
     return old, new
 
 
 _RULES = """SELECT 'r' || CAST(p_partkey AS VARCHAR) AS rule_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS attribute_name,
-  CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 4 <> 0 THEN 'numeric' END ELSE 'enum' END AS rule_type, p_partkey % 3 <> 0 AS active FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0"""
+  CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 4 <> 0 THEN 'numeric' END ELSE 'enum' END AS rule_type, p_partkey % 3 <> 0 AS active,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * p_size AS created_at FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0"""
 
 
 @query("r14_sync_rules", _RULES)
@@ -146,12 +150,12 @@ def r14(spark, d):
 
 @query("r15_list_rules", _RULES)
 def r15(spark, d):
-    return ct.newest(ct.sync_rows(*rule_tables(spark, d), "rule_id"), "rule_id")
+    return ct.newest(ct.sync_rows(*rule_tables(spark, d), "rule_id"), "created_at", "rule_id")
 
 
 @query("r16_list_issues", "SELECT id, product_id, stage, logged_at FROM fx_audit WHERE stage = 'error'")
 def r16(spark, d):
-    return ct.newest(frame(spark, d, "fx_audit").where("stage = 'error'"), "logged_at").select("id", "product_id", "stage", "logged_at")
+    return ct.newest(frame(spark, d, "fx_audit").where("stage = 'error'"), "logged_at", "id").select("id", "product_id", "stage", "logged_at")
 
 
 @query("r17_resolve_issues", "SELECT id, product_id, stage = 'click' AS resolved FROM fx_audit")
@@ -178,7 +182,7 @@ def r20(spark, d):
 @query("r21_create_rows", """SELECT id, name, status FROM fx_projects UNION ALL SELECT s_suppkey + 10000000, s_name, CASE WHEN s_nationkey % 2 = 0 THEN 'draft' ELSE 'active' END FROM supplier""")
 def r21(spark, d):
     new = frame(spark, d, "supplier").select((F.col("s_suppkey") + 10000000).alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_nationkey") % 2 == 1, "active").alias("status"))
-    return ct.create_rows(frame(spark, d, "fx_projects"), new, {"status": "draft"})
+    return ct.create_rows(frame(spark, d, "fx_projects").drop("created_at"), new, {"status": "draft"})
 
 
 @query("r22_patch_rows", """SELECT product_code, CASE WHEN product_id % 6 = 0 THEN 'New ' || product_name ELSE product_name END AS product_name,
@@ -197,9 +201,9 @@ def r23(spark, d):
     return ct.delete_rows(products, products.where("enrichment_status = 'pending'"), "product_code").select("product_code", "product_name")
 
 
-@query("r24_list_projects", "SELECT id, name, status FROM fx_projects")
+@query("r24_list_projects", "SELECT id, name, status, created_at FROM fx_projects")
 def r24(spark, d):
-    return ct.newest(frame(spark, d, "fx_projects"), "id")
+    return ct.newest(frame(spark, d, "fx_projects"), "created_at", "id")
 
 
 @query("r25_publish_targets", "SELECT project_id, target_name, target_type, active FROM fx_targets WHERE project_id = '5'")

@@ -255,18 +255,24 @@ def g6(spark, d):
     return files.batch_result_sheet(rows, attributes, chosen, ["brand", "material_type"]).drop("input_title")
 
 
-_PRODUCTS = """SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS product_code, p_type AS product_name, p_type AS brand_name, 'completed' AS enrichment_status, 15 AS completeness_score FROM part"""
+_PRODUCTS = """SELECT 'P-' || CAST(p_partkey AS VARCHAR) AS product_code, p_type AS product_name, p_type AS brand_name, 'completed' AS enrichment_status, 30 AS completeness_score FROM part"""
+
+
+def web(spark, d):
+    """Search results, pages, synonyms and rules of all parts."""
+    results = spec_results(spark, d).withColumn("product_key", F.concat(F.lit("P-"), F.col("product_key").cast("string")))
+    return ag.Web(results, spec(spark, d), frame(spark, d, "fx_synonyms"), values.rules(spark).where("active"))
 
 
 @query("g12_ingest_sources", _PRODUCTS)
 def g12(spark, d):
-    return ag.ingest_sources(frame(spark, d, "fx_kv_sources"), ag.Catalog.empty(spark)).products
+    return ag.ingest_sources(frame(spark, d, "fx_kv_sources"), ag.Catalog.empty(spark), web(spark, d)).products
 
 
 @query("g12_ingest_effects", """SELECT 'audit' AS effect, sources_used AS detail, count(*) AS n FROM (SELECT coalesce(nullif(source_url, ''), 'Manual Input') AS sources_used FROM fx_kv_sources) a GROUP BY 1, 2
   UNION ALL SELECT 'priority', CASE WHEN source_type = 'pdf' THEN '0.9' ELSE '0.7' END, count(*) FROM fx_kv_sources GROUP BY 1, 2 UNION ALL SELECT 'status', 'completed', count(*) FROM fx_kv_sources GROUP BY 1, 2""")
 def g12e(spark, d):
-    after = ag.ingest_sources(frame(spark, d, "fx_kv_sources"), ag.Catalog.empty(spark))
+    after = ag.ingest_sources(frame(spark, d, "fx_kv_sources"), ag.Catalog.empty(spark), web(spark, d))
     parts = after.audit.select(F.lit("audit").alias("effect"), F.col("sources_used").alias("detail"))
     parts = parts.unionByName(after.priorities.select(F.lit("priority").alias("effect"), F.col("reliability_score").cast("string").alias("detail")))
     parts = parts.unionByName(after.sources.select(F.lit("status").alias("effect"), F.col("status").alias("detail")))
@@ -290,4 +296,4 @@ def u2(spark, d):
 def t1(spark, d):
     submissions = shared_path(spark, "submissions")
     frame(spark, d, "fx_kv_sources").repartition(3, "source_id").write.parquet(submissions)
-    return ingest_stream(spark, submissions, shared_path(spark, "ingest"))
+    return ingest_stream(spark, submissions, shared_path(spark, "ingest"), web(spark, d))

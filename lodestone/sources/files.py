@@ -55,8 +55,11 @@ def export_lines(products: DataFrame) -> DataFrame:
 
 
 def export_catalog_csv(products: DataFrame, path: str) -> None:
-    """The same as a folder of quoted CSV files."""
+    """The same as a folder of quoted CSV files with headers; without any product a header of the first three columns."""
     rows = products.where(F.col("published_at").isNotNull())
+    if rows.isEmpty():
+        products.sparkSession.createDataFrame([("SKU", "Brand", "Name")], "a string, b string, c string").coalesce(1).write.mode("overwrite").csv(path)
+        return
     rows.select(F.col("product_code").alias("SKU"), F.col("brand_name").alias("Brand"), F.col("product_name").alias("Name"), F.concat(F.col("completeness_score").cast("string"), F.lit("%")).alias("Completeness")).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 

@@ -1,23 +1,42 @@
-"""Submitted sources as a stream: each batch goes through the ingestion, with snapshots in a folder."""
+"""Submitted sources as a stream: each batch goes through the ingestion and adds its changes to a folder."""
 
 from __future__ import annotations
 
 from dataclasses import fields
+from itertools import count
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from lodestone.plans.aggregate import Catalog, ingest_sources
+from lodestone.plans.aggregate import Catalog, Web, ingest_changes
 from lodestone.schemas import SOURCE_SUBMISSION
+from lodestone.sources.files import register_source
 
 _TABLES = [f.name for f in fields(Catalog)]
 
 
+def added(spark: SparkSession, folder: str, table: str, version: int) -> DataFrame:
+    """The rows that the batches up to ``version`` added to a table, with their ``batch``."""
+    schema = getattr(Catalog.empty(spark), table).schema
+    return spark.read.schema(schema.add("batch", "long")).parquet(f"{folder}/{table}").where(F.col("batch") <= version)
+
+
 def read_catalog(spark: SparkSession, folder: str, version: int) -> Catalog:
-    """Snapshot ``version`` of all tables; empty ones below zero."""
+    """All tables after batch ``version``; empty ones below zero. Of a product the state of its last batch counts."""
     if version < 0:
         return Catalog.empty(spark)
-    return Catalog(**{t: spark.read.parquet(f"{folder}/v{version}/{t}") for t in _TABLES})
+    rows = {t: added(spark, folder, t, version) for t in _TABLES}
+    last = Window.partitionBy("product_code").orderBy(F.desc("batch"))
+    rows["products"] = rows["products"].withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    return Catalog(**{t: df.drop("batch") for t, df in rows.items()})
+
+
+def source_states(spark: SparkSession, folder: str) -> DataFrame:
+    """``source_id, status`` of all that was submitted: completed, or in processing where its batch has not ended."""
+    done = read_catalog(spark, folder, latest_version(spark, folder)).sources.select("source_id", "status")
+    begun = spark.read.schema("source_id long, status string").parquet(f"{folder}/registered").distinct()
+    return done.unionByName(begun.join(done, "source_id", "left_anti"))
 
 
 def latest_version(spark: SparkSession, folder: str) -> int:
@@ -30,26 +49,38 @@ def latest_version(spark: SparkSession, folder: str) -> int:
         return -1
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
-    """One batch: new snapshots of all tables, and the pointer to them last. A batch that ran before changes nothing."""
+def ingest_batch(batch: DataFrame, batch_id: int, folder: str, web: Web) -> None:
+    """One batch: its sources are registered, then its changes are written, and the pointer last.
+
+    A batch that ran before changes nothing. One that fails stops the stream; its sources stay in processing, and a
+    restart does the whole batch again over what it had written.
+    """
     spark = batch.sparkSession
     version = latest_version(spark, folder)
     if version >= batch_id:
         return
-    after = ingest_sources(batch, read_catalog(spark, folder, version))
+    register_source(batch).select("source_id", "status").write.mode("overwrite").parquet(f"{folder}/registered/batch={batch_id}")
+    parts = count()
+
+    def cut(df: DataFrame) -> DataFrame:
+        path = f"{folder}/work/batch={batch_id}/part={next(parts)}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).option("basePath", path).parquet(path)
+
+    changes = ingest_changes(batch, read_catalog(spark, folder, version), web, cut)
     for t in _TABLES:
-        getattr(after, t).write.mode("overwrite").parquet(f"{folder}/v{batch_id}/{t}")
+        getattr(changes, t).write.mode("overwrite").parquet(f"{folder}/{t}/batch={batch_id}")
     spark.createDataFrame([(batch_id,)], "version long").write.mode("append").parquet(f"{folder}/versions")
 
 
-def ingest_stream(spark: SparkSession, submissions: str, folder: str, files_per_batch: int = 1) -> DataFrame:
+def ingest_stream(spark: SparkSession, submissions: str, folder: str, web: Web, files_per_batch: int = 1) -> DataFrame:
     """All submissions that have arrived in a folder of Parquet files; returns the products after them.
 
     The checkpoint and the versions make a restart safe: a batch is applied once, and a source twice changes nothing.
     """
     stream = spark.readStream.schema(SOURCE_SUBMISSION).option("maxFilesPerTrigger", files_per_batch).parquet(submissions)
     run = (
-        stream.writeStream.foreachBatch(lambda batch, k: ingest_batch(batch, k, folder))
+        stream.writeStream.foreachBatch(lambda batch, k: ingest_batch(batch, k, folder, web))
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     run.awaitTermination()

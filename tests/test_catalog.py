@@ -12,10 +12,13 @@ from lodestone.fixtures import TABLES, frame
 from lodestone.operators import catalog as ct
 from lodestone.operators import extract as ex
 from lodestone.operators import golden as gd
+from lodestone.operators import standardize as st
+from lodestone.plans import aggregate as ag
 from lodestone.plans import registry
+from lodestone.plans.intake import web
 from lodestone.sources import files
 from lodestone.storage import shared_path
-from lodestone.streaming.ingest import ingest_batch, ingest_stream, latest_version, read_catalog
+from lodestone.streaming.ingest import ingest_batch, ingest_stream, latest_version, read_catalog, source_states
 
 SF = "/root/testdata/sf0.001"
 
@@ -167,19 +170,72 @@ def test_csv_export_quotes(spark):
     files.export_catalog_csv(products, path)
     assert [tuple(r) for r in spark.read.option("header", True).option("escape", '"').csv(path).collect()] == [("a", None, 'say "x", y', "5%")]
     assert spark.read.option("header", True).csv(path).columns == ["SKU", "Brand", "Name", "Completeness"]
+    files.export_catalog_csv(products.limit(0), path)
+    assert [r.value for r in spark.read.text(path).collect()] == ["SKU,Brand,Name"]
 
 
 def test_stream_applies_a_batch_and_a_source_once(spark):
     submissions, folder = shared_path(spark, "in"), shared_path(spark, "out")
     rows = frame(spark, SF, "fx_kv_sources").limit(12)
     rows.coalesce(1).write.parquet(submissions)
-    first = ingest_stream(spark, submissions, folder).count()
+    known = web(spark, SF)
+    first = ingest_stream(spark, submissions, folder, known).count()
     rows.coalesce(1).write.mode("append").parquet(submissions)
-    assert ingest_stream(spark, submissions, folder).count() == first == 12
+    assert ingest_stream(spark, submissions, folder, known).count() == first == 12
     version = latest_version(spark, folder)
-    ingest_batch(rows, version, folder)
+    ingest_batch(rows, version, folder, known)
     after = read_catalog(spark, folder, latest_version(spark, folder))
     assert after.priorities.count() == 12 and after.audit.count() == 12 and after.sources.where("status = 'completed'").count() == 12
+    # A later source changes a product; one whose batch doesn't end stays in processing.
+    more = rows.limit(1).withColumn("source_id", F.lit(900001).cast("long"))
+    ingest_batch(more, version + 1, folder, known)
+    assert read_catalog(spark, folder, version + 1).products.count() == 12
+    broken = ag.Web(known.results.drop("url"), known.pages, known.synonyms, known.rules)
+    with pytest.raises(Exception):
+        ingest_batch(rows.limit(1).withColumn("source_id", F.lit(900002).cast("long")), version + 2, folder, broken)
+    states = {r.source_id: r.status for r in source_states(spark, folder).collect()}
+    assert states.pop(900002) == "processing" and set(states.values()) == {"completed"} and len(states) == 13
+
+
+def test_ingest_sources_whose_aggregation_fails(spark):
+    known = web(spark, SF)
+    schema = "source_id long, source_type string, source_url string, project_id string, content string"
+    rows = spark.createDataFrame(
+        [
+            (1, "html", "u1", "p", "SKU: P-1\nbrand: Acme"),
+            (2, "pdf", None, None, "SKU: no-such-product\nbrand: Acme"),
+            (3, "html", "u3", "p", "no separator"),
+            (4, "html", "u4", "p", None),
+            (5, "html", "u5", "p", "SKU: P-1\nproduct_name: Late"),
+        ],
+        schema,
+    )
+    after = ag.ingest_sources(rows, ag.Catalog.empty(spark), known)
+    assert [(r.product_code, r.product_name, r.completeness_score) for r in after.products.collect()] == [("P-1", "Late", 30)]
+    lengths = {r.source_id: r.content and len(r.content) for r in rows.collect()}
+    assert {r.source_id: r.raw_length for r in after.sources.where("status = 'completed'").collect()} == lengths
+    assert sorted(r.product_id for r in after.audit.collect()) == ["P-1", "P-1", "no-such-product", "unknown", "unknown"]
+    assert after.priorities.count() == 5
+    again = ag.ingest_sources(rows, after, known)
+    assert again.audit.count() == 5 and again.sources.count() == 5
+
+
+def test_lists_come_newest_first(spark):
+    for name, by, key in (("r1_list_sources", "uploaded_at", "source_id"), ("r15_list_rules", "created_at", "rule_id"), ("r24_list_projects", "created_at", "id")):
+        rows = [(r[by], r[key]) for r in registry.QUERIES[name](spark, SF).collect()]
+        assert len({t for t, _ in rows}) > 1 and rows == sorted(sorted(rows, key=lambda r: r[1]), key=lambda r: r[0], reverse=True), name
+    rules = spark.createDataFrame([("r9", "a", True, "2024-01-01"), ("r1", "a", True, "2024-02-01"), ("r2", "a", False, "2024-03-01")], "rule_id string, attribute string, active boolean, created_at string")
+    assert [r.rule_id for r in st.active_rules(rules).collect()] == ["r1"]
+
+
+def test_evidence_of_attributes(spark):
+    master = spark.createDataFrame([("p", "size", "m"), ("p", "type", "t")], "product_code string, attribute string, value string")
+    found = spark.createDataFrame(
+        [("p", 12345678901, 0.9, {"size": "2", "other": "x"}), ("p", 2, 0.4, {"size": "1"})], "sku string, source_id long, confidence double, attributes map<string,string>"
+    )
+    rows = {r.attribute: r for r in ct.attribute_evidence(master, found).collect()}
+    assert [tuple(e) for e in rows["size"].evidence] == [("1", 0.4, "2"), ("2", 0.9, "12345678")] and rows["size"].conflict
+    assert [tuple(e) for e in rows["type"].evidence] == [("t", 1.0, "Truth Engine")] and not rows["type"].conflict
 
 
 def plan(df):
