@@ -35,7 +35,7 @@ def read_catalog(spark: SparkSession, folder: str, version: int) -> Catalog:
 def source_states(spark: SparkSession, folder: str) -> DataFrame:
     """``source_id, status`` of all that was submitted: completed, or in processing where its batch has not ended."""
     done = read_catalog(spark, folder, latest_version(spark, folder)).sources.select("source_id", "status")
-    begun = spark.read.schema("source_id long, status string").parquet(f"{folder}/registered").distinct()
+    begun = spark.read.schema("source_id long, status string").parquet(f"{folder}/registered").select("source_id", "status").distinct()
     return done.unionByName(begun.join(done, "source_id", "left_anti"))
 
 
