@@ -5,9 +5,9 @@ many as it takes for no group to be large, and each task sorts pointers to its s
 partition whose first d words are equal has as many suffixes as the phrase of these words has occurrences. Partitions below
 the wanted frequency are abandoned.
 
-Two passes over the texts. The first counts words and pairs of words in hash buckets of fixed number, finds leading words
+Two passes over the texts. The first counts words, pairs and triples in hash buckets of fixed number, finds leading words
 that are too common for one task, and counts all words. The second leaves out what no frequent phrase can hold (a bucket's
-count is never less than that of a pair in it), merges equal suffixes of a task's run, and routes them. Buckets and routes
+count is never less than that of a phrase in it), merges equal suffixes of a task's run, and routes them. Buckets and routes
 decide where work happens, never a result: phrases are compared by their words.
 """
 
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import slices, table, written
 
 #: Tokens that a task holds at a time, characters of one step of it, and suffixes that a task sorts at a time.
-RUN_TOKENS, STEP_CHARS, SORT_ROWS = 6_000_000, 6_000_000, 500_000
-#: Bits of the numbers of buckets for words and for pairs, and buckets in one block of a table of counts.
-WORD_BITS, PAIR_BITS, BLOCK = 20, 22, 4096
+RUN_TOKENS, STEP_CHARS, SORT_ROWS = 5_000_000, 4_000_000, 500_000
+#: Bits of the numbers of buckets for phrases of one, two and three words, and buckets in one block of a table of counts.
+BITS, BLOCK = {"word": 20, "pair": 22, "triple": 22}, 4096
 #: Groups of suffixes hold at most about this share of all words; the list of more common leading words is as long at most.
 GROUPS = 4096
 #: Languages whose counts of words are broadcast at most.
@@ -97,11 +97,17 @@ _COUNTS_ARROW = pa.schema([("kind", pa.string()), ("lang", pa.string()), ("key",
 
 def first_pass(texts: DataFrame, least: int, longest: int) -> DataFrame:
     """Rows of three kinds: ``words`` (words of a language), ``hot`` (common leading words by hash, as far as a run has
-    many), and blocks of the bucket counts of ``word`` and ``pair``, each count up to ``least``."""
+    many), and blocks of the bucket counts of ``BITS``, each count up to ``least``."""
     kind = "u1" if least <= 255 else "u4"
 
     def run(batches):
-        tables = {"word": np.zeros(1 << WORD_BITS, "i8"), "pair": np.zeros(1 << PAIR_BITS, "i8")}
+        tables = {name: np.zeros(1 << bits, "i4") for name, bits in BITS.items()}
+
+        def add(name, h, weights=None):
+            t = tables[name]
+            t += np.bincount(_buckets(h, BITS[name]), weights=weights, minlength=len(t)).astype("i4")
+            np.minimum(t, least, out=t)
+
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS_ARROW, strict=True)], schema=_COUNTS_ARROW)
         for vocabulary, by_lang in runs(batches):
             hashes = vocabulary.hashes()
@@ -112,12 +118,12 @@ def first_pass(texts: DataFrame, least: int, longest: int) -> DataFrame:
                 counts[0] = 0
                 rows.append(("words", lang, None, int(counts.sum()), None))
                 ones = _first_hash(hashes, lang)
-                tables["word"] += np.bincount(_buckets(ones, WORD_BITS), weights=counts, minlength=1 << WORD_BITS).astype("i8")
+                add("word", ones, counts)
                 at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-                pairs = _next_hash(ones[ids[at]], hashes[ids[at + 1]])
-                tables["pair"] += np.bincount(_buckets(pairs, PAIR_BITS), minlength=1 << PAIR_BITS)
-                for name in tables:
-                    np.minimum(tables[name], least, out=tables[name])
+                h = _next_hash(ones[ids[at]], hashes[ids[at + 1]])
+                add("pair", h)
+                longer = ids[at + 2] > 0
+                add("triple", _next_hash(h[longer], hashes[ids[at[longer] + 2]]))
                 common = np.flatnonzero(counts >= many)
                 rows += [("hot", None, int(ones[w].view("i8")), int(counts[w]), None) for w in common]
                 at = np.flatnonzero((counts >= many)[ids])
@@ -157,8 +163,8 @@ def full_buckets(counts: DataFrame, least: int) -> dict[str, np.ndarray]:
         if of:
             yield out()
 
-    blocks = counts.where("kind in ('word', 'pair')").select("kind", "key", "body").repartition("kind", "key").sortWithinPartitions("kind", "key")
-    full = {"word": np.zeros(1 << WORD_BITS, bool), "pair": np.zeros(1 << PAIR_BITS, bool)}
+    blocks = counts.where(F.col("kind").isin(*BITS)).select("kind", "key", "body").repartition("kind", "key").sortWithinPartitions("kind", "key")
+    full = {name: np.zeros(1 << bits, bool) for name, bits in BITS.items()}
     for r in blocks.mapInArrow(run, "kind string, key long, bits binary").toLocalIterator():
         full[r.kind][r.key * BLOCK : (r.key + 1) * BLOCK] = np.unpackbits(np.frombuffer(r.bits, "u1")).astype(bool)
     return full
@@ -183,12 +189,12 @@ _SUFFIXES = "route long, lang string, phrase string, base int, n long"
 def suffixes(texts: DataFrame, full: dict[str, np.ndarray], hot: np.ndarray, longest: int) -> DataFrame:
     """``route, lang, phrase, base, n``: merged suffixes of runs. A row counts for its leading phrases of ``base`` words and
     more; phrases of fewer words are too common for one task and have rows of their own."""
-    shared = texts.sparkSession.sparkContext.broadcast({"word": np.packbits(full["word"]), "pair": np.packbits(full["pair"]), "hot": np.sort(hot)})
+    shared = texts.sparkSession.sparkContext.broadcast({name: np.packbits(bits) for name, bits in full.items()} | {"hot": np.sort(hot.view("u8"))})
 
     def run(batches):
-        known = {name: np.unpackbits(shared.value[name]).astype(bool) for name in ("word", "pair")}
-        hot = shared.value["hot"].view("u8")
-        hot.sort()
+        known = {name: np.unpackbits(shared.value[name]).view(bool) for name in BITS}
+        may_be = lambda name, h: known[name][_buckets(h, BITS[name])]
+        hot = shared.value["hot"]
 
         def is_hot(h):
             at = np.searchsorted(hot, h)
@@ -198,18 +204,21 @@ def suffixes(texts: DataFrame, full: dict[str, np.ndarray], hot: np.ndarray, lon
             hashes, names = vocabulary.hashes(), pa.array(list(vocabulary), pa.binary()).cast(pa.string())
             for lang, ids in by_lang.items():
                 ones = _first_hash(hashes, lang)
-                may = known["word"][_buckets(ones, WORD_BITS)]
+                may = may_be("word", ones)
                 may[0] = False
                 good = may[ids]
                 at = np.flatnonzero(good[:-1] & good[1:])
-                at = at[known["pair"][_buckets(_next_hash(ones[ids[at]], hashes[ids[at + 1]]), PAIR_BITS)]]
-                pair = np.zeros(len(ids), bool)
+                h = _next_hash(ones[ids[at]], hashes[ids[at + 1]])
+                at, h = at[kept := may_be("pair", h)], h[kept]
+                pair, triple = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
                 pair[at] = True
+                longer = pair[at + 1]
+                triple[at[longer][may_be("triple", _next_hash(h[longer], hashes[ids[at[longer] + 2]]))]] = True
                 alone = np.bincount(ids[good & ~pair], minlength=len(hashes))
                 single = np.flatnonzero(alone)
                 goes_on, rest = np.ones(len(at), bool), []
                 for d in range(1, longest):
-                    goes_on &= pair[at + d - 1]
+                    goes_on = goes_on & triple[at + d - 2] if d > 1 else goes_on
                     rest.append(np.where(goes_on, ids[at + d], 0))
                 columns = [ids[at], *rest]
                 first, _, n = distinct_rows(columns, len(hashes)) if len(at) else (at, at, at)
@@ -351,7 +360,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` phrases (all, if None) of 2 to ``longest`` words.
 
     Texts are lower-cased in A-Z, split into pieces at ``.,;:!?`` and line ends, and those into words between spaces and
-    tabs. ``a`` counts the occurrences of a phrase, at least ``least``; ``n`` all words of the language. Each cut into two
+    tabs. ``longest`` is 8 at most. ``a`` counts the occurrences of a phrase, at least ``least``; ``n`` all words of the language. Each cut into two
     parts with ``l`` and ``r`` occurrences scores ``floor(1000 a n / (l r))``, in whole numbers of 38 digits; the lowest
     score counts, ties go to the shortest first part. A phrase that lies in a longer one as frequent as itself is left out.
     Ranks go by score and ``a``, highest first, then by phrase.
