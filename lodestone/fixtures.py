@@ -52,6 +52,19 @@ SELECT p_partkey AS page_id, concat('https://shop.example.org/p/', CAST(p_partke
  ' cm</td></tr><tr><td>a</td><td>b</td><td>c</td></tr></table><dl><dt>Brand:</dt><dd>', p_brand, '</dd><dt>Orphan</dt></dl><ul><li>Material Type: ', p_type,
  '</li></ul></main><footer>end</footer></body></html>') AS html
 FROM part
+""",
+    "fx_nested_pages": r"""
+SELECT p_partkey AS page_id, concat('<html><head><title>Part: nested</title></head><body><div class="spec"><div><p>Weight: ', CAST(p_size AS STRING),
+ ' kg</p><p>Colour: red (RAL 3000)</p></div><ul><li>Material Type: ', p_type, '.<li>Made in Country: ', p_brand, '.</ul><table><tr><th>Size:</th><td>', CAST(p_size AS STRING),
+ ' cm</td></tr><tr><td><table><tr><td>Depth</td><td>', CAST(p_size + 1 AS STRING), '</td></tr></table></td><td>x</td></tr></table></div></body></html>') AS html
+FROM part
+""",
+    "fx_source_pages": r"""
+SELECT p_partkey * 4 + k AS page_id, p_partkey AS product_key, k AS source_no, concat('https://s', CAST(k AS STRING), '.example.org/p/', CAST(p_partkey AS STRING)) AS url,
+ concat('<html><body><h1>A part as this source describes it, in its own words</h1><div class="specs"><table><tr><td>Size</td><td>', CAST(p_size + CASE WHEN k = 1 THEN 0 ELSE 20 END AS STRING),
+ ' cm</td></tr></table><ul><li>Surface: ', CASE k WHEN 1 THEN 'polished' WHEN 2 THEN 'Polished ' ELSE 'brushed' END, '</li>',
+ CASE WHEN k = 3 THEN concat('<li>Shelf: ', p_brand, '</li>') ELSE '' END, '</ul></div></body></html>') AS html
+FROM part, (VALUES (1), (2), (3)) AS v(k)
 """,
     "fx_kv_sources": r"""
 SELECT p_partkey AS source_id, CASE WHEN p_partkey % 3 = 0 THEN 'pdf' ELSE 'html' END AS source_type,

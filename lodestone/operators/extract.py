@@ -1,6 +1,7 @@
-"""Label and value pairs from pages and texts, by native column expressions.
+"""Label and value pairs from pages and texts.
 
-Every strategy gives long rows ``page_id, label, value, strategy, ord``.
+Every strategy gives long rows ``page_id, label, value, strategy, ord``. Those on markup come from one pass over its tags
+(``markup``); the rest are native column expressions.
 """
 
 from __future__ import annotations
@@ -9,15 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_text, strip
+from lodestone.operators import markup as mk
 from lodestone.schemas import DISCOVER_CHARS, DOCUMENT_CHARS, EXTRACT_CHARS, MAX_LABELS, MIN_PAGE_CHARS
 
+#: Elements that are no main text.
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header", "svg", "noscript", "iframe")
-BLOCK_TAGS = ("p", "li", "div", "span")
-_LABELLED = r"([A-Za-z][A-Za-z\s]{2,50}):\s*([^\n:]{1,200})"
-
-
-def all_of(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
 def decode_entities(c: Column) -> Column:
@@ -26,12 +23,6 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
-def inner_text(c: Column) -> Column:
-    """Text of a piece of HTML: each text node stripped, nothing between nodes."""
-    nodes = F.transform(F.split(c, "<[^>]*>"), lambda t: strip(decode_entities(t)))
-    return F.array_join(nodes, "")
-
-
 def html_main_text(html: Column) -> Column:
     """Text of the main element, or of the body, without scripts, navigation and the like."""
     kept = F.regexp_replace(html, rf"(?is)<({'|'.join(DROPPED_TAGS)})\b.*?</\1\s*>", "")
@@ -41,89 +32,59 @@ def html_main_text(html: Column) -> Column:
     return normalize_text(decode_entities(F.regexp_replace(F.regexp_replace(part, "(?s)<!--.*?-->", ""), "<[^>]*>", " ")))
 
 
-def _long(pages: DataFrame, pairs: Column, strategy: int) -> DataFrame:
-    rows = pages.select("page_id", F.posexplode(pairs).alias("ord", "p"))
-    return rows.select("page_id", F.col("p.label").alias("label"), F.col("p.value").alias("value"), F.lit(strategy).alias("strategy"), "ord")
-
-
-def _pair(label: Column, value: Column) -> Column:
-    return F.struct(label.alias("label"), value.alias("value"))
+def pairs_of(pages: DataFrame, *strategies: int) -> DataFrame:
+    """Rows ``page_id, label, value, strategy, ord`` of these strategies, by one pass over the tags of each page."""
+    rows = mk.page_pairs(pages, strategies)
+    name = F.initcap(F.replace(F.element_at(F.split("label", ":"), -1), F.lit("_"), F.lit(" ")))
+    pair = F.struct(F.when(F.col("strategy") == mk.META, name).otherwise(F.col("label")).alias("label"), "value")
+    if mk.LINKED in strategies:
+        found = F.when(F.col("strategy") == mk.LINKED, linked_fields(F.col("value"))).otherwise(F.array(pair))
+        rows = rows.select("page_id", "strategy", "ord", F.explode(found).alias("p"))
+    else:
+        rows = rows.select("page_id", "strategy", "ord", pair.alias("p"))
+    return rows.select("page_id", "p.label", "p.value", "strategy", "ord")
 
 
-def markup(html: Column) -> Column:
-    """HTML without comments, scripts and styles, whose text is no markup; one that isn't closed goes on to the end."""
-    return F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", "")
+def linked_fields(json: Column) -> Column:
+    """Scalar fields of an object whose type names a product."""
+    product = F.try_parse_json(json).isNotNull() & F.coalesce(F.get_json_object(json, "$.@type").contains("Product"), F.lit(False))
+    fields = F.map_entries(F.from_json(F.when(product, json), "map<string,variant>"))
+    scalar = lambda e: ~e["key"].isin("@context", "@type") & ~F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID")).rlike("^(OBJECT|ARRAY|VOID)")
+    pairs = F.transform(F.filter(fields, scalar), lambda e: F.struct(F.initcap(e["key"]).alias("label"), F.try_variant_get(e["value"], "$", "string").alias("value")))
+    return F.filter(pairs, lambda p: p["value"].isNotNull())
 
 
 def html_table_pairs(pages: DataFrame) -> DataFrame:
-    """Table rows of two cells; of nested tables the innermost rows and the outer ones that hold no table."""
-    tables = F.regexp_extract(markup(F.col("html")), r"(?is)<table\b.*", 0)
-    rows = all_of(tables, r"(?is)<tr\b[^>]*>(.*?)(?=</tr\s*>|<tr\b|</table\s*>|\z)")
-    cells = F.transform(rows, lambda r: all_of(r, r"(?is)<t[dh]\b[^>]*>(.*?)(?=</t[dh]\s*>|<t[dh]\b|$)"))
-    pairs = F.transform(F.filter(cells, lambda c: F.size(c) == 2), lambda c: _pair(F.regexp_replace(inner_text(F.get(c, F.lit(0))), ":+$", ""), inner_text(F.get(c, F.lit(1)))))
-    ok = lambda p: (F.length(p["label"]) > 2) & (F.length(p["label"]) < 100) & (p["value"] != "") & (F.length(p["value"]) < 500)
-    return _long(pages, F.filter(pairs, ok), 1)
+    """Table rows of two cells; cells of inner tables count for outer rows, too."""
+    return pairs_of(pages, mk.TABLES)
 
 
 def html_definition_pairs(pages: DataFrame) -> DataFrame:
     """Terms and descriptions of definition lists, paired as far as the shorter goes."""
-    blocks = all_of(markup(F.col("html")), r"(?is)<dl\b[^>]*>(.*?)</dl\s*>")
-
-    def zipped(block: Column) -> Column:
-        dt = all_of(block, r"(?is)<dt\b[^>]*>(.*?)(?=</dt\s*>|<d[td]\b|$)")
-        dd = all_of(block, r"(?is)<dd\b[^>]*>(.*?)(?=</dd\s*>|<d[td]\b|$)")
-        n = F.least(F.size(dt), F.size(dd))
-        return F.zip_with(F.slice(dt, F.lit(1), n), F.slice(dd, F.lit(1), n), lambda a, b: _pair(F.regexp_replace(inner_text(a), ":+$", ""), inner_text(b)))
-
-    ok = lambda p: (p["label"] != "") & (p["value"] != "") & (F.length(p["label"]) < 100)
-    return _long(pages, F.filter(F.flatten(F.transform(blocks, zipped)), ok), 2)
-
-
-def labelled(text: Column) -> Column:
-    """Pairs of a label before a colon and the rest up to a colon or line end; links are no labels."""
-    pairs = F.zip_with(all_of(text, _LABELLED, 1), all_of(text, _LABELLED, 2), lambda k, v: _pair(strip(k), strip(v)))
-    return F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "") & ~F.lower(p["label"]).rlike("^(http|www)"))
+    return pairs_of(pages, mk.TERMS)
 
 
 def text_label_pairs(pages: DataFrame) -> DataFrame:
-    """Labelled values in the text of paragraphs, list items, divisions and spans."""
-    blocks = all_of(markup(F.col("html")), rf"(?is)<({'|'.join(BLOCK_TAGS)})\b[^>]*>(.*?)</\1\s*>", 2)
-    texts = F.transform(blocks, lambda b: decode_entities(F.regexp_replace(b, "<[^>]*>", "")))
-    return _long(pages, F.flatten(F.transform(texts, labelled)), 3)
-
+    """Labelled values in the text of paragraphs, list items, divisions and spans, inner blocks after outer ones.
 
-def attribute_of(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    A label stands before a colon, its value goes up to a colon or line end; links are no labels.
+    """
+    return pairs_of(pages, mk.LABELS)
 
 
 def meta_product_pairs(pages: DataFrame) -> DataFrame:
     """Meta tags with a product property."""
-    tags = all_of(markup(F.col("html")), r"(?is)(<meta\b[^>]*>)")
-    pairs = F.transform(tags, lambda t: F.struct(attribute_of(t, "property").alias("p"), decode_entities(attribute_of(t, "content")).alias("c")))
-    kept = F.filter(pairs, lambda s: (s["c"] != "") & F.lower(s["p"]).contains("product"))
-    return _long(pages, F.transform(kept, lambda s: _pair(F.initcap(F.replace(F.element_at(F.split(s["p"], ":"), -1), F.lit("_"), F.lit(" "))), s["c"])), 4)
+    return pairs_of(pages, mk.META)
 
 
 def jsonld_product_pairs(pages: DataFrame) -> DataFrame:
     """Scalar fields of linked-data objects whose type names a product."""
-    scripts = r"(?is)<!--.*?(?:-->|\z)|<script\b([^>]*)>(.*?)</script\s*>"
-    both = F.arrays_zip(all_of(F.col("html"), scripts, 1).alias("tag"), all_of(F.col("html"), scripts, 2).alias("json"))
-    blocks = F.transform(F.filter(both, lambda b: b["tag"].rlike(r"(?is)\btype\s*=\s*[\"']application/ld\+json[\"']")), lambda b: b["json"])
-    rows = pages.select("page_id", F.posexplode(blocks).alias("block", "json")).withColumn("kind", F.get_json_object("json", "$.@type"))
-    rows = rows.where(F.try_parse_json("json").isNotNull() & F.coalesce(F.col("kind").contains("Product"), F.lit(False)))
-    fields = rows.select("page_id", "block", F.explode(F.from_json("json", "map<string,variant>")).alias("key", "field")).where(~F.col("key").isin("@context", "@type"))
-    value = F.try_variant_get("field", "$", "string")
-    scalar = ~F.schema_of_variant("field").rlike("^(OBJECT|ARRAY|VOID)")
-    out = fields.where(F.coalesce(scalar, F.lit(False))).select("page_id", F.initcap("key").alias("label"), value.alias("value"), F.lit(5).alias("strategy"), F.col("block").alias("ord"))
-    return out.where(F.col("value").isNotNull())
+    return pairs_of(pages, mk.LINKED)
 
 
 def all_pairs(pages: DataFrame) -> DataFrame:
     """Rows of all five strategies."""
-    out = html_table_pairs(pages)
-    for more in (html_definition_pairs, text_label_pairs, meta_product_pairs, jsonld_product_pairs):
-        out = out.unionByName(more(pages))
-    return out
+    return pairs_of(pages, *mk.STRATEGIES)
 
 
 def fallback_extraction(pages: DataFrame) -> DataFrame:
@@ -143,7 +104,7 @@ def extract_page(pages: DataFrame) -> DataFrame:
 def discover_attributes(pages: DataFrame) -> DataFrame:
     """Labels in the first 10,000 characters of pages (tables, definition lists, text) and the pages of each."""
     cut = pages.withColumn("html", F.substring("html", 1, DISCOVER_CHARS))
-    rows = html_table_pairs(cut).unionByName(html_definition_pairs(cut)).unionByName(text_label_pairs(cut))
+    rows = pairs_of(cut, mk.TABLES, mk.TERMS, mk.LABELS)
     return rows.groupBy("label").agg(F.countDistinct("page_id").alias("n_pages"))
 
 

@@ -164,11 +164,31 @@ for _name, _op, _sql in (
     query(_name, _sql)(lambda spark, d, op=_op: op(spec(spark, d)).select("page_id", "label", "value", "strategy"))
 
 
-@query("x8_extract_page", f"SELECT page_id, NULL AS error, label, value FROM ({_PAIRS}) x UNION ALL SELECT page_id, 'empty_html', NULL, NULL FROM pages WHERE length(trim(html)) < 100 UNION ALL SELECT page_id + 100000000, 'empty_html', NULL, NULL FROM pages")
+def every_page(spark, d):
+    """All pages whole, under negative ids, and the spec pages."""
+    pages = frame(spark, d, "pages").select((-1 - F.col("page_id")).alias("page_id"), "html")
+    return spec(spark, d).select("page_id", "html").unionByName(pages)
+
+
+#: No given page has a pair: a page of another kind would show as a difference.
+@query("x8_extract_page", f"SELECT page_id, NULL AS error, label, value FROM ({_PAIRS}) x UNION ALL SELECT -1 - page_id, CASE WHEN length(trim(html)) < 100 THEN 'empty_html' END, NULL, NULL FROM pages")
 def x8(spark, d):
-    pages = frame(spark, d, "pages").select("page_id", "html")
-    both = spec(spark, d).select("page_id", "html").unionByName(pages.where(F.length(F.trim("html")) < 100)).unionByName(pages.select((F.col("page_id") + 100000000).alias("page_id"), F.substring("html", 1, 60).alias("html")))
-    return ex.extract_page(both).select("page_id", "error", "label", "value")
+    return ex.extract_page(every_page(spark, d)).select("page_id", "error", "label", "value")
+
+
+_NESTED = """SELECT page_id, label, value, 3 AS strategy FROM (SELECT p_partkey AS page_id, unnest([
+   {'label': 'Weight', 'value': CAST(p_size AS VARCHAR) || ' kg'}, {'label': 'Colour', 'value': 'red (RAL 3000)'}, {'label': 'Material Type', 'value': p_type || '.Made in Country'},
+   {'label': 'Made in Country', 'value': p_brand || '.'}, {'label': 'Size', 'value': CAST(p_size AS VARCHAR) || ' cmDepth' || CAST(p_size + 1 AS VARCHAR) || 'x'}], recursive := true) FROM part) x"""
+
+
+@query("x4_nested_blocks", f"{_NESTED} UNION ALL SELECT p_partkey, 'Weight', CAST(p_size AS VARCHAR) || ' kgColour', 3 FROM part")
+def x4_nested(spark, d):
+    return ex.text_label_pairs(frame(spark, d, "fx_nested_pages")).select("page_id", "label", "value", "strategy")
+
+
+@query("x7_nested_markup", f"{_NESTED} UNION ALL SELECT p_partkey, 'Depth', CAST(p_size + 1 AS VARCHAR), 1 FROM part")
+def x7_nested(spark, d):
+    return ex.fallback_extraction(frame(spark, d, "fx_nested_pages")).select("page_id", "label", "value", "strategy")
 
 
 @query("x9_discover_attributes", f"SELECT label, count(DISTINCT page_id) AS n_pages FROM ({_X2} UNION ALL {_X3} UNION ALL {_X4}) x GROUP BY 1")
@@ -181,12 +201,6 @@ def x10(spark, d):
     return ex.extract_named(spec(spark, d), spark.createDataFrame([("Size",), ("Brand",), ("Sku",)], "label string"))
 
 
-def every_page(spark, d):
-    """All pages whole, under negative ids, and the spec pages."""
-    pages = frame(spark, d, "pages").select((-1 - F.col("page_id")).alias("page_id"), "html")
-    return spec(spark, d).select("page_id", "html").unionByName(pages)
-
-
 def wanted_labels(spark):
     return spark.createDataFrame([("Size",), ("Brand",), ("Sku",)], "label string")
 

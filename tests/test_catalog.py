@@ -122,7 +122,7 @@ def test_every_page_is_extracted_whole(spark, tmp_path):
         f"<body><!-- {table.format(1)} <li>Gone: one</li> --><script>var t = '{table.format(2)}<li>Other: two</li>';</script>" + "<p>text</p>" * 20 + table.format(3) + "</body>",
         f"<body><table><tr><td>{table.format(4)}</td></tr><tr><th>Outer:</th><td>five</td></tr></table><dl><dt>Term:</dt><dd>six <b>7</b></dd></dl>" + "<p>text</p>" * 20,
         '<meta property="product:list_price" content="8"><!-- <meta property="product:old_price" content="9"><script type="application/ld+json">{"@type":"Product","gone":"x"}</script> -->'
-        '<script>var a = "<!-- no comment";</script><script type="application/ld+json">{"@type":"Product","name":"Nine"}</script>' + "<p>text" * 20 + "<ul><li>Colour: red</li></ul>",
+        '<script>var a = "<!-- no comment";</script><script type="application/ld+json">{"@type":"Product","name":"Nine"}</script>' + "<p>text</p>" * 20 + "<ul><li>Colour: red</li></ul>",
         "<p>short</p>",
     ]
     spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
