@@ -1,7 +1,8 @@
 """Standardization: similar values, numeric clusters, conflicts, business rules and review routing.
 
 The values of a product's attribute are folded in order, which is the operator's meaning. Equal values are merged by an
-aggregate first, so an array holds the different values of one attribute of one product, not its observations.
+aggregate first, so an array holds the different values of one attribute of one product, not its observations; values of
+attributes with many are folded by joins instead.
 """
 
 from __future__ import annotations
@@ -9,15 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import clean_value, edit_similar, maybe_similar, number_and_unit, source_confidence
+from lodestone.functions.text import clean_value, edit_similar, number_and_unit, source_confidence
 from lodestone.operators.model_hook import dissimilar_positions, similarity_ratio
+from lodestone.operators.similar import candidate_pairs, first_independent, similar_pairs
 from lodestone.schemas import REVIEW_BELOW
+from lodestone.storage import written
 
 _KEYS = ["product_key", "attribute"]
 
 
-def value_lists(observations: DataFrame) -> DataFrame:
-    """``product_key, attribute, vals``: different cleaned values by first position, null where all are empty."""
+def first_values(observations: DataFrame) -> DataFrame:
+    """``product_key, attribute, low, item``: the different cleaned values of an attribute, each at its first position."""
     low = F.lower(clean_value(F.col("value")))
     cleaned = observations.withColumn("low", F.nullif(low, F.lit(""))).withColumn("value", clean_value(F.col("value")))
     first = cleaned.groupBy(*_KEYS, "low").agg(F.min(F.struct("pos", "value", "source")).alias("v"))
@@ -25,10 +28,42 @@ def value_lists(observations: DataFrame) -> DataFrame:
         F.col("v.pos").alias("pos"), F.col("v.value").alias("value"), "low", F.col("v.source").alias("source"),
         source_confidence(F.col("v.source")).alias("conf"), number_and_unit(F.col("v.value"))["number"].alias("number"),
     )
-    lists = first.groupBy(*_KEYS).agg(F.array_sort(F.collect_list(F.when(F.col("low").isNotNull(), item))).alias("vals"))
+    return first.select(*_KEYS, "low", F.when(F.col("low").isNotNull(), item).alias("item"))
+
+
+def _listed(first: DataFrame) -> DataFrame:
+    lists = first.groupBy(*_KEYS).agg(F.array_sort(F.collect_list("item")).alias("vals"))
     return lists.withColumn("vals", F.when(F.size("vals") > 0, F.col("vals")))
 
 
+def value_lists(observations: DataFrame) -> DataFrame:
+    """``product_key, attribute, vals``: different cleaned values by first position, null where all are empty."""
+    return _listed(first_values(observations))
+
+
+def dissimilar_lists(observations: DataFrame, threshold: float = 0.9, longest: int = 128) -> DataFrame:
+    """D3: ``product_key, attribute, vals`` with the values that stay: in order, one goes if it is similar to one that stayed.
+
+    Lists of up to ``longest`` different values are folded in arrays. The values of longer ones are never gathered: their
+    similar pairs are found by rare q-grams, and rounds of joins take out what goes. The different values are written down
+    once; equal values count for their first position.
+    """
+    first = written(first_values(observations))
+    sizes = first.groupBy(*_KEYS).agg(F.count("low").alias("size")).where(F.col("size") > longest).select(*_KEYS)
+    if sizes.isEmpty():
+        return _listed(first).withColumn("vals", keep_dissimilar("vals", threshold))
+    sizes = written(sizes)
+    short = _listed(first.join(sizes, _KEYS, "left_anti")).withColumn("vals", keep_dissimilar("vals", threshold))
+    long = first.join(sizes, _KEYS, "left_semi").where("low is not null").select(F.struct(*_KEYS).alias("group"), "low", "item")
+    place = lambda s: long.select("group", F.col("low").alias(s), F.struct("item.pos", "item.value").alias(f"at_{s}"))
+    pairs = candidate_pairs(long, threshold).join(place("a"), ["group", "a"]).join(place("b"), ["group", "b"])
+    before, after = (F.when((F.col("at_a") < F.col("at_b")) == early, F.col("a")).otherwise(F.col("b")) for early in (True, False))
+    edges = pairs.select("group", before.alias("before"), after.alias("after"))
+    gone = first_independent(edges.where(similarity_ratio(F.col("after"), F.col("before")) >= threshold))
+    kept = long.join(gone.withColumnRenamed("node", "low"), ["group", "low"], "left_anti")
+    return short.unionByName(_listed(kept.select("group.*", "low", "item")))
+
+
 def keep_dissimilar(vals: str, threshold: float = 0.9, method: str = "ratio") -> Column:
     """D3: in order, a value stays if it is similar to none that stayed.
 
@@ -46,17 +81,9 @@ def keep_dissimilar(vals: str, threshold: float = 0.9, method: str = "ratio") ->
 
 
 def similar_values(observations: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """The similar pairs ``attribute, a, b`` (a before b) among the different cleaned values of each attribute.
-
-    Lengths of similar values lie in the same band or in adjoining ones; edits bound the ratio, which scores what is left.
-    """
-    v = observations.select("attribute", F.lower(clean_value(F.col("value"))).alias("low")).distinct()
-    base = (2 - threshold) / threshold
-    band = F.floor(F.log(F.greatest(F.length("low"), F.lit(1))) / F.log(F.lit(base))).cast("int")
-    a = v.select("attribute", F.col("low").alias("a"), band.alias("band"))
-    b = v.select("attribute", F.col("low").alias("b"), F.explode(F.array(*[band + k for k in (-1, 0, 1)])).alias("band"))
-    pairs = a.join(b, ["attribute", "band"]).where((F.col("a") < F.col("b")) & maybe_similar(F.col("a"), F.col("b"), threshold))
-    return pairs.where(similarity_ratio(F.col("a"), F.col("b")) >= threshold).select("attribute", "a", "b")
+    """The similar pairs ``attribute, a, b`` (a before b) among the different cleaned values of each attribute."""
+    v = observations.select(F.col("attribute").alias("group"), F.lower(clean_value(F.col("value"))).alias("low")).distinct()
+    return similar_pairs(v, threshold).withColumnRenamed("group", "attribute")
 
 
 def by_confidence(vals: Column) -> Column:
@@ -119,7 +146,7 @@ def standardize(observations: DataFrame, rules: DataFrame, max_rules: int = 10_0
     """
     rules = rules.select("attribute", "type", "allowed", "min", "max", "unit", "multi_value")
     rules = F.broadcast(rules) if rules.count() <= max_rules else rules
-    lists = value_lists(observations).withColumn("vals", by_confidence(keep_dissimilar("vals")))
+    lists = dissimilar_lists(observations).withColumn("vals", by_confidence(F.col("vals")))
     out = resolve(lists.join(rules, "attribute", "left"))
     top = F.get("vals", F.lit(0))["conf"]
     number = number_and_unit(F.col("chosen"))

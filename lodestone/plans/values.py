@@ -213,12 +213,12 @@ def d2(spark, d):
 
 @query("d3_deduplicate_values", f"WITH {chain()} SELECT product_key, attribute, v.pos AS pos, v.value AS value FROM kept")
 def d3(spark, d):
-    kept = st.value_lists(observations(spark, d)).select("product_key", "attribute", F.explode(st.keep_dissimilar("vals")).alias("v"))
+    kept = st.dissimilar_lists(observations(spark, d)).select("product_key", "attribute", F.explode("vals").alias("v"))
     return kept.select("product_key", "attribute", "v.pos", "v.value")
 
 
 def ordered(spark, d):
-    return st.value_lists(observations(spark, d)).withColumn("vals", st.by_confidence(st.keep_dissimilar("vals")))
+    return st.dissimilar_lists(observations(spark, d)).withColumn("vals", st.by_confidence(F.col("vals")))
 
 
 @query("d4_numeric_clusters", f"WITH {chain()} SELECT product_key, attribute, c.seed AS seed, round(c.weight, 4) AS weight, c.value AS value, CAST(c.n AS INT) AS n FROM (SELECT product_key, attribute, unnest(clusters) AS c FROM clustered) x")
