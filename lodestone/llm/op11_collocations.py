@@ -31,6 +31,8 @@ RUN_TOKENS, STEP_CHARS, SORT_ROWS = 5_000_000, 4_000_000, 500_000
 BITS, BLOCK = {"word": 20, "pair": 22, "triple": 22}, 4096
 #: Groups of suffixes hold at most about this share of all words; the list of more common leading words is as long at most.
 GROUPS = 4096
+#: Buckets that suffixes are dealt in; a task holds the suffixes of one at least.
+BUCKETS = 4096
 #: Languages whose counts of words are broadcast at most.
 BROADCAST_LANGS = 10_000
 
@@ -183,12 +185,13 @@ def distinct_rows(columns: list[np.ndarray], top: int) -> tuple[np.ndarray, np.n
     return first, group, n
 
 
-_SUFFIXES = "route long, lang string, phrase string, base int, n long"
+_SUFFIXES = "bucket int, lang string, phrases array<string>, bases binary, counts binary"
 
 
 def suffixes(texts: DataFrame, full: dict[str, np.ndarray], hot: np.ndarray, longest: int) -> DataFrame:
-    """``route, lang, phrase, base, n``: merged suffixes of runs. A row counts for its leading phrases of ``base`` words and
-    more; phrases of fewer words are too common for one task and have rows of their own."""
+    """``bucket, lang, phrases, bases, counts``: merged suffixes of runs, many in a row. A suffix counts for its leading
+    phrases of ``base`` words and more; phrases of fewer words are too common for one task and have entries of their own.
+    All that counts for a phrase is in one bucket."""
     shared = texts.sparkSession.sparkContext.broadcast({name: np.packbits(bits) for name, bits in full.items()} | {"hot": np.sort(hot.view("u8"))})
 
     def run(batches):
@@ -224,39 +227,44 @@ def suffixes(texts: DataFrame, full: dict[str, np.ndarray], hot: np.ndarray, lon
                 first, _, n = distinct_rows(columns, len(hashes)) if len(at) else (at, at, at)
                 columns = [np.r_[single, columns[0][first]], *[np.r_[np.zeros(len(single), "i4"), c[first]] for c in rest]]
                 n = np.r_[alone[single], n].astype("i8")
-                yield from routed(columns, n, ones, hashes, names, is_hot, lang)
+                yield from _records(list(routed(columns, n, ones, hashes, is_hot)), names, lang)
 
     return texts.mapInArrow(run, _SUFFIXES)
 
 
-def routed(columns, n, ones, hashes, names, is_hot, lang) -> Iterator[pa.RecordBatch]:
-    """Rows of suffixes by the first leading phrase that isn't hot, and rows of the hot phrases before it."""
+def routed(columns, n, ones, hashes, is_hot) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, int]]:
+    """Suffixes with their counts, routes and base: those whose first ``base`` words are the first that aren't hot, and the
+    hot phrases before them."""
     rest, h = np.arange(len(n)), ones[columns[0]]
     for d in range(1, len(columns) + 1):
         if d > 1:
             longer = columns[d - 1][rest] > 0
             rest, h = rest[longer], h[longer]
             h = _next_hash(h, hashes[columns[d - 1][rest]])
-        hot = is_hot(h)
-        if d == len(columns):
-            hot[:] = False
-        yield from _rows([c[rest[~hot]] for c in columns], n[rest[~hot]], h[~hot], d, names, lang)
+        hot = is_hot(h) & (d < len(columns))
+        yield [c[rest[~hot]] for c in columns], n[rest[~hot]], h[~hot], d
         rest, h = rest[hot], h[hot]
         if not len(rest):
             break
         first, group, _ = distinct_rows([c[rest] for c in columns[:d]], len(hashes))
-        yield from _rows([c[rest[first]] for c in columns[:d]], np.bincount(group, weights=n[rest]).astype("i8"), h[first], d, names, lang)
-
-
-def _rows(columns, n, h, base, names, lang, step: int = 200_000) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(n), step):
-        part = slice(at, at + step)
+        here = [c[rest[first]] if k < d else np.zeros(len(first), "i4") for k, c in enumerate(columns)]
+        yield here, np.bincount(group, weights=n[rest]).astype("i8"), h[first], d
+
+
+def _records(parts: list, names: pa.Array, lang: str, step: int = 256) -> Iterator[pa.RecordBatch]:
+    columns = [np.concatenate(c) for c in zip(*(p[0] for p in parts), strict=True)]
+    n, base = np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[1]), p[3], "i1") for p in parts])
+    bucket = (np.concatenate([p[2] for p in parts]) % np.uint64(BUCKETS)).astype("i4")
+    order = np.argsort(bucket, kind="stable")
+    used, starts = np.unique(bucket[order], return_index=True)
+    ends = np.r_[starts[1:], len(order)]
+    for at in range(0, len(used), step):
+        lo, hi = starts[at : at + step], ends[at : at + step]
+        part = order[lo[0] : hi[-1]]
         words = [pc.take(names, pa.array(c[part], mask=c[part] == 0)) for c in columns]
-        phrase = pc.binary_join_element_wise(*words, " ", null_handling="skip")
-        size = len(phrase)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(h[part].view("i8")), pa.array([lang] * size), phrase, pa.array(np.full(size, base, "i4")), pa.array(n[part])], names=["route", "lang", "phrase", "base", "n"]
-        )
+        phrases = pa.ListArray.from_arrays(np.r_[lo, hi[-1]].astype("i4") - lo[0], pc.binary_join_element_wise(*words, " ", null_handling="skip"))
+        cut = lambda values: pa.array([values[order[a:b]].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary())  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(used[at : at + step]), pa.array([lang] * len(lo)), phrases, cut(base), cut(n)], names=["bucket", "lang", "phrases", "bases", "counts"])
 
 
 def equal_partitions(keys: np.ndarray, base: np.ndarray, n: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -289,48 +297,48 @@ _FREQUENT = "lang string, phrase string, words int, f long"
 
 
 def frequent_phrases(routed: DataFrame, least: int, longest: int) -> DataFrame:
-    """``lang, phrase, words, f`` of all phrases with ``least`` occurrences or more."""
-    dealt = routed.repartition("route").sortWithinPartitions("route")
+    """``lang, phrase, words, f`` of all phrases with ``least`` occurrences or more; a task sorts a few buckets at a time."""
+    dealt = routed.repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
-        for t in whole_groups(batches):
-            split = pc.split_pattern(t.column("phrase"), " ").combine_chunks()
-            split = split.chunk(0) if isinstance(split, pa.ChunkedArray) else split
-            coded = split.flatten().dictionary_encode()
-            offsets = split.offsets.to_numpy()
-            lengths = np.diff(offsets)
-            keys = np.zeros((len(t), longest + 1), "i4")
-            row = np.repeat(np.arange(len(t)), lengths)
-            keys[row, np.arange(len(row)) - np.repeat(offsets[:-1] - offsets[0], lengths) + 1] = coded.indices.to_numpy() + 1
+        for t in whole_buckets(batches):
+            phrases = t.column("phrases").combine_chunks()
+            sizes = np.diff(phrases.offsets.to_numpy())
+            split = pc.split_pattern(phrases.flatten(), " ")
+            words = split.flatten().dictionary_encode()
+            lengths = np.diff(split.offsets.to_numpy())
+            keys = np.zeros((len(lengths), longest + 1), "i4")
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            keys[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1] = words.indices.to_numpy() + 1
             langs = t.column("lang").combine_chunks().dictionary_encode()
-            langs = langs.chunk(0) if isinstance(langs, pa.ChunkedArray) else langs
-            keys[:, 0] = langs.indices.to_numpy() + 1
-            found = list(equal_partitions(keys, t.column("base").to_numpy(), t.column("n").to_numpy(), least))
+            keys[:, 0] = np.repeat(langs.indices.to_numpy() + 1, sizes)
+            base, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), kind) for c, kind in (("bases", "i1"), ("counts", "i8")))
+            found = list(equal_partitions(keys, base, n, least))
             if found:
-                words, names = coded.dictionary, langs.dictionary
-                phrases = [" ".join(words[int(k) - 1].as_py() for k in keys[r, 1 : d + 1]) for r, d, _ in found]
+                texts = [" ".join(words.dictionary[int(k) - 1].as_py() for k in keys[r, 1 : d + 1]) for r, d, _ in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[int(keys[r, 0]) - 1].as_py() for r, _, _ in found]), pa.array(phrases), pa.array([d for _, d, _ in found], pa.int32()), pa.array([c for _, _, c in found], pa.int64())],
+                    [pa.array([langs.dictionary[int(keys[r, 0]) - 1].as_py() for r, _, _ in found]), pa.array(texts), pa.array([d for _, d, _ in found], pa.int32()), pa.array([c for _, _, c in found], pa.int64())],
                     names=["lang", "phrase", "words", "f"],
                 )
 
     return dealt.mapInArrow(run, _FREQUENT)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows in tables of about ``SORT_ROWS`` that hold each route's rows whole; ``batches`` are sorted by route."""
-    held, size = [], 0
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None and batch.num_rows:
-            held.append(batch)
-            size += batch.num_rows
-        if held and (batch is None or size >= SORT_ROWS):
-            t = pa.Table.from_batches(held)
-            cut = len(t) if batch is None else int(np.searchsorted(t.column("route").to_numpy(), t.column("route")[len(t) - 1].as_py()))
-            if cut:
-                yield t.slice(0, cut)
-                t = t.slice(cut)
-                held, size = t.to_batches(), len(t)
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in tables of about ``SORT_ROWS`` suffixes that hold each bucket whole; ``batches`` are sorted by bucket."""
+    held, size, last = [], 0, None
+    for batch in batches:
+        bucket, many = batch.column("bucket").to_numpy(), pc.list_value_length(batch.column("phrases")).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)]
+        for a, b in itertools.pairwise(cuts):
+            if b > a:
+                if held and bucket[a] != last and size >= SORT_ROWS:
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size, last = size + int(many[a:b].sum()), bucket[a]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def scored(frequent: DataFrame, words: DataFrame) -> DataFrame:
