@@ -42,8 +42,17 @@ def _narrow(m: np.ndarray) -> np.ndarray:
     return m.astype(next(t for t in ("i1", "i2", "i4", "i8") if top <= np.iinfo(t).max))
 
 
+def _repeated(ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Whether a row is like one that comes first; like ones must not take each other's places among the best."""
+    order = np.lexsort((*vectors.T, labels, ids))
+    same = (np.diff(ids[order]) == 0) & (np.diff(labels[order]) == 0) & (np.diff(vectors[order], axis=0) == 0).all(axis=1)
+    out = np.zeros(len(ids), bool)
+    out[order[1:]] = same
+    return out
+
+
 def packed(rows: DataFrame, scale: int, size: int) -> DataFrame:
-    """Rows as records of up to ``size`` vectors of one dimension, components as ``floor(scale * x)``."""
+    """Rows as records of up to ``size`` different vectors of one dimension, components as ``floor(scale * x)``."""
     limited = "limits" in rows.columns
 
     def run(batches):
@@ -60,6 +69,8 @@ def packed(rows: DataFrame, scale: int, size: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     whole = np.clip(np.floor(flat.reshape(len(of), dim) * scale), -MOST, MOST).astype("i8")
                 limits = column["limits"].take(pa.array(of)).flatten().to_numpy().reshape(len(of), -1) if limited else None
+                new = ~_repeated(ids[of], labels[of], whole)
+                of, whole, limits = of[new], whole[new], limits[new] if limited else None
                 for at in range(0, len(of), size):
                     part = of[at : at + size]
                     m = _narrow(whole[at : at + size])
@@ -118,7 +129,8 @@ class _Cell:
     def negatives(self, rows: _Pack) -> None:
         a, s = self.anchors, inner_products(self.anchors, rows)
         low, high = a.limits[:, : self.slots], a.limits[:, self.slots :]
-        r, c = np.nonzero((s <= high[:, :1]) & (s >= low.min(axis=1)[:, None]) & (a.labels[:, None] != rows.labels))
+        other = (a.labels[:, None] != rows.labels) & (a.ids[:, None] != rows.ids)
+        r, c = np.nonzero((s <= high[:, :1]) & (s >= low.min(axis=1)[:, None]) & other)
         s = s[r, c]
         slot = (s[:, None] <= high[r]).sum(axis=1) - 1
         ok = s >= low[r, slot]
@@ -194,7 +206,7 @@ def hard_negatives(
     """``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` for anchors and their positives.
 
     The score of two rows is the inner product of their components, each ``floor(scale * x)``. An anchor's positives are
-    its first rows of the same label and another id; a positive's negatives are the first rows of other labels whose score
+    its first rows of the same label and another id; a positive's negatives are the first of another label and id whose score
     is ``low`` to ``high`` percent of its own. Higher scores come first, ties by smaller id.
 
     Rows with a null id or label, a null vector, or a null or non-finite component take no part. Copies of a row under one

@@ -133,10 +133,10 @@ def _over(f: Callable) -> Callable:
     return divide
 
 
-def _order(f: Callable) -> Callable:
-    def compare(a, b):
+def _checked(f: Callable) -> Callable:
+    def compare(*args):
         try:
-            return f(a, b)
+            return f(*args)
         except TypeError as e:
             raise TemplateError(str(e)) from None
 
@@ -154,13 +154,13 @@ def _field(of: Any, key: Any) -> Any:
 OPERATORS: dict[str, Callable] = {
     "+": _plus, "-": lambda a, b: _number(a) - _number(b), "*": lambda a, b: _number(a) * _number(b), "/": _over(operator.truediv),
     "//": _over(operator.floordiv), "%": _over(operator.mod), "~": lambda a, b: _text(a) + _text(b), "==": operator.eq, "!=": operator.ne,
-    "<": _order(operator.lt), "<=": _order(operator.le), ">": _order(operator.gt), ">=": _order(operator.ge), "in": _order(lambda a, b: a in b),
+    "<": _checked(operator.lt), "<=": _checked(operator.le), ">": _checked(operator.gt), ">=": _checked(operator.ge), "in": _checked(lambda a, b: a in b),
     "neg": lambda a: -_number(a), "not": operator.not_, "defined": lambda a: a is not UNDEFINED, "none": lambda a: a is None,
 }
 
 FILTERS: dict[str, Callable] = {
     "trim": lambda v: _text(v).strip(), "upper": lambda v: _text(v).upper(), "lower": lambda v: _text(v).lower(), "string": _text,
-    "length": _order(len), "first": lambda v: _field(v, 0), "last": lambda v: _field(v, -1), "join": lambda v, by="": _text(by).join(map(_text, v)),
+    "length": _checked(len), "first": lambda v: _field(v, 0), "last": lambda v: _field(v, -1), "join": lambda v, by="": _text(by).join(map(_text, v)),
     "default": lambda v, other="": other if v is UNDEFINED or v is None else v, "tojson": lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True),
     "replace": lambda v, old, new: _text(v).replace(_text(old), _text(new)),
 }
