@@ -195,8 +195,7 @@ def _first(k: int) -> Column:
 
 def _floor_share(score: Column, percent: int) -> Column:
     """``floor(percent * score / 100)`` without passing a long."""
-    hundreds = F.floor(score.cast("decimal(20,0)") / 100).cast("long")
-    return hundreds * percent + F.floor((score - hundreds * 100) * percent / 100).cast("long")
+    return F.floor(score.cast("decimal(20,0)") * F.lit(percent) / F.lit(100)).cast("long")
 
 
 def hard_negatives(
