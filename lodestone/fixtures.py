@@ -62,7 +62,7 @@ FROM part
     "fx_source_pages": r"""
 SELECT p_partkey * 4 + k AS page_id, p_partkey AS product_key, k AS source_no, concat('https://s', CAST(k AS STRING), '.example.org/p/', CAST(p_partkey AS STRING)) AS url,
  concat('<html><body><h1>A part as this source describes it, in its own words</h1><div class="specs"><table><tr><td>Size</td><td>', CAST(p_size + CASE WHEN k = 1 THEN 0 ELSE 20 END AS STRING),
- ' cm</td></tr></table><ul><li>Surface: ', CASE k WHEN 1 THEN 'polished' WHEN 2 THEN 'Polished ' ELSE 'brushed' END, '</li>',
+ CASE WHEN k = 3 THEN '.5' ELSE '' END, ' cm</td></tr></table><p>*</p><ul><li>Surface: ', CASE k WHEN 1 THEN 'polished' WHEN 2 THEN 'Polished ' ELSE 'brushed' END, '</li>',
  CASE WHEN k = 3 THEN concat('<li>Shelf: ', p_brand, '</li>') ELSE '' END, '</ul></div></body></html>') AS html
 FROM part, (VALUES (1), (2), (3)) AS v(k)
 """,

@@ -6,7 +6,10 @@ Every strategy gives long rows ``page_id, label, value, strategy, ord``. Those o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import normalize_text, strip
@@ -32,9 +35,9 @@ def html_main_text(html: Column) -> Column:
     return normalize_text(decode_entities(F.regexp_replace(F.regexp_replace(part, "(?s)<!--.*?-->", ""), "<[^>]*>", " ")))
 
 
-def pairs_of(pages: DataFrame, *strategies: int) -> DataFrame:
+def pairs_of(pages: DataFrame, *strategies: int, **how) -> DataFrame:
     """Rows ``page_id, label, value, strategy, ord`` of these strategies, by one pass over the tags of each page."""
-    rows = mk.page_pairs(pages, strategies)
+    rows = mk.page_pairs(pages, strategies, **how)
     name = F.initcap(F.replace(F.element_at(F.split("label", ":"), -1), F.lit("_"), F.lit(" ")))
     pair = F.struct(F.when(F.col("strategy") == mk.META, name).otherwise(F.col("label")).alias("label"), "value")
     if mk.LINKED in strategies:
@@ -82,23 +85,67 @@ def jsonld_product_pairs(pages: DataFrame) -> DataFrame:
     return pairs_of(pages, mk.LINKED)
 
 
-def all_pairs(pages: DataFrame) -> DataFrame:
+def all_pairs(pages: DataFrame, **how) -> DataFrame:
     """Rows of all five strategies."""
-    return pairs_of(pages, *mk.STRATEGIES)
+    return pairs_of(pages, *mk.STRATEGIES, **how)
 
 
-def fallback_extraction(pages: DataFrame) -> DataFrame:
+def fallback_extraction(pages: DataFrame, **how) -> DataFrame:
     """One value for each label of a page; the later strategy and then the later place wins."""
-    best = all_pairs(pages).groupBy("page_id", "label").agg(F.max(F.struct("strategy", "ord", "value")).alias("b"))
+    best = all_pairs(pages, **how).groupBy("page_id", "label").agg(F.max(F.struct("strategy", "ord", "value")).alias("b"))
     return best.select("page_id", "label", F.col("b.value").alias("value"), F.col("b.strategy").alias("strategy"))
 
 
-def extract_page(pages: DataFrame) -> DataFrame:
-    """Each page with its pairs; pages of less than 100 characters have an error, pages without pairs stay."""
-    error = F.when(F.length(strip(F.coalesce("html", F.lit("")))) < MIN_PAGE_CHARS, "empty_html")
+def too_short() -> Column:
+    return F.length(strip(F.coalesce("html", F.lit("")))) < MIN_PAGE_CHARS
+
+
+def extract_page(pages: DataFrame, store: str | None = None, parse: Callable[[str], mk.Page] = mk.Page) -> DataFrame:
+    """Each page with its pairs; pages of less than 100 characters have an error, pages without pairs stay.
+
+    With ``store``, results are kept there by content (``extract_by_content``). A page that ``parse`` fails on has the
+    error ``extraction_failed``.
+    """
+    error = F.when(too_short(), "empty_html")
     marked = pages.select("page_id", error.alias("error"))
     good = pages.where(error.isNull())
-    return marked.join(fallback_extraction(good).select("page_id", "label", "value"), "page_id", "left").withColumn("extraction_method", F.when(F.col("error").isNull(), "fallback"))
+    found = extract_by_content(good, store, parse) if store else fallback_extraction(good, mark=True, parse=parse)
+    found = found.select("page_id", "label", F.when(F.col("strategy") != mk.FAILED, F.col("value")).alias("value"), F.when((F.col("strategy") == mk.FAILED) & F.col("value").isNotNull(), "extraction_failed").alias("failed"))
+    alone = F.count("label").over(Window.partitionBy("page_id")) == 0
+    found = found.withColumn("alone", alone).where("label is not null or alone").drop("alone")
+    out = marked.join(found, "page_id", "left").withColumn("error", F.coalesce("error", "failed")).drop("failed")
+    return out.withColumn("extraction_method", F.when(F.col("error").isNull(), "fallback"))
+
+
+STORED = "content_key string, label string, value string, strategy int"
+
+
+def stored(spark: SparkSession, store: str) -> DataFrame:
+    """What a store of extraction results holds, each content once; an absent one is empty."""
+    try:
+        return spark.read.schema(STORED).parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORED)
+
+
+def extract_by_content(pages: DataFrame, store: str, parse: Callable[[str], mk.Page] = mk.Page) -> DataFrame:
+    """X7 by content: ``page_id, label, value, strategy`` as ``fallback_extraction(mark=True)`` gives them.
+
+    Results are kept in the folder ``store`` under the SHA-256 of the page, whose first 16 digits are its address (S3).
+    Only contents that aren't there are parsed, each once however many pages have it, and added; so a rerun parses nothing,
+    and an attempt that failed leaves no partial results behind. Pages come in twice if their hash has to be computed; a
+    column ``content_key`` saves that. Two runs at once may both add a content: equal rows count once.
+    """
+    spark = pages.sparkSession
+    if "content_key" not in pages.columns:
+        pages = pages.withColumn("content_key", F.sha2("html", 256))
+    pages = pages.where("html is not null")
+    fresh = pages.select("content_key", "html").join(stored(spark, store).select("content_key").distinct(), "content_key", "left_anti")
+    fresh = fresh.groupBy("content_key").agg(F.first("html").alias("html")).withColumnRenamed("content_key", "page_id")
+    fallback_extraction(fresh, mark=True, parse=parse).withColumnRenamed("page_id", "content_key").select("content_key", "label", "value", "strategy").write.mode("append").parquet(store)
+    return pages.select("page_id", "content_key").join(stored(spark, store).distinct(), "content_key").drop("content_key")
 
 
 def discover_attributes(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ VOID = frozenset("area base basefont bgsound br col command embed frame hr image
 HIDDEN = ("template", "rt", "rp")
 
 #: The strategies by number, and characters that one step of the pass holds.
-TABLES, TERMS, LABELS, META, LINKED = 1, 2, 3, 4, 5
+FAILED, TABLES, TERMS, LABELS, META, LINKED = 0, 1, 2, 3, 4, 5
 STEP_CHARS = 4_000_000
 
 _TAG = re.compile(
@@ -196,11 +196,12 @@ def linked_texts(page: Page) -> Iterator[tuple[str, str]]:
 STRATEGIES = {TABLES: table_pairs, TERMS: term_pairs, LABELS: label_pairs, META: meta_pairs, LINKED: linked_texts}
 
 
-def page_pairs(pages: DataFrame, strategies: Iterable[int] = tuple(STRATEGIES)) -> DataFrame:
+def page_pairs(pages: DataFrame, strategies: Iterable[int] = tuple(STRATEGIES), *, mark: bool = False, parse: Callable[[str], Page] = Page) -> DataFrame:
     """``page_id, strategy, ord, label, value`` of the wanted strategies, raw, in one pass over ``pages(page_id, html)``.
 
     A null page has no rows; ``ord`` counts the pairs of a strategy in a page from 0. The same pair comes once, with its last
-    place, so that nested blocks don't repeat their pairs. Rows with equal ids count each.
+    place, so that nested blocks don't repeat their pairs. Rows with equal ids count each. A page that ``parse`` fails on
+    doesn't fail the job; with ``mark`` each page has a row of strategy 0 without a label, its value the error or null.
     """
     schema = T.StructType([
         T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("strategy", T.IntegerType()), T.StructField("ord", T.IntegerType()),
@@ -214,15 +215,20 @@ def page_pairs(pages: DataFrame, strategies: Iterable[int] = tuple(STRATEGIES))
         whole = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
         for batch in batches:
             for page_id, html in zip(batch.column(0), batch.column(1), strict=True):
-                page, page_id = Page(html.as_py()), page_id.as_py()
-                for s in wanted:
-                    last = {pair: k for k, pair in enumerate(STRATEGIES[s](page))}
-                    for (label, value), k in last.items():
-                        rows.append((page_id, s, k, label, value))
-                        size += len(label) + len(value)
-                        if size >= STEP_CHARS or len(rows) >= 10_000:
-                            yield whole()
-                            rows, size = [], 0
+                page_id, found, error = page_id.as_py(), [], None
+                try:
+                    page = parse(html.as_py())
+                    for s in wanted:
+                        last = {pair: k for k, pair in enumerate(STRATEGIES[s](page))}
+                        found += [(page_id, s, k, label, value) for (label, value), k in last.items()]
+                except Exception as e:  # noqa: BLE001  whatever is wrong with a page concerns that page alone
+                    found, error = [], f"{type(e).__name__}: {e}"
+                for r in [*found, (page_id, FAILED, 0, None, error)] if mark else found:
+                    rows.append(r)
+                    size += len(r[3] or "") + len(r[4] or "")
+                    if size >= STEP_CHARS or len(rows) >= 10_000:
+                        yield whole()
+                        rows, size = [], 0
         if rows:
             yield whole()
 

@@ -8,28 +8,38 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import cleaning, extract, golden
+from lodestone.operators import cleaning, extract, golden, markup
 from lodestone.operators import standardize as st
 from lodestone.sources import selection
+from lodestone.storage import written
 
 
-def aggregate_products(identifiers: DataFrame, results: DataFrame, pages: DataFrame, synonyms: DataFrame, rules: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def aggregate_products(
+    identifiers: DataFrame, results: DataFrame, pages: DataFrame, synonyms: DataFrame, rules: DataFrame,
+    cut: Callable[[DataFrame], DataFrame] = written, store: str | None = None, parse: Callable[[str], markup.Page] = markup.Page,
+) -> tuple[DataFrame, DataFrame]:
     """Golden records of ``identifiers(product_key, mpn, title)`` and their standardized attributes.
 
     Sources are chosen among ``results(product_key, result_rank, url, fetched)``, extracted from ``pages(url, page_id,
-    html)``, unified, standardized and built into records. A product without an extracted source has status ``failed``.
-    ``cut`` may write the standardized attributes down, so that several uses of the results compute them once.
+    html)``, unified, standardized and built into records. A product without an extracted source has status ``failed``;
+    ``reason`` says why: none chosen, nothing found, or ``extraction_failed`` if ``parse`` failed on all of its pages.
+    ``cut`` writes down what is used several times, so that pages are parsed once. With ``store``, results of extraction are
+    kept there by content, and pages that were seen before aren't parsed again.
     """
     chosen = selection.select_sources(results)
-    used = pages.join(chosen.select("url").distinct(), "url", "left_semi")
-    pairs = extract.fallback_extraction(used.where(F.length("html") >= 100)).join(used.select("page_id", "url"), "page_id")
-    extracted = chosen.join(pairs, "url").select("product_key", "source_pos", "label", "value", F.lit("web").alias("source"))
+    used = pages.join(chosen.select("url").distinct(), "url", "left_semi").where(~extract.too_short())
+    found = extract.extract_by_content(used, store, parse) if store else extract.fallback_extraction(used, mark=True, parse=parse)
+    found = cut(found.join(used.select("page_id", "url"), "page_id").join(chosen, "url").select("product_key", "source_pos", "label", "value", "strategy"))
+    extracted = found.where("label is not null").select("product_key", "source_pos", "label", "value", F.lit("web").alias("source"))
     unified = st.unify_attributes(extracted, synonyms)
     done = cut(st.standardize(st.gather_canonical_values(extracted, unified), rules).where("status = 'ok'"))
     named = golden.derive_identifiers(identifiers).select("product_key", F.nullif("mpn", F.lit("")).alias("sku"), F.nullif("brand", F.lit("")).alias("brand"))
     records = golden.build_golden_record(named, done).join(selection.sources_used(chosen), "product_key", "left")
+    pages_of = found.where(F.col("strategy") == markup.FAILED).groupBy("product_key").agg(F.bool_and(F.col("value").isNotNull()).alias("all_failed"))
     status = F.when(F.col("n_attributes") == 0, "failed").otherwise("success")
-    return records.withColumn("sources_used", F.coalesce("sources_used", F.lit(0))).withColumn("status", status), done
+    reason = F.when(F.col("n_attributes") > 0, F.lit(None)).when(F.col("sources_used") == 0, "no_sources").when(F.col("all_failed"), "extraction_failed").otherwise("nothing_found")
+    records = records.withColumn("sources_used", F.coalesce("sources_used", F.lit(0))).join(pages_of, "product_key", "left")
+    return records.withColumn("status", status).withColumn("reason", reason).drop("all_failed"), done
 
 
 @dataclass
@@ -56,19 +66,25 @@ class Catalog:
 
 @dataclass
 class Web:
-    """What the aggregation of submitted sources reads besides them; ``results`` are keyed by the code of a product."""
+    """What the aggregation of submitted sources reads besides them; ``results`` are keyed by the code of a product.
+
+    ``store`` keeps results of extraction by content, ``parse`` reads a page.
+    """
 
     results: DataFrame
     pages: DataFrame
     synonyms: DataFrame
     rules: DataFrame
+    store: str | None = None
+    parse: Callable[[str], markup.Page] = markup.Page
 
 
-def ingest_changes(submitted: DataFrame, catalog: Catalog, web: Web, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> Catalog:
+def ingest_changes(submitted: DataFrame, catalog: Catalog, web: Web, cut: Callable[[DataFrame], DataFrame] = written) -> Catalog:
     """What submitted key-value texts add to each table; ``products`` holds the new state of those that change.
 
     A source names a product by its text. That product is aggregated (G5) from the web; if it succeeds, its attributes
-    give the issues and the score of completeness. A source is completed even if the aggregation fails. Of several texts
+    give the issues and the score of completeness. A source is completed even if the aggregation finds nothing, and failed if
+    all pages of its product fail; the others of the batch go on. Of several texts
     for a product the one with the largest source id names it, of several for a source id the first by text. A source
     that is already completed is left out, so that a rerun changes nothing.
     """
@@ -79,18 +95,20 @@ def ingest_changes(submitted: DataFrame, catalog: Catalog, web: Web, cut: Callab
     named = known.where("sku is not null").groupBy("sku").agg(F.max_by(F.struct("title", "brand"), "source_id").alias("t"))
     named = named.select(F.col("sku").alias("product_key"), F.col("sku").alias("mpn"), "t.title", "t.brand")
     results = web.results.join(named.select("product_key"), "product_key", "left_semi")
-    records, done = aggregate_products(named, results, web.pages, web.synonyms, web.rules, cut)
+    records, done = aggregate_products(named, results, web.pages, web.synonyms, web.rules, cut, web.store, web.parse)
+    records = cut(records)
     counts = records.where("status = 'success'").select("product_key", F.col("n_attributes").cast("int").alias("n_attributes"))
     found = named.join(counts, "product_key").select(F.col("product_key").alias("product_code"), "title", "brand", "n_attributes")
     value = F.coalesce("standard_value", F.col("standard_number").cast("string"))
     issues = cleaning.detect_issues(done.select(F.col("product_key").alias("product_code"), "attribute", value.alias("value")))
+    broken = known.join(records.where("reason = 'extraction_failed'").select(F.col("product_key").alias("sku")).distinct().withColumn("failed", F.lit(True)), "sku", "left")
     begun = known.select("source_id", "source_type", "source_url", "project_id", F.lit("processing").alias("status"), "raw_length")
     return Catalog(
         golden.upsert_product(catalog.products.join(found.select("product_code"), "product_code", "left_semi"), found),
         issues,
         golden.append_audit(catalog.audit.limit(0), known.select("sku", "source_url")),
         golden.insert_source_priority(catalog.priorities.limit(0), known.join(catalog.priorities.select("source_id"), "source_id", "left_anti")),
-        golden.update_source_status(begun, known.select("source_id", F.lit(False).alias("failed"))),
+        golden.update_source_status(begun, broken.select("source_id", F.coalesce("failed", F.lit(False)).alias("failed"))),
     )
 
 

@@ -191,6 +191,15 @@ def x7_nested(spark, d):
     return ex.fallback_extraction(frame(spark, d, "fx_nested_pages")).select("page_id", "label", "value", "strategy")
 
 
+@query("x8_extract_by_content", f"SELECT page_id + k * 100000000 AS page_id, label, value, strategy FROM ({_NESTED} UNION ALL SELECT p_partkey, 'Depth', CAST(p_size + 1 AS VARCHAR), 1 FROM part) x, (VALUES (0), (1), (2)) AS v(k)")
+def x8_by_content(spark, d):
+    """Every page under three ids, in two runs over one store: the second parses only what the first has not seen."""
+    pages, store = frame(spark, d, "fx_nested_pages"), shared_path(spark, "extracted")
+    ex.extract_by_content(pages.where("page_id % 3 > 0"), store)
+    copies = pages.select(F.explode(F.array(*[F.col("page_id") + k * 100000000 for k in range(3)])).alias("page_id"), "html")
+    return ex.extract_by_content(copies, store).where("label is not null")
+
+
 @query("x9_discover_attributes", f"SELECT label, count(DISTINCT page_id) AS n_pages FROM ({_X2} UNION ALL {_X3} UNION ALL {_X4}) x GROUP BY 1")
 def x9(spark, d):
     return ex.discover_attributes(spec(spark, d))
@@ -250,7 +259,7 @@ def aggregated(spark, d):
 
 _RECORD = """SELECT p_partkey AS product_key, 'P-' || CAST(p_partkey AS VARCHAR) AS sku, CASE WHEN p_partkey % 6 = 0 THEN 'UNKNOWN' ELSE split_part(p_name, ' ', 1) END AS brand, CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 6 END AS BIGINT) AS n_attributes,
   p_partkey % 7 <> 0 AND p_partkey % 6 <> 0 AS ready_for_publish, CASE WHEN p_partkey % 7 <> 0 THEN CAST(0.7 AS DOUBLE) END AS confidence, CASE WHEN p_partkey % 7 = 0 THEN 'no_standardized_data' END AS error,
-  CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS sources_used, CASE WHEN p_partkey % 7 = 0 THEN 'failed' ELSE 'success' END AS status FROM part"""
+  CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS BIGINT) AS sources_used, CASE WHEN p_partkey % 7 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN p_partkey % 7 = 0 THEN 'no_sources' END AS reason FROM part"""
 
 
 @query("g5_aggregate_product", _RECORD)
@@ -258,6 +267,20 @@ def g5(spark, d):
     return aggregated(spark, d)[0]
 
 
+_SOURCES = """SELECT p_partkey AS product_key, unnest([{'attribute': 'size', 'standard_value': CAST(p_size + 20 AS VARCHAR) || ' cm'},
+   {'attribute': 'surface', 'standard_value': 'polished'}, {'attribute': 'shelf', 'standard_value': p_brand}], recursive := true) FROM part"""
+
+
+@query("g5_conflicting_sources", f"SELECT product_key, attribute, standard_value FROM ({_SOURCES}) x")
+def g5_sources(spark, d):
+    """Three sources for each product: two agree nearly against the first on a number, the third differs in a text and adds one."""
+    pages = frame(spark, d, "fx_source_pages")
+    ids = pages.select("product_key").distinct().select("product_key", F.col("product_key").cast("string").alias("mpn"), F.lit("Part").alias("title"))
+    results = pages.select("product_key", F.col("source_no").cast("long").alias("result_rank"), "url", F.lit(True).alias("fetched"))
+    done = ag.aggregate_products(ids, results, pages, spark.createDataFrame([], "label string, canonical string, confidence double"), values.rules(spark).where("active"))[1]
+    return done.select("product_key", "attribute", F.coalesce("standard_value", F.col("standard_number").cast("string")).alias("standard_value"))
+
+
 @query("g6_batch_aggregate", f"""SELECT product_key AS row_no, sku AS input_sku, ready_for_publish, confidence, sources_count, source_urls, CASE WHEN ok THEN brand END AS brand, CASE WHEN ok THEN material END AS material_type FROM (
   SELECT r.product_key, r.sku, r.ready_for_publish, r.confidence, r.sources_used AS sources_count, r.status = 'success' AS ok, p_brand AS brand, p_type AS material,
   CASE WHEN r.status = 'success' THEN 'https://shop.example.org/p/' || CAST(p_partkey AS VARCHAR) ELSE 'No sources found' END AS source_urls FROM ({_RECORD}) r JOIN part ON p_partkey = r.product_key) x""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
+from dataclasses import fields, replace
 from itertools import count
 
 from pyspark.errors import AnalysisException
@@ -23,17 +23,17 @@ def added(spark: SparkSession, folder: str, table: str, version: int) -> DataFra
 
 
 def read_catalog(spark: SparkSession, folder: str, version: int) -> Catalog:
-    """All tables after batch ``version``; empty ones below zero. Of a product the state of its last batch counts."""
+    """All tables after batch ``version``; empty ones below zero. Of a product or source the state of its last batch counts."""
     if version < 0:
         return Catalog.empty(spark)
     rows = {t: added(spark, folder, t, version) for t in _TABLES}
-    last = Window.partitionBy("product_code").orderBy(F.desc("batch"))
-    rows["products"] = rows["products"].withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    for t, key in (("products", "product_code"), ("sources", "source_id")):
+        rows[t] = rows[t].withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("batch")))).where("_n = 1").drop("_n")
     return Catalog(**{t: df.drop("batch") for t, df in rows.items()})
 
 
 def source_states(spark: SparkSession, folder: str) -> DataFrame:
-    """``source_id, status`` of all that was submitted: completed, or in processing where its batch has not ended."""
+    """``source_id, status`` of all that was submitted: completed, failed, or in processing where its batch has not ended."""
     done = read_catalog(spark, folder, latest_version(spark, folder)).sources.select("source_id", "status")
     begun = spark.read.schema("source_id long, status string").parquet(f"{folder}/registered").select("source_id", "status").distinct()
     return done.unionByName(begun.join(done, "source_id", "left_anti"))
@@ -52,8 +52,10 @@ def latest_version(spark: SparkSession, folder: str) -> int:
 def ingest_batch(batch: DataFrame, batch_id: int, folder: str, web: Web) -> None:
     """One batch: its sources are registered, then its changes are written, and the pointer last.
 
-    A batch that ran before changes nothing. One that fails stops the stream; its sources stay in processing, and a
-    restart does the whole batch again over what it had written.
+    A batch that ran before changes nothing. A source whose pages all fail is failed and the others go on; it is done again
+    when it is submitted again. A batch that fails as a whole (a table can't be read) stops the stream; its sources stay in
+    processing, and a restart does the whole batch again over what it had written. Pages are parsed once by content, kept in
+    the folder, unless the web names another store.
     """
     spark = batch.sparkSession
     version = latest_version(spark, folder)
@@ -67,6 +69,7 @@ def ingest_batch(batch: DataFrame, batch_id: int, folder: str, web: Web) -> None
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).option("basePath", path).parquet(path)
 
+    web = replace(web, store=web.store or f"{folder}/extracted")
     changes = ingest_changes(batch, read_catalog(spark, folder, version), web, cut)
     for t in _TABLES:
         getattr(changes, t).write.mode("overwrite").parquet(f"{folder}/{t}/batch={batch_id}")
