@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.keyed import one_per_key
+
 
 def newest(df: DataFrame, by: str, key: str) -> DataFrame:
     """The latest rows by a time first, equal times by a key; rows without a time come last."""
@@ -138,8 +140,9 @@ def reject_items(items: DataFrame, keys: DataFrame, reviewer: str) -> DataFrame:
     return _mark(items, _first_items(items, keys), "rejected", reviewer)
 
 
-def sync_rows(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """By key, incoming rows replace current ones whole (their nulls too) or are added."""
+def sync_rows(current: DataFrame, incoming: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """By key, incoming rows replace current ones whole (their nulls too) or are added; one row for each key."""
+    incoming = one_per_key(incoming, key, order)
     return current.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
@@ -172,11 +175,20 @@ def create_rows(current: DataFrame, new: DataFrame, defaults: dict) -> DataFrame
     return current.unionByName(new, allowMissingColumns=True)
 
 
-def patch_rows(current: DataFrame, patches: DataFrame, key: str) -> DataFrame:
-    """Columns that a patch gives (not null) are replaced, others stay."""
-    given = [c for c in patches.columns if c != key]
-    joined = current.join(patches.select(key, *[F.col(c).alias(f"_{c}") for c in given]), key, "left")
-    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in given else F.col(c) for c in current.columns])
+def patch_rows(current: DataFrame, patches: DataFrame, key: str, fields: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """Columns that a patch gives are replaced, others stay; patches of unknown keys change nothing.
+
+    A patch gives the columns named in its array ``fields``, nulls too; where that is null, or without it, those that are not
+    null. Of several patches for a key each column takes the last one that gives it, by the columns ``order`` and then by
+    value. ``fields`` and ``order`` are no columns of the rows.
+    """
+    given = [c for c in patches.columns if c != key and c != fields and c not in (order or [])]
+    said = lambda c: F.coalesce(F.array_contains(fields, c), F.col(c).isNotNull()) if fields else F.col(c).isNotNull()
+    rank = [F.col(c).alias(f"o{k}") for k, c in enumerate(order or [])]
+    last = patches.groupBy(key).agg(*[F.max(F.when(said(c), F.struct(*rank, F.col(c).alias("v")))).alias(f"_{c}") for c in given])
+    joined = current.join(last, key, "left")
+    put = lambda c: F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v").cast(current.schema[c].dataType)).otherwise(F.col(c)).alias(c)
+    return joined.select(*[put(c) if c in given else F.col(c) for c in current.columns])
 
 
 def delete_rows(current: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.schemas import ENRICHMENT, ENRICHMENT_REVIEW_BELOW
+from lodestone.sources.keyed import one_per_key
 
 
 def enrichment_input(products: DataFrame, attributes: DataFrame) -> DataFrame:
@@ -35,8 +36,12 @@ def use_case_map(use_cases: Column) -> Column:
     return F.map_from_entries(F.transform(use_cases, lambda x, i: F.struct(F.concat(F.lit("Use Case "), (i + 1).cast("string")), x)))
 
 
-def upsert_enrichment(enrichments: DataFrame, incoming: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Incoming rows by product over the current ones; their products are completed."""
+def upsert_enrichment(enrichments: DataFrame, incoming: DataFrame, products: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Incoming rows by product over the current ones; their products are completed.
+
+    Of several incoming rows for a product the last by ``order`` stays, then by the values of its columns.
+    """
+    incoming = one_per_key(incoming, "product_id", order)
     out = enrichments.join(incoming.select("product_id").distinct(), "product_id", "left_anti").unionByName(incoming, allowMissingColumns=True)
     hit = incoming.select("product_id").distinct().withColumn("_hit", F.lit(True))
     done = products.join(hit, "product_id", "left").withColumn("enrichment_status", F.when(F.col("_hit"), "completed").otherwise(F.col("enrichment_status"))).drop("_hit")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.keyed import one_per_key
+
 
 def derive_identifiers(rows: DataFrame) -> DataFrame:
     """G1: identifiers default to empty; the brand is the first word of the title."""
@@ -52,7 +54,11 @@ def completeness_score(n_attributes: Column) -> Column:
 
 
 def upsert_product(products: DataFrame, found: DataFrame) -> DataFrame:
-    """``found(product_code, title, brand, n_attributes)`` over ``products``: existing ones completed, others added."""
+    """``found(product_code, title, brand, n_attributes)`` over ``products``: existing ones completed, others added.
+
+    Of several rows of ``found`` for a product the one of the largest title counts, then by brand and attributes.
+    """
+    found = one_per_key(found.select("product_code", "title", "brand", "n_attributes"), "product_code")
     joined = products.join(found, "product_code", "full_outer")
     hit = F.col("n_attributes").isNotNull()
     return joined.select(

@@ -9,6 +9,8 @@ from lodestone.operators import catalog as ct
 from lodestone.operators import enrich as en
 from lodestone.operators import golden as gd
 from lodestone.plans import values
+from lodestone.sources.keyed import KeyedTable
+from lodestone.storage import shared_path
 
 QUERIES, ORACLE = {}, {}
 
@@ -195,6 +197,25 @@ def r22(spark, d):
     return ct.patch_rows(products, patches, "product_code").drop("product_id")
 
 
+@query("r22_keyed_updates", """SELECT product_code, CASE WHEN product_id % 50 = 1 THEN 'Patched' WHEN product_id % 50 = 2 THEN NULL ELSE product_name END AS product_name,
+  CASE WHEN product_id % 50 = 1 THEN 'second' ELSE brand_name END AS brand_name, CAST(completeness_score AS INT) AS completeness_score FROM fx_products WHERE product_id % 50 <> 3
+  UNION ALL SELECT 'N-' || product_code, product_name, NULL, 7 FROM fx_products WHERE product_id % 100 = 4""")
+def r22_keyed(spark, d):
+    """A table in buckets after patches (two for a key, nulls too), deletions and new rows."""
+    columns = ["product_code", "product_name", "brand_name", F.col("completeness_score").cast("int").alias("completeness_score")]
+    rows = frame(spark, d, "fx_products").select("product_id", *columns)
+    stored = KeyedTable(spark, shared_path(spark, "keyed"), "product_code", rows.drop("product_id").schema)
+    stored.update(rows.drop("product_id"), lambda old, new: old.unionByName(new))
+    some = lambda k: rows.where(F.col("product_id") % 50 == k)
+    patch = lambda k, name, brand, said, turn: some(k).select("product_code", F.lit(name).cast("string").alias("product_name"), F.lit(brand).cast("string").alias("brand_name"), F.array(*map(F.lit, said)).cast("array<string>").alias("said"), F.lit(turn).alias("turn"))
+    patches = patch(1, "Patched", "first", ["product_name", "brand_name"], 1).unionByName(patch(1, None, "second", ["brand_name"], 2)).unionByName(patch(2, None, None, ["product_name"], 1))
+    stored.update(patches, lambda old, new: ct.patch_rows(old, new, "product_code", "said", ["turn"]))
+    stored.update(some(3).select("product_code"), lambda old, new: ct.delete_rows(old, new, "product_code"))
+    fresh = rows.where("product_id % 100 = 4").select(F.concat(F.lit("N-"), "product_code").alias("product_code"), "product_name", F.lit(None).cast("string").alias("brand_name"), F.lit(7).alias("completeness_score"))
+    stored.update(fresh, lambda old, new: ct.sync_rows(old, new, "product_code"))
+    return stored.read()
+
+
 @query("r23_delete_rows", "SELECT product_code, product_name FROM fx_products WHERE enrichment_status <> 'pending'")
 def r23(spark, d):
     products = frame(spark, d, "fx_products")
