@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,9 @@ class Pool:
     def __init__(self, tokens: int, segments: int, loss: int, min_piece: int):
         self.limits = (tokens, segments, loss)
         self.min_piece = min_piece
-        self.items: list[tuple] = []  # (doc, ids, start, doc_tokens, first id that bears loss)
+        #: (doc, ids, start, doc_tokens, first id that bears loss); where ids that do and don't alternate, the last is an array
+        #: of how many of the document's ids before each place bear loss
+        self.items: list[tuple] = []
         self.held = 0
 
     def add(self, item: tuple) -> None:
@@ -47,7 +49,9 @@ class Pool:
     def cut_at(item: tuple, tokens: int, loss: int) -> int:
         """Most ids of the item's beginning within both limits: what bears no loss is free, and so is a piece's first id."""
         _, ids, start, _, first = item
-        return min(tokens, len(ids), max(first, start + 1) - start + loss)
+        if isinstance(first, int):
+            return min(tokens, len(ids), max(first, start + 1) - start + loss)
+        return min(tokens, len(ids), int(np.searchsorted(first, first[start + 1] + loss, "right")) - 1 - start)
 
     def bins(self, until: int) -> Iterator[list[tuple]]:
         """Fill sequences until at most ``until`` tokens wait.
@@ -85,7 +89,8 @@ class Pool:
 def loss_of(item: tuple) -> int:
     """Ids of a piece that bear loss: those of the answer, but for the first id of a piece, which nothing predicts."""
     _, ids, start, _, first = item
-    return max(0, start + len(ids) - max(first, start + 1))
+    end = start + len(ids)
+    return max(0, end - max(first, start + 1)) if isinstance(first, int) else max(0, int(first[end] - first[min(start + 1, end)]))
 
 
 def cut(item: tuple, at: int) -> tuple[tuple, tuple]:
@@ -136,11 +141,26 @@ def pack(
     if min(max_tokens, max_segments, max_loss_tokens, pool_tokens) < 1:
         raise ValueError("limits must be positive")
 
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *SCHEMA.fields[1:]])
+    def items(batches):
+        words = word_ids(tokenizer_path)
+        for part in slices(batches, text_col):
+            prompts = part[prompt_col] if prompt_col else [None] * len(part[id_col])
+            for doc, prompt, text in zip(part[id_col], prompts, part[text_col], strict=True):
+                before = words.ids(prompt) if prompt else np.empty(0, "<u4")
+                ids = np.concatenate([before, words.ids(text or ""), np.array([end_id], "<u4")])
+                yield doc, ids, 0, len(ids), len(before)
+
+    columns = [c for c in (id_col, prompt_col, text_col) if c]
+    limits = (max_tokens, max_segments, max_loss_tokens, min_piece, pool_tokens)
+    return packed(docs.select(*dict.fromkeys(columns)), items, docs.schema[id_col].dataType, *limits).withColumnRenamed("doc_id", id_col)
+
+
+def packed(rows: DataFrame, items: Callable, id_type: T.DataType, max_tokens: int, max_segments: int, max_loss_tokens: int, min_piece: int, pool_tokens: int) -> DataFrame:
+    """Pack what ``items`` makes of each task's batches, in the order in which it comes."""
+    schema = T.StructType([T.StructField("doc_id", id_type), *SCHEMA.fields[1:]])
 
     def run(batches):
         arrow = to_arrow_schema(schema)
-        words = word_ids(tokenizer_path)
         pool = Pool(max_tokens, max_segments, max_loss_tokens, min_piece)
         sequence = (TaskContext.get().partitionId() << 36) - 1
         rows: list[tuple] = []
@@ -165,30 +185,65 @@ def pack(
                 rows.clear()
                 yield out
 
-        for part in slices(batches, text_col):
-            prompts = part[prompt_col] if prompt_col else [None] * len(part[id_col])
-            for doc, prompt, text in zip(part[id_col], prompts, part[text_col], strict=True):
-                before = words.ids(prompt) if prompt else np.empty(0, "<u4")
-                ids = np.concatenate([before, words.ids(text or ""), np.array([end_id], "<u4")])
-                item = (doc, ids, 0, len(ids), len(before))
-                while len(item[1]) >= max_tokens:
-                    piece, rest = cut(item, max_tokens)
-                    if loss_of(piece) > max_loss_tokens:
-                        break
-                    place([piece])
-                    item = rest
-                if len(item[1]):
-                    pool.add(item)
-                if pool.held > pool_tokens or len(pool.items) > 8192:
-                    for pieces in pool.bins(pool.held // 2):
-                        place(pieces)
-                    yield from flush(20_000)
+        for item in items(batches):
+            while len(item[1]) >= max_tokens:
+                piece, rest = cut(item, max_tokens)
+                if loss_of(piece) > max_loss_tokens:
+                    break
+                place([piece])
+                item = rest
+            if len(item[1]):
+                pool.add(item)
+            if pool.held > pool_tokens or len(pool.items) > 8192:
+                for pieces in pool.bins(pool.held // 2):
+                    place(pieces)
+                yield from flush(20_000)
         for pieces in pool.bins(0):
             place(pieces)
         yield from flush(0)
 
-    columns = [c for c in (id_col, prompt_col, text_col) if c]
-    return docs.select(*dict.fromkeys(columns)).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(run, schema)
+
+
+def pack_conversations(
+    conversations: DataFrame, tokenizer_path: str, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", answers: str = "assistant",
+    end_id: int = 2, max_tokens: int = 4096, max_segments: int = 64, max_loss_tokens: int = 1536, min_piece: int = 16, pool_tokens: int = 1 << 20, part_tokens: int = 1 << 16,
+) -> DataFrame:
+    """Pack whole conversations: each turn's ids and an end id once, in order; those of answering turns bear loss.
+
+    So an answer has all earlier turns of its conversation before it as far as a sequence goes. Turns go by number, then role
+    and text, null numbers first; gaps and repeated turns are no matter, conversations of one turn and those without an answer
+    are packed too. A null role answers nothing, a null text has its end id alone, and turns without a conversation's id are
+    one conversation. After ``part_tokens`` ids a conversation goes on as another example, so that a task holds a bounded part
+    of it; ``example_id`` is the conversation's id and the number of the part, counted from 0 (``none`` for a null id).
+    """
+    if min(max_tokens, max_segments, max_loss_tokens, pool_tokens, part_tokens) < 1:
+        raise ValueError("limits must be positive")
+    rows = conversations.select(F.coalesce(F.col(conv).cast("string"), F.lit("none")).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
+    ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+
+    def items(batches):
+        words, end = word_ids(tokenizer_path), np.array([end_id], "<u4")
+        of, part, ids, bears, size = None, 0, [], [], 0
+
+        def whole():
+            all_ids = np.concatenate(ids)
+            return f"{of}/{part}", all_ids, 0, len(all_ids), np.r_[0, np.cumsum(np.concatenate(bears))]
+
+        for columns in slices(batches, "text"):
+            for c, r, t in zip(columns["conv"], columns["role"], columns["text"], strict=True):
+                if ids and (c != of or size >= part_tokens):
+                    yield whole()
+                    ids, bears, size, part = [], [], 0, part + 1 if c == of else 0
+                of = c
+                ids.append(np.concatenate([words.ids(t or ""), end]))
+                bears.append(np.full(len(ids[-1]), r == answers))
+                size += len(ids[-1])
+        if ids:
+            yield whole()
+
+    limits = (max_tokens, max_segments, max_loss_tokens, min_piece, pool_tokens)
+    return packed(ordered, items, T.StringType(), *limits).withColumnRenamed("doc_id", "example_id")
 
 
 def fill_report(packed: DataFrame, max_tokens: int = 4096) -> DataFrame:
@@ -216,19 +271,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_segments=SEGMENTS)
 
 
-def instructions(conversations: DataFrame) -> DataFrame:
-    """``example_id, prompt, answer`` of every turn after another: the turn before it is the prompt."""
-    turns = conversations.select("conv_id", "turn", "text")
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("prompt"))
-    return turns.join(before, ["conv_id", "turn"]).select(F.concat_ws("/", "conv_id", "turn").alias("example_id"), "prompt", F.col("text").alias("answer"))
-
-
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packs the table of conversations: prompts bear no loss, so sequences reach the limit on loss-bearing tokens or on segments."""
+    """Packs the table of conversations: what isn't an answer bears no loss, so sequences reach the limit on loss-bearing tokens or on segments."""
     import public_tokenizers
 
-    examples = instructions(table(spark, sf_dir, "conversations"))
-    return pack(examples, public_tokenizers.path("word_bpe_49k.json"), "example_id", "answer", "prompt", max_segments=64, max_loss_tokens=2048)
+    return pack_conversations(table(spark, sf_dir, "conversations"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {"op1_packing": op1_packing, "packing_of_instructions": instruction_packing}

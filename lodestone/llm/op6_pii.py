@@ -5,14 +5,16 @@ from __future__ import annotations
 import bisect
 import operator
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import map_slices, table
+from lodestone.llm.common import SLICE_CHARS, map_slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -329,6 +331,17 @@ def overlaps(taken: tuple[list[int], list[int]], start: int, end: int) -> bool:
     return k > 0 and taken[1][k - 1] > start
 
 
+def all_spans(finder: Finder, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
+    """Spans of each text by kind and start: those of the patterns, and those of the random field that fit beside them."""
+    out = []
+    for text, extra in zip(texts, finder.spans(texts), strict=True):
+        base = base_spans(text)
+        taken = merged(base)
+        more = [x for x in extra if not overlaps(taken, x[1], x[2]) and fits(x[0], text[x[1] : x[2]])]
+        out.append(sorted([(*x, True) for x in base] + [(*x, False) for x in more], key=lambda x: (KINDS.index(x[0]), x[1])))
+    return out
+
+
 def find(docs: DataFrame, model: RandomField | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id and its spans of personal data, by kind and start, ``base`` for patterns.
 
@@ -344,14 +357,7 @@ def find(docs: DataFrame, model: RandomField | None = None, id_col: str = "doc_i
 
         def work(part):
             texts = [t or "" for t in part["text"]]
-            out = []
-            for text, extra in zip(texts, finder.spans(texts), strict=True):
-                base = base_spans(text)
-                taken = merged(base)
-                more = [x for x in extra if not overlaps(taken, x[1], x[2]) and fits(x[0], text[x[1] : x[2]])]
-                both = sorted([(*x, True) for x in base] + [(*x, False) for x in more], key=lambda x: (KINDS.index(x[0]), x[1]))
-                out.append([{"kind": k, "start": a, "end": b, "base": own} for k, a, b, own in both])
-            return {"id": part["id"], "spans": out}
+            return {"id": part["id"], "spans": [[{"kind": k, "start": a, "end": b, "base": own} for k, a, b, own in x] for x in all_spans(finder, texts)]}
 
         return work
 
@@ -359,20 +365,42 @@ def find(docs: DataFrame, model: RandomField | None = None, id_col: str = "doc_i
     return out.withColumnRenamed("id", id_col)
 
 
-def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each span replaced by its kind in angle brackets; of overlapping spans the first counts."""
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    put = F.aggregate(
-        F.coalesce(ordered, F.array()), start,
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("text"), s["end"].alias("at")),
-        ).otherwise(acc),
-        lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-    )
-    return docs.join(found.select(id_col, "spans"), id_col, "left").withColumn(text_col, F.when(F.col(text_col).isNotNull(), put)).drop("spans")
+def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
+    """``text`` with spans as their kinds in angle brackets; spans that overlap become one, of the kind that starts first."""
+    out, at, stop = [], 0, 0
+    for kind, start, end, _ in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if start >= stop:
+            out += [text[at:start], f"<{kind}>"]
+        at = stop = max(stop, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, model: RandomField | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with personal data in texts replaced by its kind in angle brackets, found and replaced in one pass.
+
+    Each row is redacted by itself, so ids may be null, repeated or absent. Overlapping finds go as a whole, under the kind
+    of the first. A null text stays null; all other columns pass as they are, whatever their names; an empty table is valid.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model or train())
+    schema = docs.schema
+
+    def run(batches):
+        finder = Finder(shared.value)
+        for batch in batches:
+            at = batch.schema.names.index(text_col)
+            for part in pieces_of(batch, at):
+                texts = part.column(at).to_pylist()
+                new = [t if t is None else masked(t, s) for t, s in zip(texts, all_spans(finder, [t or "" for t in texts]), strict=True)]
+                yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
+
+    return docs.mapInArrow(run, schema)
+
+
+def pieces_of(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of characters in column ``at``."""
+    step = max(1, int(SLICE_CHARS // max(1.0, batch.column(at).nbytes / max(1, batch.num_rows))))
+    for k in range(0, batch.num_rows, step):
+        yield batch.slice(k, step)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,7 +107,38 @@ def test_each_packing_limit_binds(spark):
     of_documents = sequences(op1_packing.op1_packing(spark, sf)).agg(F.max("n"), F.max("t"), F.avg("t")).first()
     assert of_documents[0] == op1_packing.SEGMENTS and of_documents[1] == 4096 and of_documents[2] > 2000
     of_instructions = sequences(op1_packing.instruction_packing(spark, sf)).agg(F.max("n"), F.max("l")).first()
-    assert of_instructions[0] <= 64 and of_instructions[1] == 2048
+    assert of_instructions[0] <= 64 and of_instructions[1] == 1536
+
+
+@pytest.mark.parametrize(("limits", "part_tokens"), [({}, 1 << 16), ({"max_tokens": 128, "max_segments": 3, "max_loss_tokens": 50}, 60), ({"max_tokens": 32, "max_segments": 2, "max_loss_tokens": 1}, 1 << 16)])
+def test_packing_of_conversations_round_trip(spark, limits, part_tokens):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    given = table(spark, "/root/testdata/sf0.01", "conversations").where("conv_id < 25").unionByName(spark.createDataFrame([
+        (900, 0, "assistant", "alone"), (901, 0, "system", "nobody answers"), (902, 5, "user", "late"), (902, None, "assistant", "first"), (902, 9, "assistant", None), (902, 9, "assistant", None), (None, 1, None, "x y"), (903, 1, "assistant", "word " * 300),
+    ], "conv_id long, turn long, role string, text string"))
+    examples = {}
+    for r in sorted(given.collect(), key=lambda r: (-1 if r.turn is None else r.turn, r.role or "", r.text or "")):
+        new = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        parts = examples.setdefault("none" if r.conv_id is None else str(r.conv_id), [([], [])])
+        if len(parts[-1][0]) >= part_tokens:
+            parts.append(([], []))
+        parts[-1][0].extend(new)
+        parts[-1][1].extend([r.role == "assistant"] * len(new))
+    want = {f"{c}/{k}": p for c, parts in examples.items() for k, p in enumerate(parts)}
+    rows = op1_packing.pack_conversations(given.withColumn("conv", F.lit(1)), TOKENIZER, part_tokens=part_tokens, **limits).collect()
+    most = {"max_tokens": 4096, "max_segments": 64, "max_loss_tokens": 1536} | limits
+    sequences, at = {}, {}
+    for r in sorted(rows, key=lambda r: (r.example_id, r.start)):
+        ids, bears = want[r.example_id]
+        assert r.start == at.get(r.example_id, 0) and r.doc_tokens == len(ids)
+        at[r.example_id] = r.start + r.length
+        assert zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32
+        assert r.loss_tokens == sum(bears[r.start + 1 : r.start + r.length])
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert at == {k: len(p[0]) for k, p in want.items()}
+    for s in sequences.values():
+        assert len(s) <= most["max_segments"] and sum(r.length for r in s) <= most["max_tokens"] and sum(r.loss_tokens for r in s) <= most["max_loss_tokens"]
+    assert op1_packing.pack_conversations(given.limit(0), TOKENIZER).count() == 0
 
 
 def test_cached_tokens_equal_the_tokenizer():
@@ -290,7 +321,24 @@ def test_pii_field_adds_other_spellings(spark):
     found = op6_pii.find(df)
     got = {r.doc_id: [(s.kind, rows[r.doc_id - 1][1][s.start : s.end]) for s in r.spans] for r in found.collect()}
     assert got == {1: [("phone", "(415) 555-2671")], 2: [("card", "4111/1111/1111/1111")], 3: [("email", "joe [at] corp [dot] com")], 4: []}
-    assert op6_pii.redact(df, found).orderBy("doc_id").first().text == "please call <phone> now"
+    assert op6_pii.redact(df).orderBy("doc_id").first().text == "please call <phone> now"
+
+
+def test_redaction_is_by_row(spark):
+    rows = [(1, "mail a@b.co now"), (1, "ip 10.0.0.1 x"), (None, "mail c@d.org now"), (None, None), (2, ""), (3, "clean words"), (3, "é😀 a@b.co, +1 555 010 99 99; 4111 1111 1111 1111")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("spans", F.lit("s")).withColumn("kind", F.array(F.lit(1))).withColumn("doc_id", F.lit(None).cast("string"))
+    out = op6_pii.redact(df)
+    assert out.schema == df.schema
+    got = sorted((str(r.id), r.text or "", r.spans, r.kind, r.doc_id) for r in out.collect())
+    texts = {"1": ["ip <ip> x", "mail <email> now"], "2": [""], "3": ["clean words", "é😀 <email>, <phone>; <card>"], "None": ["", "mail <email> now"]}
+    assert got == [(k, t, "s", [1], None) for k, ts in texts.items() for t in ts]
+    assert op6_pii.redact(df.limit(0)).count() == 0 and out.where("text is null").count() == 1
+
+
+def test_masked_spans_that_overlap():
+    text = "0123456789"
+    assert op6_pii.masked(text, [("card", 1, 4, True), ("phone", 3, 7, True), ("ip", 7, 8, True)]) == "0<card><ip>89"
+    assert op6_pii.masked(text, [("phone", 2, 8, True), ("card", 3, 5, False)]) == "01<phone>89" and op6_pii.masked(text, []) == text
 
 
 def test_pii_viterbi_takes_the_best_path():
