@@ -226,6 +226,31 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: -r.priority)
 
 
+#: A line break with the white space and comment marks around it, or other white space that isn't one plain space.
+_WRAP = re.compile(r"[^\S\n]*+\n\s*+(?:(?:/\*++|\*++/?|//++|\#++|;++|--++|>++|%++|!++|\.\.|dnl\b|rem\b)\s*+)*+|[^\S\n]{2,}+|[^\S\n ]")
+
+
+class Folded:
+    """A text with each wrap as one space, so that signatures find headers of source files; ``back`` gives places in the text."""
+
+    def __init__(self, text: str):
+        self._original, self.text = text, _WRAP.sub(" ", text)
+        self._places: tuple[list[int], list[int]] | None = None
+
+    def back(self, place: int, end: bool = False) -> int:
+        """The place in the text of a place in the folded text; of an end, that behind its last character."""
+        if self._places is None:
+            starts, shifts, shift = [0], [0], 0
+            for m in _WRAP.finditer(self._original):
+                shift += m.end() - m.start() - 1
+                starts.append(m.end() - shift)
+                shifts.append(shift)
+            self._places = starts, shifts
+        starts, shifts = self._places
+        at = place - end
+        return at + shifts[bisect.bisect_right(starts, at) - 1] + end
+
+
 class Cover:
     """Intervals of which none holds another, by start and so by end."""
 
@@ -279,14 +304,15 @@ class Scanner:
 
     def scan(self, original: str | None) -> dict:
         text = lower(original or "")
-        words = {w for _, w in self.gate.iter(text)}
+        folded = Folded(text)
+        words = {w for _, w in self.gate.iter(folded.text)}
         places, labels = [], set()
         for label, first, pattern in self.phrases if words else ():
             if first in words or first == "all":
                 for m in pattern.finditer(text):
                     places.append(m.start())
                     labels.add(label)
-        found = self.detections(text, words) if words else []
+        found = [(folded.back(a), folded.back(b, end=True), *rest) for a, b, *rest in self.detections(folded.text, words)] if words else []
         starts = [len(_WORD.findall(text, 0, p)) for p in (min(places), max(places))] if places else [None, None]
         return {
             "n_words": len(_WORD.findall(text)), "n_base": len(places), "first_word": starts[0], "last_word": starts[1],
@@ -302,7 +328,8 @@ DETECTION = T.StructType([T.StructField("start", T.LongType()), T.StructField("e
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its id, counts and places of the phrases, labels, score and detections.
 
-    A null text counts as empty: no words, no labels, score 0. Time grows linearly with a text, of any length, but for a
+    Signatures see line breaks with white space and comment marks, and other runs of white space, as one space; places are
+    those of the text as it is. A null text counts as empty: no words, no labels, score 0. Time grows linearly with a text, of any length, but for a
     logarithm of its detections. Repeated rows stay; an empty table gives no rows; columns
     besides the two named are not read.
     """

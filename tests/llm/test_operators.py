@@ -534,3 +534,60 @@ def test_line_dedup_with_repeated_ids(spark):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out) == Counter([(1, rows[0][1], 2, 0), (2, "one of two", 2, 1), (2, "two of two", 2, 1), (2, "", 2, 2), (None, None, 0, 0)])
     named = op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string"), n_lines="a", n_removed="b")
     assert {r.n_removed for r in named.collect()} == set("xyzwv") and named.columns[-2:] == ["a", "b"]
+
+
+def sample(tokens) -> str:
+    """A text that a parsed pattern matches: first branches, fewest repeats."""
+    out = []
+    for op, value in tokens:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(value))
+        elif name == "IN":
+            kind, v = value[0]
+            out.append(chr(v if str(kind) == "LITERAL" else v[0]) if str(kind) in ("LITERAL", "RANGE") else "1")
+        elif name == "BRANCH":
+            out.append(sample(value[1][0]))
+        elif name == "SUBPATTERN":
+            out.append(sample(value[3]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out.append(sample(value[2]) * (value[0] or str(value[2][0][0]) == "ANY"))
+        elif name == "ANY":
+            out.append("x")
+    return "".join(out)
+
+
+@pytest.mark.parametrize(("before", "gap", "after"), [("", " ", ""), ("/*\n * ", "\n * ", "\n */"), ("# ", "\n#  ", "\n"), ("", "  ", "\t"), ("// ", "\r\n//\t", ""), ("> ", " \n\n> ", ""), ("\u3000", "\u00a0", "")])
+def test_license_rules_find_wrapped_texts(before, gap, after):
+    import re._parser as parser
+
+    for rule in op10_licenses.rules():
+        plain = sample(parser.parse(rule.pattern.pattern))
+        assert rule.pattern.fullmatch(plain), rule
+        apart = "" if rule.keyword in plain else ". " + rule.keyword.replace(" ", gap)  # the gate asks for a word beside some sentences
+        text = before + plain.replace(" ", gap) + apart + after
+        folded = op10_licenses.Folded(text)
+        m = rule.pattern.search(folded.text)
+        assert m and rule.keyword in folded.text, (rule, folded.text)
+        assert text[folded.back(m.start()) : folded.back(m.end(), end=True)] == plain.replace(" ", gap)
+
+
+def test_license_headers_that_wrap():
+    scanner = op10_licenses.Scanner()
+    for text, label in (("Licensed under the Apache\nLicense, Version 2.0", "apache-2.0"), ("except\n * in compliance\n * with the License; you may not use this file except in compliance\n * with the License", "apache-2.0"),
+                        ("Permission is hereby granted,  free of charge, to\n# any person obtaining a copy", "mit"), ("GNU General Public License\n;; version 3", "gpl-3.0")):
+        got = scanner.scan(text)
+        assert label in got["labels"].split(","), text
+        assert all(0 <= d["start"] < d["end"] <= len(text) for d in got["detections"])
+    d = scanner.scan("xx Apache\n *   License, Version 2.0 yy")["detections"][0]
+    assert "xx Apache\n *   License, Version 2.0 yy"[d["start"] : d["end"]] == "Apache\n *   License, Version 2.0"
+
+
+def test_license_scans_stay_linear():
+    took = []
+    for unit in (" ", "\n", "\n * ", "a  ", "\t/", " /*"):
+        for n in (100_000, 400_000):
+            begin = time.perf_counter()
+            op10_licenses.Scanner().scan(unit * (n // len(unit)) + " apache license")
+            took.append(time.perf_counter() - begin)
+    assert all(b < 12 * max(a, 0.05) for a, b in zip(took[::2], took[1::2], strict=True)), took
