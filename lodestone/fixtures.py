@@ -65,6 +65,16 @@ SELECT p_partkey * 4 + k AS page_id, p_partkey AS product_key, k AS source_no, c
  CASE WHEN k = 3 THEN '.5' ELSE '' END, ' cm</td></tr></table><p>*</p><ul><li>Surface: ', CASE k WHEN 1 THEN 'polished' WHEN 2 THEN 'Polished ' ELSE 'brushed' END, '</li>',
  CASE WHEN k = 3 THEN concat('<li>Shelf: ', p_brand, '</li>') ELSE '' END, '</ul></div></body></html>') AS html
 FROM part, (VALUES (1), (2), (3)) AS v(k)
+""",
+    "fx_labelled_values": r"""
+SELECT label, value FROM (
+ SELECT 'Size' AS label, concat(CAST(p_size AS STRING), ' cm') AS value FROM part
+ UNION ALL SELECT 'Item Size', concat(' ', CAST(p_size AS STRING), '  CM') FROM part WHERE p_partkey % 2 = 0
+ UNION ALL SELECT 'Dimension', concat(CAST(p_size + CASE WHEN p_size > 45 THEN 100 ELSE 0 END AS STRING), ' cm') FROM part
+ UNION ALL SELECT 'Weight', concat(CAST(p_size AS STRING), ' kg') FROM part UNION ALL SELECT 'Pieces', CAST(p_size AS STRING) FROM part
+ UNION ALL SELECT 'Brand', p_brand FROM part UNION ALL SELECT 'Maker', upper(p_brand) FROM part WHERE p_partkey % 3 = 0
+ UNION ALL SELECT 'Sold', CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END FROM part UNION ALL SELECT 'New', CASE WHEN p_size % 3 = 0 THEN 'yes' ELSE 'no' END FROM part
+ UNION ALL SELECT 'Name', concat(p_name, ' ', CAST(p_partkey AS STRING)) FROM part) x
 """,
     "fx_kv_sources": r"""
 SELECT p_partkey AS source_id, CASE WHEN p_partkey % 3 = 0 THEN 'pdf' ELSE 'html' END AS source_type,

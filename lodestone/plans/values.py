@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.fixtures import frame, with_views
 from lodestone.functions import text as tx
 from lodestone.operators import cleaning, standardize as st
+from lodestone.operators import synonyms as sy
 from lodestone.schemas import EXAMPLE_RULES, INVALID_VALUES, RULES_SCHEMA, SOURCE_CONFIDENCE
 
 QUERIES, ORACLE = {}, {}
@@ -305,6 +306,26 @@ def d16(spark, d):
     return st.unify_attributes(extracted(spark, d), frame(spark, d, "fx_synonyms"))
 
 
+#: Labels of at most 256 different values: their containment is exact.
+_FORMS = f"""forms AS (SELECT DISTINCT label, CASE WHEN regexp_matches(v, '{sy.QUANTITY}') AND {number('v')} IS NOT NULL THEN concat_ws(' ', CAST({number('v')} AS VARCHAR), {unit('v')}) ELSE v END AS form
+  FROM (SELECT label, lower({clean('value')}) AS v FROM fx_labelled_values WHERE label <> 'Name') x),
+ held AS (SELECT a.label, b.label AS other, count(*) AS shared FROM forms a JOIN forms b ON a.form = b.form AND a.label <> b.label GROUP BY 1, 2),
+ contained AS (SELECT label, other, shared, n AS compared, shared / n AS containment FROM held JOIN (SELECT label, count(*) AS n FROM forms GROUP BY 1) c USING (label) WHERE shared >= 3 AND shared >= 0.8 * n - 1e-9)"""
+
+
+@query("d16_label_containment", f"WITH {_FORMS} SELECT label, other, shared, compared, containment FROM contained")
+def d16_containment(spark, d):
+    return sy.label_containment(frame(spark, d, "fx_labelled_values"))
+
+
+@query("d16_discover_synonyms", f"""WITH {_FORMS} SELECT label, canonical, confidence FROM (
+  SELECT label, 'width' AS canonical, containment AS confidence FROM contained WHERE other = 'Size'
+  UNION ALL SELECT label, 'brand', containment FROM contained WHERE label = 'Maker' AND other = 'Brand') x WHERE label <> 'Size'""")
+def d16_discover(spark, d):
+    """'Size' is known as 'width'; what its values and those of 'Brand' hold gets their names, other labels none."""
+    return sy.discovered_synonyms(frame(spark, d, "fx_labelled_values"), frame(spark, d, "fx_synonyms"))
+
+
 _GATHERED = f"""{_EXTRACTED}, gathered AS (SELECT product_key, canonical AS attribute, row_number() OVER (PARTITION BY product_key, canonical ORDER BY source_pos, label, value) AS pos, value, source
   FROM extracted JOIN unified USING (label))"""
 
