@@ -273,10 +273,9 @@ def golden_products(spark, d):
     return frame(spark, d, "fx_products").select(F.col("product_id").alias("product_key"), F.col("product_code").alias("sku"), F.col("brand_name").alias("brand"))
 
 
-@query("g3_build_golden_record", _GOLDEN.format("(SELECT * FROM fx_observations WHERE product_key % 5 <> 0 AND (attribute <> 'color' OR product_key % 2 = 0)) o"))
+@query("g3_build_golden_record", _GOLDEN.format("fx_observations"))
 def g3(spark, d):
-    specs = frame(spark, d, "fx_observations").where("product_key % 5 <> 0 and (attribute <> 'color' or product_key % 2 = 0)")
-    return gd.build_golden_record(golden_products(spark, d), specs)
+    return gd.build_golden_record(golden_products(spark, d), frame(spark, d, "fx_observations"))
 
 
 @query("golden_records_by_part", f"WITH {values.chain()} " + _GOLDEN.format("done"))
