@@ -10,6 +10,7 @@ from lodestone.operators import enrich as en
 from lodestone.operators import golden as gd
 from lodestone.plans import values
 from lodestone.sources.keyed import KeyedTable
+from lodestone.sources.ranges import RangedTable
 from lodestone.storage import shared_path
 
 QUERIES, ORACLE = {}, {}
@@ -176,6 +177,13 @@ def r19(spark, d):
     return ct.page(frame(spark, d, "fx_products"), "product_code", 50).select("product_code", "product_name", "completeness_score")
 
 
+@query("r19_page_of_ranges", "SELECT id, product_id, stage, logged_at FROM fx_audit ORDER BY logged_at, id LIMIT 100 OFFSET 700")
+def r19_ranges(spark, d):
+    """A page far into the audit trail in the order of its times: one or two ranges are read, not the trail."""
+    rows = frame(spark, d, "fx_audit").select("id", "product_id", "stage", "logged_at")
+    return RangedTable.write(rows, shared_path(spark, "ranges"), "logged_at", "id", rows_per_range=200).page(700)
+
+
 @query("r20_get_by_key", "SELECT product_code, product_name, category_1 FROM fx_products WHERE product_id = 17")
 def r20(spark, d):
     return ct.get_by_key(frame(spark, d, "fx_products"), "product_id", 17).select("product_code", "product_name", "category_1")
