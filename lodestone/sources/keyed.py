@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,30 +34,32 @@ class KeyedTable:
     def bucket(self, key: str | Column) -> Column:
         return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key), F.lit(self.buckets)).cast("int")
 
+    def _numbers(self, folder: str, name: str, written: bool = False) -> list[int]:
+        """The numbers N of the folders ``name=N`` in a folder, only those whose writing has ended if ``written``."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(f"{self.path}/{folder}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(p.getName().split("=")[1]) for p in found if p.getName().startswith(f"{name}=") and (not written or fs.exists(path(p, "_SUCCESS"))))
+
+    def version(self, as_of: int | None = None) -> int:
+        """The last version, or the last up to ``as_of``; -1 without any."""
+        return max((v for v in self._numbers("versions", "version", written=True) if as_of is None or v <= as_of), default=-1)
+
     def manifest(self, as_of: int | None = None) -> dict[int, int]:
-        """The version that each bucket was last written in; at most one row for each bucket is read."""
-        try:
-            rows = self.spark.read.schema("bucket int, written long, version long").parquet(f"{self.path}/versions")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
+        """The version that each bucket was last written in; one row for each bucket is read."""
+        v = self.version(as_of)
+        if v < 0:
             return {}
-        rows = rows if as_of is None else rows.where(F.col("version") <= as_of)
-        last = rows.agg(F.max("version")).first()[0]
-        return {} if last is None else {r.bucket: r.written for r in rows.where(F.col("version") == last).where("bucket >= 0").collect()}
-
-    def version(self) -> int:
-        """The last version, -1 without any."""
-        try:
-            return self.spark.read.schema("version long").parquet(f"{self.path}/versions").agg(F.coalesce(F.max("version"), F.lit(-1))).first()[0]
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return -1
+        rows = self.spark.read.schema("bucket int, written long").parquet(f"{self.path}/versions/version={v}")
+        return {r.bucket: r.written for r in rows.where("bucket >= 0").collect()}
 
     def read(self, as_of: int | None = None, only: set[int] | None = None) -> DataFrame:
         """All rows, or those of some buckets, as of a version."""
-        places = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(self.manifest(as_of).items()) if only is None or b in only]
+        return self._read(self.manifest(as_of), only)
+
+    def _read(self, manifest: dict[int, int], only: set[int] | None) -> DataFrame:
+        places = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(manifest.items()) if only is None or b in only]
         return self.spark.read.schema(self.schema).parquet(*places) if places else self.spark.createDataFrame([], self.schema)
 
     def touched(self, keys: DataFrame, column: str | None = None) -> set[int]:
@@ -86,10 +87,10 @@ class KeyedTable:
         if not touched:
             return touched
         manifest = self.manifest(last)
-        rows = merge(self.read(last, touched), changes).select(*self.schema.names)
+        rows = merge(self._read(manifest, touched), changes).select(*self.schema.names)
         out = rows.withColumn("bucket", self.bucket(self.key))
         out.repartition(len(touched), "bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/data/version={last + 1}")
-        full = {r.bucket for r in self.spark.read.schema("bucket int").parquet(f"{self.path}/data/version={last + 1}").distinct().collect()}
+        full = set(self._numbers(f"data/version={last + 1}", "bucket"))
         if not full <= touched:
             raise ValueError("the merge gave rows of other buckets")
         manifest = {b: v for b, v in manifest.items() if b not in touched} | {b: last + 1 for b in full}
@@ -99,20 +100,14 @@ class KeyedTable:
 
     def vacuum(self) -> int:
         """Delete data that the last version doesn't name, and older versions; gives the number of folders deleted."""
-        kept = self.manifest()
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs, gone = root.getFileSystem(conf), 0
-        if not fs.exists(root):
-            return 0
-        versions = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")) if "=" in s.getPath().getName())
-        last = versions[-1] if versions else -1
-        for v in versions[:-1]:
-            gone += fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions/version={v}"), True)
-        for data in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")):
-            v = int(data.getPath().getName().split("=")[1])
-            for s in fs.listStatus(data.getPath()):
-                name = s.getPath().getName()
-                if name.startswith("bucket=") and v <= last and kept.get(int(name.split("=")[1])) != v:
-                    gone += fs.delete(s.getPath(), True)
+        kept, last = self.manifest(), self.version()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs, gone = path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), 0
+        for v in self._numbers("versions", "version"):
+            if v < last:
+                gone += fs.delete(path(f"{self.path}/versions/version={v}"), True)
+        for v in self._numbers("data", "version"):
+            for b in self._numbers(f"data/version={v}", "bucket"):
+                if v <= last and kept.get(b) != v:
+                    gone += fs.delete(path(f"{self.path}/data/version={v}/bucket={b}"), True)
         return gone
