@@ -8,6 +8,7 @@ from lodestone.fixtures import frame, with_views
 from lodestone.operators import catalog as ct
 from lodestone.operators import enrich as en
 from lodestone.operators import golden as gd
+from lodestone.operators import metrics as mt
 from lodestone.plans import values
 from lodestone.sources.keyed import KeyedTable
 from lodestone.sources.ranges import RangedTable
@@ -56,9 +57,12 @@ _LONG = """long AS (SELECT sku, source_id, confidence, 'size' AS label, attr_siz
   UNION ALL SELECT sku, source_id, confidence, 'flag', attr_flag FROM fx_raw_extractions WHERE attr_flag IS NOT NULL)"""
 
 
-@query("r4_source_metrics", f"""WITH {_LONG}, m AS (SELECT source_id, avg(confidence) AS c FROM fx_raw_extractions GROUP BY 1), n AS (SELECT source_id, count(DISTINCT label) AS n FROM long GROUP BY 1)
+_R4 = f"""WITH {_LONG}, m AS (SELECT source_id, avg(confidence) AS c FROM fx_raw_extractions GROUP BY 1), n AS (SELECT source_id, count(DISTINCT label) AS n FROM long GROUP BY 1)
   SELECT s_suppkey AS source_id, round(coalesce(c, 0.0), 2) AS avg_confidence, coalesce(n, 0) AS n_attributes, round(least(coalesce(n, 0) / 20.0, 1.0), 2) AS completeness
-  FROM supplier LEFT JOIN m ON m.source_id = s_suppkey LEFT JOIN n ON n.source_id = s_suppkey""")
+  FROM supplier LEFT JOIN m ON m.source_id = s_suppkey LEFT JOIN n ON n.source_id = s_suppkey"""
+
+
+@query("r4_source_metrics", _R4)
 def r4(spark, d):
     return ct.source_metrics(frame(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id")), extractions(spark, d))
 
@@ -103,6 +107,45 @@ def r10(spark, d):
     return ct.review_stats(frame(spark, d, "fx_review_items"))
 
 
+def keyed(spark, rows, key):
+    t = KeyedTable(spark, shared_path(spark, "keyed"), key, rows.schema)
+    t.update(rows, lambda old, new: old.unionByName(new))
+    return t
+
+
+@query("r4_source_metrics_merged", _R4)
+def r4_merged(spark, d):
+    """The states of half of the extractions are kept; those of the rest are added, by buckets."""
+    rows = extractions(spark, d).select(F.concat_ws("-", "source_id", "l_orderkey", "l_linenumber").alias("extraction_id"), "source_id", "confidence", "attributes").dropDuplicates(["extraction_id"])
+    stored = keyed(spark, rows.where("source_id % 2 = 0"), "extraction_id")
+    sources = frame(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"))
+    mt.source_metrics(sources, stored)
+    stored.update(rows.where("source_id % 2 = 1"), lambda old, new: old.unionByName(new))
+    return mt.source_metrics(sources, stored)
+
+
+@query("r9_product_metrics_merged", "SELECT count(*) AS total_products, count(*) FILTER (WHERE product_id % 3 = 0 OR product_id % 40 = 1) AS published_products, CAST(trunc(avg(CASE WHEN product_id % 40 = 1 THEN 0 ELSE completeness_score END)) AS INT) AS catalog_health FROM fx_products")
+def r9_merged(spark, d):
+    """The metrics of all products, and again after a fortieth was published with score zero: their buckets alone are read."""
+    rows = frame(spark, d, "fx_products").select("product_id", "product_code", F.col("completeness_score").cast("int").alias("completeness_score"), "published_at")
+    stored = keyed(spark, rows, "product_code")
+    mt.product_metrics(stored)
+    some = rows.where("product_id % 40 = 1").select("product_code", F.lit(0).alias("completeness_score"), F.lit("2024-02-01").cast("timestamp").alias("published_at"))
+    stored.update(some, lambda old, new: ct.patch_rows(old, new, "product_code"))
+    return mt.product_metrics(stored)
+
+
+@query("r10_review_stats_merged", """SELECT count(*) AS total, count(*) FILTER (WHERE s = 'pending') AS pending, count(*) FILTER (WHERE s = 'approved') AS approved, count(*) FILTER (WHERE s = 'rejected') AS rejected,
+  CAST(0 AS BIGINT) AS in_review FROM (SELECT CASE WHEN queue_id % 10 = 3 AND status = 'pending' THEN 'rejected' ELSE status END AS s FROM fx_review_items WHERE queue_id % 100 <> 7) x""")
+def r10_merged(spark, d):
+    rows = frame(spark, d, "fx_review_items").select("queue_id", "status")
+    stored = keyed(spark, rows, "queue_id")
+    mt.review_stats(stored)
+    stored.update(rows.where("queue_id % 10 = 3 AND status = 'pending'").select("queue_id", F.lit("rejected").alias("status")), lambda old, new: ct.patch_rows(old, new, "queue_id"))
+    stored.update(rows.where("queue_id % 100 = 7"), lambda old, new: ct.delete_rows(old, new, "queue_id"))
+    return mt.review_stats(stored)
+
+
 _CHOSEN = "chosen AS (SELECT * FROM fx_review_items WHERE status = 'pending' AND queue_id % 3 = 0)"
 
 

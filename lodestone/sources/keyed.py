@@ -98,6 +98,30 @@ class KeyedTable:
         self.spark.createDataFrame(listed, "bucket int, written long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/versions/version={last + 1}")
         return touched
 
+    def aggregate(
+        self, name: str, partial: dict[str, Column], merged: dict[str, Column], by: tuple[str, ...] = (), rows: Callable[[DataFrame], DataFrame] = lambda df: df
+    ) -> DataFrame:
+        """``by`` and the columns of ``merged``: an aggregate of the last version, from states of its buckets.
+
+        ``partial`` makes the states from the rows of a bucket (after ``rows``, which may explode them), ``merged`` puts states
+        together. States are kept under ``name`` with the version that wrote their bucket, so only buckets that changed since
+        are read. Without ``by`` there is one row, of an empty table too. States of one name have to be made alike.
+        """
+        manifest, folder = self.manifest(), f"{self.path}/states/{name}"
+        wanted = self.spark.createDataFrame(list(manifest.items()), "bucket int, written long")
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        known = fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(folder))
+        have = {(r.bucket, r.written) for r in self.spark.read.parquet(folder).select("bucket", "written").distinct().join(wanted, ["bucket", "written"]).collect()} if known else set()
+        missing = {b for b, v in manifest.items() if (b, v) not in have}
+        if missing or not known:
+            changed = rows(self._read(manifest, missing).withColumn("bucket", self.bucket(self.key)))
+            states = changed.groupBy("bucket", *by).agg(*[c.alias(n) for n, c in partial.items()])
+            # A bucket without a group has a row all the same, so that it isn't read again.
+            marks = wanted.where(F.col("bucket").isin(list(missing)))
+            marks.join(states, "bucket", "left").withColumn("_empty", F.isnull(F.coalesce(*[F.col(n).cast("string") for n in partial]))).write.mode("append").parquet(folder)
+        states = self.spark.read.parquet(folder).join(F.broadcast(wanted), ["bucket", "written"]).dropDuplicates(["bucket", "written", *by]).where("not _empty")
+        return states.groupBy(*by).agg(*[c.alias(n) for n, c in merged.items()])
+
     def vacuum(self) -> int:
         """Delete data that the last version doesn't name, and older versions; gives the number of folders deleted."""
         kept, last = self.manifest(), self.version()

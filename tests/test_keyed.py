@@ -90,3 +90,20 @@ def test_a_patch_plan_reads_its_buckets(spark, tmp_path):
     t = table(spark, tmp_path, 500, 32)
     assert len(t.of_keys(rows(spark, [(1, "", 0)])).inputFiles()) < len(t.read().inputFiles()) / 8
     assert t.read(only=set()).count() == 0 and t.read().where(F.col("id") == 1).count() == 1
+
+
+def test_aggregates_read_changed_buckets_only(spark, tmp_path):
+    t = table(spark, tmp_path)
+    how = ({"n": F.count("*"), "s": F.sum("size"), "sketch": F.hll_sketch_agg("name")}, {"n": F.sum("n"), "s": F.sum("s"), "names": F.hll_sketch_estimate(F.hll_union_agg("sketch"))})
+    states = lambda: spark.read.parquet(f"{tmp_path}/t/states/all").count()
+    assert tuple(t.aggregate("all", *how).first()) == (201, sum(range(200)) - 1, 201)
+    before = states()
+    assert tuple(t.aggregate("all", *how).first()) == (201, sum(range(200)) - 1, 201) and states() == before
+    touched = t.update(rows(spark, [(3, "n4", 1003)]), lambda old, new: ct.patch_rows(old, new, "id"))
+    assert tuple(t.aggregate("all", *how).first()) == (201, sum(range(200)) + 999, 200) and states() == before + len(touched)
+    t.update(t.read(), lambda old, new: old.where("id is null"))
+    assert tuple(t.aggregate("all", *how).first())[:2] == (1, -1)
+    by = t.aggregate("by size", {"n": F.count("*")}, {"n": F.sum("n")}, ("size",))
+    assert [tuple(r) for r in by.collect()] == [(-1, 1)]
+    empty = KeyedTable(spark, str(tmp_path / "none"), "id", t.schema)
+    assert tuple(empty.aggregate("all", *how).first())[0] is None
