@@ -25,9 +25,8 @@ LABEL_CHARS = 51
 TABLE_LABEL, TABLE_VALUE, TERM = (2, 100), 500, 100
 NO_LABELS = ("http", "www")
 LINKED_DATA = "application/ld+json"
-#: Elements without content, and elements whose text isn't part of what holds them.
+#: Elements without content. (Texts in template, rt and rp aren't part of what holds them, see ``_text``.)
 VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
-HIDDEN = ("template", "rt", "rp")
 
 #: The strategies by number, and characters that one step of the pass holds.
 FAILED, TABLES, TERMS, LABELS, META, LINKED = 0, 1, 2, 3, 4, 5
@@ -109,10 +108,10 @@ class Page:
             self._close(e, count)
 
     def _text(self, raw: str, count: Counter) -> None:
-        if not raw or any(count[t] for t in HIDDEN):
+        if not raw or count["template"] or count["rt"] or count["rp"]:
             return
-        text = unescape(raw)
-        if not text.strip(" \t\n\r\f\v") and not (count["pre"] or count["textarea"]):
+        text = unescape(raw) if "&" in raw else raw
+        if text.isspace() and not text.strip(" \t\n\r\f\v") and not (count["pre"] or count["textarea"]):
             text = "\n" if "\n" in text else " "
         self.texts.append(text)
 
@@ -214,10 +213,10 @@ def page_pairs(pages: DataFrame, strategies: Iterable[int] = tuple(STRATEGIES),
         rows, size = [], 0
         whole = lambda: pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
         for batch in batches:
-            for page_id, html in zip(batch.column(0), batch.column(1), strict=True):
-                page_id, found, error = page_id.as_py(), [], None
+            for page_id, html in ((i.as_py(), h.as_py()) for i, h in zip(batch.column(0), batch.column(1), strict=True)):
+                found, error = [], None
                 try:
-                    page = parse(html.as_py())
+                    page = parse(html)
                     for s in wanted:
                         last = {pair: k for k, pair in enumerate(STRATEGIES[s](page))}
                         found += [(page_id, s, k, label, value) for (label, value), k in last.items()]

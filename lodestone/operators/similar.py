@@ -50,11 +50,12 @@ def candidate_pairs(values: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``group, a, b`` (a before b) of different values of a group whose ratio may reach ``threshold``, each pair once.
 
     ``values(group, low)`` has different texts of each group; null texts have no pairs. Work goes by the rarest q-grams: a
-    group of any size is dealt out by them, and no list of its values is built.
+    group of any size is dealt out by them, and no list of its values is built. The values are written down once, since they are
+    read several times.
     """
     q = gram_size(threshold)
     # Texts so short that one edit is too much are similar to none but themselves.
-    v = values.select("group", "low", F.length("low").alias("n"), F.md5("low").alias("id")).where((F.col("n") * 2 + 1) * (1 - threshold) >= 1 - 2 * EPS)
+    v = written(values.select("group", "low", F.length("low").alias("n"), F.md5("low").alias("id")).where((F.col("n") * 2 + 1) * (1 - threshold) >= 1 - 2 * EPS))
     at = F.sequence(F.lit(1), F.greatest(F.col("n") - (q - 1), F.lit(1)))
     v = v.withColumn("plain", F.array_sort(F.transform(at, lambda i: F.substring("low", i, q))))
     # Each q-gram with the number of its occurrence in the text, so that repeated ones count as often as they match.
