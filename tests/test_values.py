@@ -140,3 +140,17 @@ def test_versions_of_a_broken_folder_are_no_empty_catalog(spark, tmp_path):
     (tmp_path / "versions" / "part-0.parquet").write_bytes(b"no parquet")
     with pytest.raises(Exception, match="(?i)parquet"):
         ingest.latest_version(spark, str(tmp_path))
+
+
+def test_review_routing_folds_values_once(spark):
+    done = st.standardize(observe(spark, "size", [("10 inch", "manufacturer"), ("12 inch", "web"), ("", "web")]), spark.createDataFrame(RULES, RULES_SCHEMA))
+    keep, review = st.route_to_review(done.where("status = 'ok'"))
+    assert [tuple(r) for r in keep.select("confidence", "reason").collect()] == [(0.95, "Highest confidence source: manufacturer")] and review.count() == 0
+    for side in (keep, review):
+        assert "Python" not in side._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_status_needs_no_fold_over_numbers(spark):
+    done = st.standardize(observe(spark, "size", [("10 inch", "web"), ("", "web")]), spark.createDataFrame(RULES, RULES_SCHEMA))
+    keys = done.where("status = 'ok'").select("product_key", "attribute")
+    assert keys.count() == 1 and "aggregate(" not in keys._jdf.queryExecution().optimizedPlan().toString()
