@@ -154,3 +154,10 @@ def test_status_needs_no_fold_over_numbers(spark):
     done = st.standardize(observe(spark, "size", [("10 inch", "web"), ("", "web")]), spark.createDataFrame(RULES, RULES_SCHEMA))
     keys = done.where("status = 'ok'").select("product_key", "attribute")
     assert keys.count() == 1 and "aggregate(" not in keys._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forms_are_made_of_different_values(spark):
+    rows = [("12 IN", "web")] * 3 + [("12.0 in", "web"), (None, "web"), ("&#34;a&#34;\u3000", "web"), ('"A"', "web"), ("", "web")]
+    out = st.canonical_conflict(observe(spark, "size", rows))
+    assert [tuple(r) for r in out.collect()] == [(1, "size", 8, 3, True)]
+    assert "Aggregate [product_key#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and ", value#" in plan.split("Aggregate [")[-1].split("]")[0]
