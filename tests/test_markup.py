@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.fixtures import frame
 from lodestone.operators import extract as ex
 from lodestone.operators import markup as mk
 
@@ -171,3 +172,9 @@ def test_hard_pages(spark, html):
 def test_plan_has_one_pass(spark):
     plan = ex.fallback_extraction(spark.createDataFrame([(1, "x")], "page_id long, html string"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("view", ["fx_spec_pages", "fx_nested_pages", "fx_source_pages"])
+def test_pages_made_from_one_file_are_parsed_by_several_tasks(spark, view):
+    rows = ex.text_label_pairs(frame(spark, "/root/testdata/sf0.001", view)).withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() > 1
