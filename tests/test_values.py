@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import cleaning, enrich, extract, standardize as st
 from lodestone.operators.model_hook import safe_apply, similarity_ratio
+from lodestone.plans import values
 from lodestone.schemas import RULES_SCHEMA
 from lodestone.streaming import ingest
 
@@ -161,3 +162,23 @@ def test_forms_are_made_of_different_values(spark):
     out = st.canonical_conflict(observe(spark, "size", rows))
     assert [tuple(r) for r in out.collect()] == [(1, "size", 8, 3, True)]
     assert "Aggregate [product_key#" in (plan := out._jdf.queryExecution().optimizedPlan().toString()) and ", value#" in plan.split("Aggregate [")[-1].split("]")[0]
+
+
+def test_canonical_values_are_not_dealt_out_by_label(spark):
+    rows = spark.createDataFrame([(1, 2, "Size", "3", "a"), (1, 1, "Item size", "4", "b"), (1, 1, "?", "5", "b")], "product_key long, source_pos long, label string, value string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        unified = st.unify_attributes(rows, spark.createDataFrame([("Item size", "size", 0.9)], "label string, canonical string, confidence double"))
+        few, many = (st.gather_canonical_values(rows, unified, max_labels=n) for n in (100, 0))
+        for out in (few, many):
+            assert sorted(map(tuple, out.collect())) == [(1, "size", 1, "4", "b"), (1, "size", 2, "3", "a")]
+        assert "hashpartitioning(label" not in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_raw_extractions_are_dealt_out_by_product_alone(spark):
+    out = values.extracted(spark, "/root/testdata/sf0.001", rows_per_task=600)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(sku" in plan and "hashpartitioning(product_key" not in plan
+    assert out.rdd.getNumPartitions() >= 10
