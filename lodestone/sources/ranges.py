@@ -19,13 +19,17 @@ class RangedTable:
     schema: T.StructType
 
     @staticmethod
-    def write(rows: DataFrame, path: str, *keys: str, rows_per_range: int = 1_000_000) -> RangedTable:
+    def write(rows: DataFrame, path: str, *keys: str, rows_per_range: int = 1_000_000, most_small: int = 1000) -> RangedTable:
         """Deal ``rows`` out in ranges whose borders Spark samples, of about ``rows_per_range`` rows, and count each.
 
+        Each range is a task and a folder, so there are up to ``most_small`` ranges of less than a million rows: a larger table
+        has more rows in each, of which a page still reads one or two.
+
         ``keys`` should tell rows apart (add an id): rows that agree in all of them share a range.
         """
         spark = rows.sparkSession
-        n_ranges = max(1, -(-rows.count() // rows_per_range))
+        n = rows.count()
+        n_ranges = max(1, min(-(-n // rows_per_range), max(most_small, -(-n // 1_000_000))))
         dealt = rows.repartitionByRange(n_ranges, *keys).withColumn("_range", F.spark_partition_id())
         dealt.write.partitionBy("_range").parquet(f"{path}/rows")
         counts = spark.read.schema("_range int").parquet(f"{path}/rows").groupBy("_range").agg(F.count("*").alias("n"))

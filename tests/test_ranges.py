@@ -23,3 +23,11 @@ def test_equal_keys_and_empty_tables(spark, tmp_path):
     t = RangedTable.write(df, str(tmp_path / "t"), "k", rows_per_range=10)
     assert [r.k for r in t.page(299, 5).collect()] == ["a", "b"]
     assert RangedTable.write(df.limit(0), str(tmp_path / "e"), "k").page(0).count() == 0
+
+
+def test_ranges_dont_grow_with_the_table(spark, tmp_path):
+    df = spark.range(500).selectExpr("id", "id % 7 AS hour")
+    t = RangedTable.write(df, str(tmp_path / "t"), "hour", "id", rows_per_range=2, most_small=8)
+    want = sorted((k % 7, k) for k in range(500))
+    assert 2 <= t.ranges().count() <= 8
+    assert [(r.hour, r.id) for r in t.page(240, 90).collect()] == want[240:330]
