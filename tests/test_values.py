@@ -182,3 +182,16 @@ def test_raw_extractions_are_dealt_out_by_product_alone(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(sku" in plan and "hashpartitioning(product_key" not in plan
     assert out.rdd.getNumPartitions() >= 10
+
+
+def test_filter_on_status_runs_the_fold_of_values_once(spark):
+    """Whether there is any value is known before the fold; single values reach Python as empty lists, not as nulls."""
+    observations = observe(spark, "a", [("deep blue", "web"), ("deep bluee", "web"), ("black", "web")])
+    observations = observations.unionByName(observe(spark, "b", [("red", "web")])).unionByName(observe(spark, "c", [("", "web")]))
+    done = st.standardize(observations, spark.createDataFrame(RULES, RULES_SCHEMA)).where("status = 'ok'")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.attribute: r.standard_value for r in done.collect()} == {"a": "deep blue", "b": "red"}
+    lists = st.value_lists(observations).select("attribute", st.keep_dissimilar("vals").alias("k"))
+    sent = lists._jdf.queryExecution().optimizedPlan().toString().split("positions(")[1]
+    assert "ELSE []" in sent.splitlines()[0]
+    assert {r.attribute: r.k and [x.value for x in r.k] for r in lists.collect()} == {"a": ["deep blue", "black"], "b": ["red"], "c": None}
