@@ -191,34 +191,62 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-def links_in(fps: np.ndarray, halves: np.ndarray, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a forest with the classes that the links between ``fps`` make.
+def links_in(fps: np.ndarray, halves: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest with the classes that the links between ``fps`` make whose halves differ in one bit at most.
 
-    Points are ordered by the distance of their halves from one of them; by the triangle inequality those of points that
-    differ in one bit of the half differ by one at most, so only points of such distances are compared.
+    Points are ordered by their halves; those of an equal half, and of that half with one bit turned, are looked up and
+    compared, at most about ``most`` pairs at a time.
     """
-    d = np.bitwise_count(halves ^ halves[0]).astype(np.int64)
-    order = np.argsort(d, kind="stable")
-    fps, d = fps[order], d[order]
-    labels = np.arange(len(fps))
-    last = np.searchsorted(d, d + PART_RADIUS, side="right")
-    for at in range(0, len(fps), tile):
-        stop = min(len(fps), at + tile)
-        for begin in range(at, last[stop - 1], 16 * tile):
-            end = min(last[stop - 1], begin + 16 * tile)
-            i, j = np.nonzero(np.bitwise_count(fps[at:stop, None] ^ fps[None, begin:end]) <= RADIUS)
-            i, j = i + at, j + begin
-            join_labels(labels, i[i < j], j[i < j])
-    moved = np.flatnonzero(labels != np.arange(len(fps)))
+    order = np.argsort(halves, kind="stable")
+    fps = fps[order]
+    values, first, sizes = np.unique(halves[order], return_index=True, return_counts=True)
+    labels, rows = np.arange(len(fps)), np.arange(len(fps))
+    owner = np.repeat(np.arange(len(values)), sizes)
+
+    def compare(i: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
+        """Hold each point of ``i`` against ``n`` points from ``begin``."""
+        done = np.append(0, np.cumsum(n))
+        at = 0
+        while at < len(i):
+            stop = max(at + 1, int(np.searchsorted(done, done[at] + most, side="right")) - 1)
+            m = n[at:stop]
+            left = np.repeat(i[at:stop], m)
+            right = np.arange(done[at], done[stop]) + np.repeat(begin[at:stop] - done[at:stop], m)
+            near = np.bitwise_count(fps[left] ^ fps[right]) <= RADIUS
+            join_labels(labels, left[near], right[near])
+            at = stop
+
+    same = (first + sizes)[owner] - rows - 1
+    some = np.flatnonzero(same)
+    compare(rows[some], rows[some] + 1, same[some])
+    for bit in range(64 // PARTS):
+        # The value with the bit unset looks for the other, so each pair of values comes once.
+        low = np.flatnonzero((values >> np.uint32(bit)) & np.uint32(1) == 0)
+        turned = values[low] | np.uint32(1 << bit)
+        place = np.minimum(np.searchsorted(values, turned), len(values) - 1)
+        hit = values[place] == turned
+        other = np.full(len(values), -1)
+        other[low[hit]] = place[hit]
+        some = np.flatnonzero(other[owner] >= 0)
+        compare(rows[some], first[other[owner[some]]], sizes[other[owner[some]]])
+    moved = np.flatnonzero(labels != rows)
     return fps[moved], fps[labels[moved]]
 
 
-def link_edges(distinct: DataFrame, sample_size: int = 20_000, shard: int = 4096) -> DataFrame:
+def shard_size(total: int, least: int = 4096, shards: int = 12) -> int:
+    """Points that a shard should hold: a share of all, so that trees don't get deeper with the table."""
+    return max(least, -(-total // shards))
+
+
+def link_edges(distinct: DataFrame, sample_size: int = 20_000, shard: int = 4096, shards: int = 12) -> DataFrame:
     """Edges (a, b) of a forest over ``distinct(fp)`` whose components are those of all links within three bits.
 
-    The trees are fitted on at most about ``sample_size`` fingerprints; every fingerprint is routed and compared.
+    The trees are fitted on at most about ``sample_size`` fingerprints; every fingerprint is routed and compared. Each level
+    of a tree doubles the points near its boundary, so the trees of a large table stop at shards of a ``shards``-th of it:
+    the rows that are routed grow with the table, and a shard is searched by looking up halves, not by all of its pairs.
     """
     total = distinct.count()
+    shard = shard_size(total, shard, shards)
     parts = 1_000_000
     share = min(parts, int(parts * sample_size / max(1, total)) + 1)
     sample = np.array([r.fp for r in distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(parts)) < share).limit(2 * sample_size).collect()], np.int64)

@@ -243,6 +243,34 @@ def test_trees_find_every_link(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_routed_rows_grow_with_the_table():
+    draw = np.random.default_rng(4)
+    sample = np.sort(draw.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    routed = []
+    for total in (50_000, 250_000, 5_000_000):
+        trees = [op3_simhash.build_tree(sample, part, total, op3_simhash.shard_size(total)) for part in range(op3_simhash.PARTS)]
+        routed.append(len(op3_simhash.blocks_of(sample, trees)[0]))
+    assert max(routed) < 1.2 * min(routed)
+
+
+@pytest.mark.parametrize("most", [5, 1_000_000])
+def test_links_in_a_shard_match_brute_force(most):
+    draw = np.random.default_rng(5)
+    fps = draw.integers(0, 1 << 63, 12, dtype=np.uint64)[draw.integers(0, 12, 500)]
+    for _ in range(3):
+        fps ^= np.uint64(1) << draw.integers(0, 64, len(fps)).astype(np.uint64)
+    fps = np.unique(fps)
+    for part in range(op3_simhash.PARTS):
+        halves = op3_simhash.halves_of(fps, part)
+        want, got = np.arange(len(fps)), np.arange(len(fps))
+        near = (np.bitwise_count(fps[:, None] ^ fps) <= 3) & (np.bitwise_count(halves[:, None] ^ halves) <= 1)
+        op3_simhash.join_labels(want, *np.nonzero(near))
+        a, b = op3_simhash.links_in(fps, halves, most)
+        op3_simhash.join_labels(got, np.searchsorted(fps, a), np.searchsorted(fps, b))
+        assert (got == want).all()
+        assert op3_simhash.links_in(fps[:1], halves[:1])[0].size == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 500 + i) for i in range(1, 80)] + [(900, 900)]
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
