@@ -48,6 +48,12 @@ def words_of(text: str | None) -> list[str]:
     return words if all(map(str.isalpha, words)) else [w for w in map(_letters, words) if w]
 
 
+def gram_keys(text: str) -> np.ndarray:
+    """The trigram at each place of ``text`` as a number: three code points of 21 bits."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return (c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]
+
+
 @dataclass
 class LanguageModel:
     """Log-probabilities of character trigrams by language, and the scripts that each language writes."""
@@ -59,22 +65,40 @@ class LanguageModel:
     clip: float = 8.0
     even: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
 
-    def logs(self, word: str) -> np.ndarray:
-        """Log-probability of the word's trigrams in each language."""
-        padded = f"^{word}$"
-        return self.table[[self.grams.get(padded[i : i + 3], -1) for i in range(len(word))]].sum(axis=0)
-
-    def fit(self, word: str, total: np.ndarray) -> np.ndarray:
-        """Evidence that a word of these logs fits each language: how much likelier it is than if all trigrams were as likely."""
-        return (total - len(word) * self.even).astype(np.float32)
-
-    def score(self, word: str, total: np.ndarray) -> np.ndarray:
-        """Score of each language, 0 for the best; languages that don't write the word's script are out."""
-        allowed = self.scripts.get(script_of(word[0]))
-        if allowed is None:
-            return np.zeros(len(self.languages), np.float32)
-        total = np.where(allowed, total, -np.inf)
-        return np.maximum(total - total.max(), np.where(allowed, -self.clip, -4 * self.clip)).astype(np.float32)
+    def __post_init__(self):
+        keys = gram_keys("".join(self.grams))[::3] if self.grams else np.zeros(0, np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.places = keys[order], np.fromiter(self.grams.values(), np.int64, len(self.grams))[order]
+        self.known = np.array([name in self.scripts for _, name in SCRIPT_RANGES])
+        self.writes = np.array([self.scripts.get(name, np.zeros(len(self.languages), bool)) for _, name in SCRIPT_RANGES])
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word's trigrams in each language."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        keys = gram_keys("".join([f"^{w}$" for w in words]))
+        # A word of n letters stands with two marks; so its last two places start no trigram of its own.
+        first = np.append(0, np.cumsum(lengths)[:-1])
+        keys = keys[np.arange(lengths.sum()) + np.repeat(2 * np.arange(len(words)), lengths)]
+        if not len(self.keys):
+            return np.add.reduceat(np.repeat(self.table[-1:], len(keys), axis=0), first, axis=0)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.add.reduceat(self.table[np.where(self.keys[at] == keys, self.places[at], -1)], first, axis=0)
+
+    def fit(self, words: list[str], totals: np.ndarray) -> np.ndarray:
+        """Evidence that words of these logs fit each language: how much likelier they are than if all trigrams were as likely."""
+        lengths = np.fromiter(map(len, words), np.float32, len(words))
+        return (totals - lengths[:, None] * self.even).astype(np.float32)
+
+    def score(self, words: list[str], totals: np.ndarray) -> np.ndarray:
+        """Score of each language for each word, 0 for the best; languages that don't write the word's script are out."""
+        script = np.maximum(0, np.searchsorted(_FIRST, [ord(w[0]) for w in words], side="right") - 1)
+        allowed = self.writes[script]
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        some = np.flatnonzero(self.known[script])
+        allowed = allowed[some]
+        totals = np.where(allowed, totals[some], -np.inf)
+        out[some] = np.maximum(totals - totals.max(axis=1, keepdims=True), np.where(allowed, -self.clip, -4 * self.clip))
+        return out
 
 
 def train(
@@ -200,24 +224,32 @@ class Labeller:
         self.reset()
 
     def reset(self) -> None:
-        labeller = self
+        new: list[str] = []
         self.rows = np.zeros((1024, len(self.model.languages)), np.float32)
         self.fit_rows = self.rows.copy()
 
         class Ids(dict):
             def __missing__(self, word):
-                k = len(self)
-                if k == len(labeller.rows):
-                    labeller.rows = np.concatenate([labeller.rows, np.zeros_like(labeller.rows)])
-                    labeller.fit_rows = np.concatenate([labeller.fit_rows, np.zeros_like(labeller.fit_rows)])
-                total = labeller.model.logs(word)
-                labeller.rows[k] = labeller.model.score(word, total)
-                if labeller.fits:
-                    labeller.fit_rows[k] = labeller.model.fit(word, total)
-                self[word] = k
+                k = self[word] = len(self)
+                new.append(word)
                 return k
 
-        self.ids = Ids()
+        self.ids, self.new = Ids(), new
+
+    def score_new(self, step: int = 20_000) -> None:
+        """Score the words that have been met since, many at a time."""
+        begin = len(self.ids) - len(self.new)
+        while len(self.ids) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.fit_rows = np.concatenate([self.fit_rows, np.zeros_like(self.fit_rows)])
+        for at in range(0, len(self.new), step):
+            words = self.new[at : at + step]
+            place = slice(begin + at, begin + at + len(words))
+            totals = self.model.logs(words)
+            self.rows[place] = self.model.score(words, totals)
+            if self.fits:
+                self.fit_rows[place] = self.model.fit(words, totals)
+        self.new.clear()
 
     def label(self, texts: list[str | None]) -> dict[str, list]:
         langs = self.model.languages
@@ -235,6 +267,7 @@ class Labeller:
                 letters.append(np.fromiter(map(len, words), np.int64, len(words)))
         if not found:
             return out
+        self.score_new()
         lengths = np.array([len(x) for x in ids])
         first = np.append(0, np.cumsum(lengths)[:-1])
         scores = self.rows[np.concatenate(ids)]

@@ -243,6 +243,30 @@ def test_trees_find_every_link(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
 
 
+def test_new_words_are_scored_together():
+    draw = np.random.default_rng(6)
+    words = ["".join(chr(c) for c in draw.choice([*range(97, 109), 0x430, 0x1F600 - 0x1000], n)) for n in draw.integers(1, 9, 400)]
+    grams = sorted({f"^{w}$"[i : i + 3] for w in words[:200] for i in range(len(w))})
+    table = draw.normal(-5, 2, (len(grams) + 1, 3)).astype(np.float32)
+    scripts = {"latin": np.array([True, True, False]), "cyrillic": np.array([False, True, True])}
+    calls = []
+
+    class Counted(op2_language.LanguageModel):
+        def logs(self, words):
+            calls.append(len(words))
+            return super().logs(words)
+
+    model = Counted(["a", "b", "c"], {g: k for k, g in enumerate(grams)}, table, scripts, even=np.zeros(3, np.float32))
+    labeller = op2_language.Labeller(model, 12.0)
+    labeller.label([" ".join(words[:300]), None, " ".join(words[200:])])
+    assert len(calls) == 1 and calls[0] == len(labeller.ids)
+    for word, k in labeller.ids.items():
+        total = sum(table[model.grams.get(f"^{word}$"[i : i + 3], -1)].astype(float) for i in range(len(word)))
+        allowed = scripts.get(op2_language.script_of(word[0]))
+        want = np.zeros(3) if allowed is None else np.where(allowed, np.maximum(total - total[allowed].max(), -8.0), -32.0)
+        assert np.allclose(labeller.rows[k], want, atol=1e-3)
+
+
 def test_routed_rows_grow_with_the_table():
     draw = np.random.default_rng(4)
     sample = np.sort(draw.integers(0, 1 << 63, 4000, dtype=np.uint64))
