@@ -23,6 +23,8 @@ HOT_LINES = 256
 PART_LINES = 1 << 14
 #: Prefix tokens are numbers; those from here on have enough uses to be hot.
 MAYBE_HOT = 1 << 30
+#: Bit of a token's key at which its level begins; the hash fills those below.
+LEVEL_BIT = 56
 #: Hot tokens up to these numbers are listed in the plan (both sides of the join then share a shuffle), or broadcast.
 LISTED_TOKENS, BROADCAST_TOKENS = 20_000, 200_000
 #: Lines of more tokens than this have a parity of 128 classes; others do with 64.
@@ -77,15 +79,17 @@ def rarity_levels(lines: DataFrame) -> Column:
 def described(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
     """Every line with a word: 128 bits of hash that stand for it, the size ``n`` of its token set, parity, and prefix.
 
-    The prefix holds the rarest ``n - ceil(percent * n) + 1`` tokens as 30 bits of their hashes and one that says whether
-    their bucket has the uses of a hot token. The parity has a bit for each of 64 classes of tokens, set if the line has an
+    The prefix holds the rarest ``n - ceil(percent * n) + 1`` tokens as they are ordered: a level above 56 bits of the hash.
+    No null can be among them, so that arrays of numbers are sorted; levels come from few numbers, which stay in the
+    processor's cache. The parity has a bit for each of 64 classes of tokens, set if the line has an
     odd number of them: sets that differ in d tokens differ in d bits at most. A long line has another for one half of the
     tokens, and so by their difference for the other half.
     """
     empty = F.xxhash64(F.lit(""))
     hashes = F.array_remove(F.array_distinct(F.transform(words_of(F.col("line")), lambda t: F.xxhash64(t))), empty)
-    level = lambda h: F.get(levels, bucket_of(h).cast("int")).cast("long")
-    keys = F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    steps = constants([k << LEVEL_BIT for k in range(128)], "bigint")
+    level = lambda h: F.coalesce(F.get(steps, F.get(levels, bucket_of(h).cast("int"))), F.lit(0).cast("long"))
+    keys = F.sort_array(F.transform(hashes, lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_BIT))))
     bits = [-(1 << 63) if k == 63 else 1 << k for k in range(64)]
     flip = lambda bit: F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(constants(bit, "bigint"), k.bitwiseAND(F.lit(127)).cast("int"))))
     n = F.size("keys")
@@ -93,7 +97,7 @@ def described(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
     return lines.where(F.col("line").rlike("[^\\s]")).withColumn("keys", keys).select(
         "id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), n.alias("n"),
         flip(bits + bits).alias("parity"), F.when(n > LONG_LINE, flip(bits + [0] * 64)).otherwise(F.lit(0).cast("long")).alias("half"),
-        F.transform(prefix, lambda k: (k.bitwiseAND(F.lit(MAYBE_HOT - 1)) + F.when(k >= F.lit(int(2 * math.log2(HOT_LINES)) << 56), F.lit(MAYBE_HOT)).otherwise(F.lit(0))).cast("int")).alias("prefix"),
+        prefix.alias("prefix"),
     )
 
 
@@ -106,21 +110,28 @@ def first_lines(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_rows(lines: DataFrame) -> DataFrame:
-    """A row for each prefix token of each line with its place in the order of the line."""
-    return lines.select(F.posexplode("prefix").alias("pos", "token"), "id", "no", "n", "parity", "half")
+    """A row for each prefix token of each line with its place in the order of the line.
+
+    The token is 30 bits of its hash and one that says whether its bucket has the uses of a hot token.
+    """
+    rows = lines.select(F.posexplode("prefix").alias("pos", "key"), "id", "no", "n", "parity", "half")
+    hot = F.when(F.col("key") >= F.lit(int(2 * math.log2(HOT_LINES)) << LEVEL_BIT), F.lit(MAYBE_HOT)).otherwise(F.lit(0))
+    token = (F.col("key").bitwiseAND(F.lit(MAYBE_HOT - 1)) + hot).cast("int")
+    return rows.select("pos", token.alias("token"), "id", "no", "n", "parity", "half")
 
 
 def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int) -> DataFrame:
     """``id, no, n, xid, xno, xn``: the rows and the earlier ones of ``others`` with the same key that the filters let through.
 
-    By length and positions enough tokens may be common, and the parities differ in no more bits than the sets may.
+    By length and positions enough tokens may be common, and the parities differ in no more bits than the sets may. The
+    parities come first: nearly all rows fail there, so that the branch is foreseen.
     """
     a, b = rows.alias("a"), others.alias("b")
     both = F.col("a.n") + F.col("b.n")
     enough = lambda common: common * (100 + percent) >= both * percent
     ahead = F.least("a.pos", "b.pos") + 1 + F.least(F.col("a.n") - F.col("a.pos") - 1, F.col("b.n") - F.col("b.pos") - 1)
     differ = lambda c: F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))
-    within = lambda apart: (both - apart) * (100 + percent) >= both * (2 * percent)
+    within = lambda apart: apart * (100 + percent) <= both * (100 - percent)
     halves = F.bit_count(differ("half")) + F.bit_count(differ("parity").bitwiseXOR(differ("half")))
     alike = within(F.bit_count(differ("parity"))) & ((F.least("a.n", "b.n") <= LONG_LINE) | within(halves))
     earlier = (F.col("b.id") < F.col("a.id")) | ((F.col("b.id") == F.col("a.id")) & (F.col("b.no") < F.col("a.no")))
@@ -128,7 +139,7 @@ def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int)
     same = F.col(f"a.{on[0]}") == F.col(f"b.{on[0]}")
     for c in on[1:]:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    joined = a.join(b, same).where(length & alike & earlier & enough(ahead))
+    joined = a.join(b, same).where(alike & earlier & length & enough(ahead))
     return joined.select(*[F.col(f"{side}.{c}").alias(f"{name}{c}") for side, name in (("a", ""), ("b", "x")) for c in ("id", "no", "n")])
 
 

@@ -580,6 +580,17 @@ def test_line_dedup_of_long_lines(spark):
     assert {r.doc_id for r in op5_lines.dedup_lines(df).where("n_removed = 1").collect()} == want
 
 
+def test_line_dedup_sorts_numbers_without_nulls(spark):
+    df = spark.createDataFrame([(1, "rare often often\nof ten often\nonce more often")], "id long, text string")
+    lines = op5_lines.all_lines(df)
+    out = op5_lines.described(lines, op5_lines.rarity_levels(lines), 80)
+    assert not out.schema["prefix"].dataType.containsNull
+    rows = {r.no: (r.n, list(r.prefix)) for r in out.collect()}
+    assert {no: (n, len(p)) for no, (n, p) in rows.items()} == {0: (2, 1), 1: (3, 1), 2: (3, 1)}
+    assert all(p[0] >> op5_lines.LEVEL_BIT == 0 for _, p in rows.values())
+    assert {r.n for r in op5_lines.prefix_rows(out).where(F.col("token") < op5_lines.MAYBE_HOT).collect()} == {2, 3}
+
+
 def test_line_dedup_with_repeated_ids(spark):
     rows = [(1, "a first line\nshared by all of them", "x"), (2, "one of two\nshared by all of them", "y"), (2, "two of two\n\tshared by all of them", "z"), (2, "one of two\nshared by all of them", "w"), (None, None, "v")]
     out = op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string")).collect()
