@@ -88,15 +88,17 @@ def described(lines: DataFrame, levels: Column, percent: int) -> DataFrame:
     empty = F.xxhash64(F.lit(""))
     hashes = F.array_remove(F.array_distinct(F.transform(words_of(F.col("line")), lambda t: F.xxhash64(t))), empty)
     steps = constants([k << LEVEL_BIT for k in range(128)], "bigint")
-    level = lambda h: F.coalesce(F.get(steps, F.get(levels, bucket_of(h).cast("int"))), F.lit(0).cast("long"))
+    level = lambda h: F.coalesce(F.get(steps, F.get(levels, bucket_of(h))), F.lit(0).cast("long"))
     keys = F.sort_array(F.transform(hashes, lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 64 - LEVEL_BIT))))
-    bits = [-(1 << 63) if k == 63 else 1 << k for k in range(64)]
-    flip = lambda bit: F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.get(constants(bit, "bigint"), k.bitwiseAND(F.lit(127)).cast("int"))))
+    bits = constants([-(1 << 63) if k == 63 else 1 << k for k in range(64)] + [0] * 64, "bigint")
+    flip = lambda bit: F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+    parity = flip(lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int")))
+    half = flip(lambda k: F.get(bits, k.bitwiseAND(F.lit(127))))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.ceil(n * F.lit(percent) / 100 - F.lit(1e-9)).cast("int") + 1)
     return lines.where(F.col("line").rlike("[^\\s]")).withColumn("keys", keys).select(
         "id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), n.alias("n"),
-        flip(bits + bits).alias("parity"), F.when(n > LONG_LINE, flip(bits + [0] * 64)).otherwise(F.lit(0).cast("long")).alias("half"),
+        parity.alias("parity"), F.when(n > LONG_LINE, half).otherwise(F.lit(0).cast("long")).alias("half"),
         prefix.alias("prefix"),
     )
 
@@ -124,7 +126,8 @@ def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int)
     """``id, no, n, xid, xno, xn``: the rows and the earlier ones of ``others`` with the same key that the filters let through.
 
     By length and positions enough tokens may be common, and the parities differ in no more bits than the sets may. The
-    parities come first: nearly all rows fail there, so that the branch is foreseen.
+    join compares parities alone, since nearly all pairs fail there and it reads every column of its condition for each; a
+    predicate that names the partition isn't moved into it, so the other columns are read for the pairs left.
     """
     a, b = rows.alias("a"), others.alias("b")
     both = F.col("a.n") + F.col("b.n")
@@ -133,13 +136,13 @@ def candidates(rows: DataFrame, others: DataFrame, on: list[str], percent: int)
     differ = lambda c: F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))
     within = lambda apart: apart * (100 + percent) <= both * (100 - percent)
     halves = F.bit_count(differ("half")) + F.bit_count(differ("parity").bitwiseXOR(differ("half")))
-    alike = within(F.bit_count(differ("parity"))) & ((F.least("a.n", "b.n") <= LONG_LINE) | within(halves))
+    alike = (F.least("a.n", "b.n") <= LONG_LINE) | within(halves)
     earlier = (F.col("b.id") < F.col("a.id")) | ((F.col("b.id") == F.col("a.id")) & (F.col("b.no") < F.col("a.no")))
     length = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
     same = F.col(f"a.{on[0]}") == F.col(f"b.{on[0]}")
     for c in on[1:]:
         same &= F.col(f"a.{c}") == F.col(f"b.{c}")
-    joined = a.join(b, same).where(alike & earlier & length & enough(ahead))
+    joined = a.join(b, same & within(F.bit_count(differ("parity")))).where(F.when(F.spark_partition_id() >= 0, earlier & length & alike & enough(ahead)))
     return joined.select(*[F.col(f"{side}.{c}").alias(f"{name}{c}") for side, name in (("a", ""), ("b", "x")) for c in ("id", "no", "n")])
 
 
@@ -157,21 +160,26 @@ def paired(matches: DataFrame, percent: int, whole: bool = True) -> DataFrame:
     return written(pairs.select("id", "no", "xid", "xno"))
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``id, no, line`` and number of tokens ``n`` of the lines of ``pairs``, and of a few others that the filter of fixed size lets through."""
-    slot = F.pmod(F.xxhash64("id", "no"), F.lit(FILTER_BITS))
+def among(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``rows`` that ``wanted`` has too by ``columns``, and a few others that a filter of fixed size lets through."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
     word, bit = F.shiftright(slot, 6), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    bits = written(wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    return rows.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id, no, line`` and number of tokens ``n`` of the lines of ``pairs``, and of a few others; only their documents are split."""
     ends = pairs.select("id", "no").union(pairs.select("xid", "xno"))
-    wanted = ends.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    lines = all_lines(docs).withColumn("word", word)
-    return lines.join(F.broadcast(written(wanted)), "word").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "no", "line", F.size(tokens_of(F.col("line"))).alias("n"))
+    lines = among(all_lines(among(docs, ends, ["id"])), ends, ["id", "no"])
+    return lines.select("id", "no", "line", F.size(tokens_of(F.col("line"))).alias("n"))
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """``id, no`` of the first lines of the pairs that have the Jaccard similarity, by their whole token sets."""
     other = texts.select(F.col("id").alias("xid"), F.col("no").alias("xno"), F.col("line").alias("xline"), F.col("n").alias("xn"))
     both = pairs.join(texts, ["id", "no"]).join(other, ["xid", "xno"])
-    common = F.size(F.array_intersect(tokens_of(F.col("line")), tokens_of(F.col("xline"))))
+    common = F.size(F.array_remove(F.array_intersect(words_of(F.col("line")), words_of(F.col("xline"))), ""))
     return both.where(common * (100 + percent) >= (F.col("n") + F.col("xn")) * percent).select("id", "no").distinct()
 
 
@@ -187,12 +195,23 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return near if rest.isEmpty() else near.union(similar(rest, texts, percent))
 
 
+def band_of(n: Column, percent: int) -> Column:
+    """A number that grows with the length ``n`` of a line; most lengths are similar to those of two bands."""
+    return F.floor(F.log(n.cast("double")) / max(0.1, 2 * math.log(100 / percent))).cast("int")
+
+
+def bands_for(n: Column, percent: int) -> Column:
+    """The bands of all lengths that a line similar to one of length ``n`` may have."""
+    shortest, longest = F.ceil(n * percent / 100 - F.lit(1e-9)), F.floor(n * 100 / percent + F.lit(1e-9))
+    return F.sequence(band_of(shortest, percent), band_of(longest, percent))
+
+
 def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """``id, no`` of the lines among ``firsts`` (described) that are similar to an earlier one of them.
 
     Two lines of the similarity share a token among the prefixes of both. The lines of a hot token are held against its
     earliest line first, which settles the many variants of one line with a row each. Those left are joined with all lines
-    of the token, dealt into parts of bounded size.
+    of the token in the bands of lengths that theirs allows, dealt into parts of bounded size.
     """
     rows = prefix_rows(firsts)
     hot = written(rows.where(F.col("token") >= MAYBE_HOT).groupBy("token").count().where(F.col("count") > HOT_LINES))
@@ -205,9 +224,10 @@ def near_matches(docs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     seeds = warm.groupBy("token").agg(F.min(F.struct("id", "no", "n", "pos", "parity", "half")).alias("s")).select("token", "s.*")
     near = written(verified(docs, paired(candidates(warm, seeds, ["token"], percent), percent, whole=False), percent))
     parts = F.ceil(F.col("count") / PART_LINES).cast("int")
-    targets = warm.withColumn("part", F.pmod(F.xxhash64("id", "no"), parts).cast("int"))
+    targets = warm.withColumns({"part": F.pmod(F.xxhash64("id", "no"), parts).cast("int"), "band": band_of(F.col("n"), percent)})
     open_rows = warm.join(near, ["id", "no"], "left_anti").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    matches = candidates(cold, cold, ["token"], percent).union(candidates(open_rows, targets, ["token", "part"], percent))
+    open_rows = open_rows.withColumn("band", F.explode(bands_for(F.col("n"), percent)))
+    matches = candidates(cold, cold, ["token"], percent).union(candidates(open_rows, targets, ["token", "part", "band"], percent))
     pairs = written(paired(matches, percent).join(near, ["id", "no"], "left_anti"))
     return near.union(verified(docs, pairs, percent)).distinct()
 

@@ -591,6 +591,21 @@ def test_line_dedup_sorts_numbers_without_nulls(spark):
     assert {r.n for r in op5_lines.prefix_rows(out).where(F.col("token") < op5_lines.MAYBE_HOT).collect()} == {2, 3}
 
 
+def test_line_dedup_compares_lengths_that_may_match(spark, monkeypatch):
+    for percent in (50, 80, 100):
+        rows = spark.range(1, 400).select("id", op5_lines.band_of(F.col("id"), percent).alias("band"), op5_lines.bands_for(F.col("id"), percent).alias("bands")).collect()
+        band = {r.id: r.band for r in rows}
+        assert all(band[m] in r.bands for r in rows for m in band if m * 100 >= r.id * percent and r.id * 100 >= m * percent)
+        assert max(len(r.bands) for r in rows) <= 3
+    draw = np.random.default_rng(6)
+    lines = [" ".join(["tok", *(f"t{k}" for k in range(n)), f"own{draw.integers(4)}"]) for n in draw.permutation(np.repeat([2, 5, 9, 12, 20, 26, 45, 60, 75, 90, 110], 12))]
+    sets = [set(x.split()) for x in lines]
+    want = {i for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    monkeypatch.setattr(op5_lines, "HOT_LINES", 3)
+    assert {r.doc_id for r in op5_lines.dedup_lines(df).where("n_removed = 1").collect()} == want
+
+
 def test_line_dedup_with_repeated_ids(spark):
     rows = [(1, "a first line\nshared by all of them", "x"), (2, "one of two\nshared by all of them", "y"), (2, "two of two\n\tshared by all of them", "z"), (2, "one of two\nshared by all of them", "w"), (None, None, "v")]
     out = op5_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string")).collect()
