@@ -1,11 +1,15 @@
 """Extraction kept by content, and pages that a parser fails on."""
 
+import re
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import extract as ex
 from lodestone.operators.markup import Page
 from lodestone.plans import aggregate as ag
+from lodestone.storage import written
 from lodestone.streaming.ingest import ingest_batch, read_catalog, source_states
 
 LONG = "<p>nothing of note in this paragraph</p>" * 5
@@ -83,3 +87,31 @@ def test_reasons_of_products(spark, web):
     ids = spark.createDataFrame([("A", "A", "t"), ("B", "B", "t"), ("C", "C", "t"), ("D", "D", "t")], "product_key string, mpn string, title string")
     records = ag.aggregate_products(ids, web.results, web.pages, web.synonyms, web.rules, parse=parse)[0]
     assert {r.product_key: (r.status, r.reason) for r in records.collect()} == {"A": ("success", None), "B": ("failed", "extraction_failed"), "C": ("success", None), "D": ("failed", "no_sources")}
+
+
+def broadcast_by(*frames):
+    """First keys of the broadcast joins in the plans of frames: a join on any other key deals out both sides."""
+    return {k for df in frames for k in re.findall(r"Broadcast\w*Join \[(\w+)", df._jdf.queryExecution().executedPlan().toString())}
+
+
+#: Labels and attributes join tables that are counted before they are broadcast.
+BOUNDED = {"label", "attribute"}
+
+
+def stored_web(web):
+    """The web as small files, which Spark would broadcast."""
+    return replace(web, results=written(web.results), pages=written(web.pages), synonyms=written(web.synonyms), rules=written(web.rules))
+
+
+def test_products_and_pages_are_not_broadcast(spark, web):
+    web, seen = stored_web(web), []
+
+    def cut(df):
+        seen.append(df)
+        return written(df)
+
+    ids = written(spark.createDataFrame([("A", "A", "t"), ("D", "D", "t")], "product_key string, mpn string, title string"))
+    records, done = ag.aggregate_products(ids, web.results, web.pages, web.synonyms, web.rules, cut, parse=parse)
+    assert broadcast_by(*seen, records, done) <= BOUNDED
+    assert {r.product_key: (r.n_attributes, r.sources_used) for r in records.collect()} == {"A": (1, 1), "D": (0, 0)}
+    assert broadcast_by(records) <= BOUNDED
