@@ -115,3 +115,16 @@ def test_products_and_pages_are_not_broadcast(spark, web):
     assert broadcast_by(*seen, records, done) <= BOUNDED
     assert {r.product_key: (r.n_attributes, r.sources_used) for r in records.collect()} == {"A": (1, 1), "D": (0, 0)}
     assert broadcast_by(records) <= BOUNDED
+
+
+def test_submitted_sources_are_not_broadcast(spark, web):
+    web, none = stored_web(web), ag.Catalog.empty(spark)
+    rows = lambda *given: written(submitted(spark, given))
+    one = lambda c: ag.Catalog(**{k: written(v) for k, v in vars(c).items()})
+    before = one(ag.ingest_sources(rows((1, "A"), (2, "B"), (5, "A")), none, web))
+    after = ag.ingest_sources(rows((1, "A"), (2, "B"), (3, "C"), (4, "none")), before, web)
+    effects = [after.audit, after.priorities, after.sources]
+    assert broadcast_by(*effects) <= BOUNDED
+    assert {r.source_id: r.status for r in after.sources.collect()} == {1: "completed", 2: "failed", 3: "completed", 4: "completed", 5: "completed"}
+    assert sorted(r.source_id for r in after.priorities.collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.product_id for r in after.audit.collect()) == ["A", "A", "B", "B", "C", "none"]
