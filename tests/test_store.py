@@ -124,7 +124,8 @@ def test_submitted_sources_are_not_broadcast(spark, web):
     before = one(ag.ingest_sources(rows((1, "A"), (2, "B"), (5, "A")), none, web))
     after = ag.ingest_sources(rows((1, "A"), (2, "B"), (3, "C"), (4, "none")), before, web)
     effects = [after.audit, after.priorities, after.sources]
-    assert broadcast_by(*effects) <= BOUNDED
+    assert broadcast_by(*effects) <= BOUNDED and broadcast_by(after.products) <= BOUNDED
     assert {r.source_id: r.status for r in after.sources.collect()} == {1: "completed", 2: "failed", 3: "completed", 4: "completed", 5: "completed"}
     assert sorted(r.source_id for r in after.priorities.collect()) == [1, 2, 3, 4, 5]
+    assert {(r.product_code, r.completeness_score) for r in after.products.collect()} == {("A", 5), ("C", 5)}
     assert sorted(r.product_id for r in after.audit.collect()) == ["A", "A", "B", "B", "C", "none"]
