@@ -60,6 +60,16 @@ def test_extraction_rules(spark):
     assert ex.extract_page(pages(spark, "<p>nothing here</p>" * 20)).first().label is None
 
 
+def test_named_values_come_from_whole_pages(spark):
+    far = "<p>filler</p>" * 2_000  # 26,000 characters
+    html = f"<li>Size: 5</li>{far}<li>Size: 5 by 7</li><table><tr><td>Brand</td><td>Acme</td></tr></table>{far}<li>Colour: red</li>"
+    rows = pages(spark, html).unionByName(spark.createDataFrame([(2, f"{far}<li>Brand: Late</li><li>Shape: round</li>"), (3, f"{far}<li>Shape: flat</li>"), (4, None)], "page_id long, html string"))
+    wanted = spark.createDataFrame([(f"A{i}",) for i in range(60)] + [("Size",), ("Brand",), ("Brand",)], "label string")
+    found = [(1, "Size", "5 by 7", "named"), (1, "Brand", "Acme", "named"), (2, "Brand", "Late", "named"), (3, "Shape", "flat", "fallback")]
+    assert Counter(tuple(r) for r in ex.extract_named(rows, wanted).collect()) == Counter(found)
+    assert Counter(tuple(r) for r in ex.extract_named(rows, wanted, 1).collect()) == Counter(found)
+
+
 def test_later_strategy_wins(spark):
     html = "<table><tr><td>Brand</td><td>one</td></tr></table><li>Brand: two</li>"
     assert [(r.label, r.value) for r in ex.fallback_extraction(pages(spark, html)).collect()] == [("Brand", "two")]
