@@ -70,6 +70,13 @@ def test_named_values_come_from_whole_pages(spark):
     assert Counter(tuple(r) for r in ex.extract_named(rows, wanted, 1).collect()) == Counter(found)
 
 
+def test_labels_are_discovered_in_whole_pages(spark):
+    far = "<p>filler</p>" * 2_000  # 26,000 characters
+    late = f"{far}<li>Size: 5</li><table><tr><td>Brand</td><td>Acme</td></tr></table>{far}<dl><dt>Shape</dt><dd>round</dd></dl>"
+    rows = pages(spark, late).unionByName(spark.createDataFrame([(2, f"<li>Size: 6</li>{far}<li>Colour: red</li>"), (2, "<li>Size: 6</li>"), (3, None)], "page_id long, html string"))
+    assert {tuple(r) for r in ex.discover_attributes(rows).collect()} == {("Size", 2), ("Brand", 1), ("Shape", 1), ("Colour", 1)}
+
+
 def test_later_strategy_wins(spark):
     html = "<table><tr><td>Brand</td><td>one</td></tr></table><li>Brand: two</li>"
     assert [(r.label, r.value) for r in ex.fallback_extraction(pages(spark, html)).collect()] == [("Brand", "two")]
